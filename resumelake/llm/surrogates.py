@@ -90,7 +90,7 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     email = F.concat(_recast(F.substring_index(value, "@", 1), pool, no_hex), F.lit("@mail"), (_draw(pool, F.lit(20)) % 90 + 10).cast("string"), F.lit(".example.net"))
     octet = lambda k, n, low: (_draw(pool, F.lit(k)) % n + low).cast("string")
     ip = F.concat_ws(".", octet(0, 222, 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
-    body = _recast(value.substr(F.lit(1), F.length(value) - 1), pool, no_hex)
+    body = F.concat(value.substr(F.lit(1), F.lit(1)), _recast(value.substr(F.lit(2), F.length(value) - 2), pool, no_hex))
     check = ((F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(_luhn(value) % 10 == 0, F.concat(body, check)).otherwise(_recast(value, pool, no_hex))
     label = F.regexp_extract(value, "(?i)^(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\\s*[=:]\\s*[\"']?", 0)
