@@ -136,7 +136,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     if shards > 1:
         kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         away = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.col("kth"))
-        away = away.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("`to` <> shard").select("vec_id", "v", "floor", "dim", F.col("to").alias("shard"), "block")
+        away = away.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("`to` <> shard")
+        away = away.select(*[F.col(a).alias(b) for a, b in zip(("vec_id", "v", "floor", "dim", "to", "block"), queries.columns, strict=True)])  # columns of their own, unlike those of homes
         found = first.unionByName(homes.groupBy(*by).cogroup(away.groupBy(*by)).applyInArrow(_searched(k), FOUND))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows from each shard
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
