@@ -89,7 +89,7 @@ def _rows(column: pa.Array, n: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-PLACED = "rep long, mult long, label string, v array<double>, role int, list int, code binary, miss double"
+PLACED = "rep long, mult long, label string, v array<{}>, role int, list int, home boolean, code binary, miss double"
 FOUND = "id long, n long, link long"
 
 
@@ -106,7 +106,7 @@ def _placer(index: Index, r: float):
                 n, take = b.num_rows, pa.array(np.concatenate([np.arange(b.num_rows), i]))
                 codes_ = [*(bytes(k) for k in codes), *([None] * len(i))]
                 cols = [b.column(k).take(take) for k in ("rep", "mult", "label", "v")]
-                cols += [pa.array(np.repeat([0, 1], [n, len(i)]), pa.int32()), pa.array(np.concatenate([at, c]), pa.int32()), pa.array(codes_, pa.binary()), pa.array(np.concatenate([miss, np.zeros(len(i))]))]
+                cols += [pa.array(np.repeat([0, 1], [n, len(i)]), pa.int32()), pa.array(np.concatenate([at, c]), pa.int32()), pa.array(np.concatenate([np.ones(n, bool), at[i] == c])), pa.array(codes_, pa.binary()), pa.array(np.concatenate([miss, np.zeros(len(i))]))]
                 yield pa.RecordBatch.from_arrays(cols, names=[k.split()[0] for k in PLACED.split(", ")])
 
     return place
@@ -116,7 +116,7 @@ def _linker(index: Index, least: float, r: float):
     def link(key: tuple, t: pa.Table) -> pa.Table:
         role = t.column("role").to_numpy()
         ids, mult, x = t.column("rep").to_numpy(), t.column("mult").to_numpy(), _rows(t.column("v"), t.num_rows)
-        unit, at = _unit(x), key[2].as_py()
+        unit, at, home = _unit(x), key[2].as_py(), t.column("home").to_numpy()
         data, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         codes, miss = None, None
         if at >= 0 and len(data):
@@ -134,7 +134,7 @@ def _linker(index: Index, least: float, r: float):
             return a
 
         for chunk in (probe[i : i + 64] for i in range(0, len(probe), 64)):
-            maybe = ids[chunk][:, None] > ids[data][None]
+            maybe = ~home[chunk][:, None] | (ids[chunk][:, None] > ids[data][None])  # in a probe's own list each pair meets twice
             if codes is not None:
                 rest = unit[chunk] - index.coarse[at]
                 far = np.zeros((len(chunk), len(data)))
@@ -170,9 +170,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     count as often as they come. An empty table gives an empty result. Other columns are left aside.
     """
     r = math.sqrt(max(0.0, 2 - 2 * least))
-    e = F.transform("embedding", lambda x: x.cast("double"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = settled(plain(vectors, ["vec_id", "embedding", "label"]).select("vec_id", F.col("label").cast("string").alias("label"), e.alias("v")))
+    rows = settled(plain(vectors, ["vec_id", "embedding", "label"]).select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("v")))
     good = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(~odd & F.exists("v", lambda x: x != 0), F.lit(False))
     nodes = settled(rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("v")))
     dims = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
@@ -185,9 +186,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     x = np.stack(drawn["v"].tolist()) if len(drawn) else np.eye(usual)[:1]
     index = Index.fit(_unit(x), lists)
 
-    placed = nodes.where(F.col("dim") == usual).select("rep", "mult", "label", "v").mapInArrow(_placer(index, r), PLACED)
+    placed = nodes.where(F.col("dim") == usual).select("rep", "mult", "label", "v").mapInArrow(_placer(index, r), PLACED.format(kind))
     role = F.explode(F.array(F.lit(0), F.lit(1))).alias("role")
-    other = nodes.where(F.col("dim") != usual).select("rep", "mult", "label", "v", role, (-F.col("dim")).alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("miss"))
+    other = nodes.where(F.col("dim") != usual).select("rep", "mult", "label", "v", role, (-F.col("dim")).alias("list"), F.lit(True).alias("home"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("miss"))
     placed = settled(placed.unionByName(other))
     cell = ["label", "list"]
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count_if(F.col("role") == 0) / BLOCK).cast("int").alias("nd"), F.ceil(F.count_if(F.col("role") == 1) / BLOCK).cast("int").alias("np")).where("nd > 0 and np > 0")
