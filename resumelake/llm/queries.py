@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resumelake.llm import kdsearch, packing, pqdedup, sharding, simhash, surrogates, toxicity
+from resumelake.llm import classlm, kdsearch, packing, pieces, pqdedup, sharding, simhash, surrogates, toxicity
 from resumelake.llm.shared import crc_of_id, table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -26,6 +30,10 @@ def op6_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pqdedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +49,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_packing, op5_sharding, op6_pq_dedup, op8_toxicity, op9_topk, op10_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_class_lm, op3_packing, op5_sharding, op6_pq_dedup, op7_sentencepiece, op8_toxicity, op9_topk, op10_surrogates)}
 ORACLE_SQL = {
     "op6_pq_dedup": """
         WITH RECURSIVE good AS (
