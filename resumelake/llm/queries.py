@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resumelake.llm import classlm, kdsearch, packing, pieces, pqdedup, sharding, simhash, surrogates, toxicity
+from resumelake.llm import classlm, idcoder, kdsearch, packing, pieces, pqdedup, sharding, simhash, surrogates, toxicity
 from resumelake.llm.shared import crc_of_id, table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -49,7 +53,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_class_lm, op3_packing, op5_sharding, op6_pq_dedup, op7_sentencepiece, op8_toxicity, op9_topk, op10_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_class_lm, op3_packing, op4_token_files, op5_sharding, op6_pq_dedup, op7_sentencepiece, op8_toxicity, op9_topk, op10_surrogates)}
 ORACLE_SQL = {
     "op6_pq_dedup": """
         WITH RECURSIVE good AS (
