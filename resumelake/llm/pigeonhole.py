@@ -30,7 +30,9 @@ BLOCK = 4
 #: Relative costs of sending a probe and of verifying a candidate.
 PROBE, CANDIDATE = 1.0, 0.05
 #: A bucket with more fingerprints than this is compared in blocks of BATCH, not by a join.
-HEAVY, BATCH = 256, 2048
+HEAVY, BATCH = 64, 2048
+#: A key's bits from here on number its part, which so has fewer bits than this.
+PART_AT = 58
 
 
 def _bits(pdf: pd.DataFrame, words: int) -> np.ndarray:
@@ -103,6 +105,8 @@ def allocate(hist: np.ndarray, n: int, radius: int) -> list[tuple[int, int, int]
         dist = np.ones(1)
         for j in range(i + 1, count + 1):
             dist = np.convolve(dist, chance[j - 1])
+            if BLOCK * (j - i) >= PART_AT:
+                break
             for need in range(1, radius + 2):
                 if (i, need) not in best:
                     continue
@@ -177,27 +181,27 @@ def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) ->
     parts = [(order[BLOCK * i : BLOCK * j], t) for i, j, t in allocate(hist, n, radius)]
 
     own = [f"f{w}" for w in range(words)]
-    keys = F.array(*[F.struct(F.lit(k).alias("part"), _key(bits).alias("key")) for k, (bits, _) in enumerate(parts)])
-    data = fps.select("rep", *own, F.explode(keys).alias("k")).select("rep", *own, "k.part", "k.key")
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(len(bits), t)]) for bits, t in parts])
-    probes = data.withColumn("mask", F.explode(F.element_at(masks, F.col("part") + 1))).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
-
-    heavy = settled(data.groupBy("part", "key").agg(F.count("*").alias("n_data")).where(F.col("n_data") > HEAVY))
+    keys = F.array(*[_key(bits).bitwiseOR(F.lit(k << PART_AT)) for k, (bits, _) in enumerate(parts)])
+    data = fps.select("rep", *own, F.explode(keys).alias("key"))
+    flips = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(len(bits), t)]) for bits, t in parts])
+    near = F.explode(F.element_at(flips, F.shiftright("key", PART_AT).cast("int") + 1))
+    probes = data.withColumn("flip", near).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+
+    counts = settled(data.groupBy("key").agg(F.count("*").alias("n")))
+    heavy = counts.where(F.col("n") > HEAVY)
     crowded = bool(heavy.limit(1).count())
+    light = data.join(heavy, "key", "left_anti") if crowded else data
+    cond = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (_apart(words) <= accept)
+    out = probes.alias("a").join(light.alias("b"), cond).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
     if crowded:
-        light, met = data.join(heavy, ["part", "key"], "left_anti"), probes.join(heavy, ["part", "key"], "left_anti")
-    else:
-        light, met = data, probes
-    cond = (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (_apart(words) <= accept)
-    out = met.alias("a").join(light.alias("b"), cond).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-    if crowded:
-        size_of = settled(probes.join(heavy, ["part", "key"]).groupBy("part", "key").agg(F.count("*").alias("n_probe"), F.first("n_data").alias("n_data")))
+        around = heavy.select("key", F.col("n").alias("n_data"), near.alias("flip")).withColumn("other", F.col("key").bitwiseXOR(F.col("flip")))
+        around = around.join(counts.select(F.col("key").alias("other"), "n"), "other").groupBy("key", "n_data").agg(F.sum("n").alias("n_probe"))
+        around = settled(around)
         blocks = lambda c: F.ceil(F.col(c) / BATCH).cast("int")
-        side = lambda df, c: F.pmod(F.xxhash64("rep"), blocks(c))
+        side = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
         spread = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-        d = data.join(size_of, ["part", "key"]).withColumn("i", side(data, "n_data").cast("int")).withColumn("j", spread("n_probe")).withColumn("role", F.lit(0))
-        q = probes.join(size_of, ["part", "key"]).withColumn("j", side(probes, "n_probe").cast("int")).withColumn("i", spread("n_data")).withColumn("role", F.lit(1))
-        cols = ["part", "key", "i", "j", "role", "rep", *own]
-        found = d.select(cols).unionByName(q.select(cols)).groupBy("part", "key", "i", "j").applyInPandas(_spanning(words, accept), "src long, dst long")
-        out = out.unionByName(found)
+        cols = ["key", "i", "j", "role", "rep", *own]
+        d = data.join(around, "key").withColumn("i", side("n_data")).withColumn("j", spread("n_probe")).withColumn("role", F.lit(0)).select(cols)
+        q = probes.join(around, "key").withColumn("j", side("n_probe")).withColumn("i", spread("n_data")).withColumn("role", F.lit(1)).select(cols)
+        out = out.unionByName(d.unionByName(q).groupBy("key", "i", "j").applyInPandas(_spanning(words, accept), "src long, dst long"))
     return out
