@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,18 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -
         width = min(edges[k + 1] - edges[k], wants[k] / max(n, 1))
         return texts.join(F.broadcast(known.where((F.col("u") >= edges[k]) & (F.col("u") < edges[k] + width))), "doc_id").select("text", "y")  # at most about wants[k] labels
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
-        rows = [0, 0]
-        for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                (pos if y else neg).update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-                rows[y > 0] += 1
-        yield pd.DataFrame({"term": ["", ""], "pos": [rows[1], 0], "neg": [0, rows[0]]})
-        terms = [t for t in pos.keys() | neg.keys() if pos[t] or neg[t] > 1]
-        yield pd.DataFrame({"term": terms, "pos": [pos[t] for t in terms], "neg": [neg[t] for t in terms]})
-
-    counts = sample(0).mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                (pos if y else neg).update({"", *(t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w))})  # "" counts the texts
+        terms = [t for t in pos.keys() | neg.keys() if t == "" or pos[t] or neg[t] > 1]
+        cols = [pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["term", "pos", "neg"])
+
+    counts = sample(0).mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.where((F.col("term") == "") | (F.col("pos") >= SUPPORT)).persist()
     whole = counts.where("term = ''").first()
     lexicon = {}
@@ -214,13 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -
         lexicon = {r["term"]: r["odds"] for r in top.collect()}
     counts.unpersist()
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in pdf["text"]], "y": pdf["y"]})
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t, lexicon) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
     def data(k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = sample(k).mapInPandas(measure, "x array<double>, y double").toPandas().sort_values(["y", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c)
-        return np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy()
+        got = sample(k).mapInArrow(measure, "x array<double>, y double").toArrow()
+        rows = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True))  # whatever order tasks end in
+        return np.array([x for _, x in rows]).reshape(len(rows), len(FEATURES)), np.array([y for y, _ in rows])
 
     trees = Trees().fit(*data(1))
     x, y = data(2)
