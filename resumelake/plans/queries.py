@@ -306,7 +306,7 @@ def name_candidates_email(spark, sf):
 def _cv_text(spark, sf) -> DataFrame:
     """A text for each customer: heading, contact lines, a chunk for each order, skills, education, certificates."""
     o = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "MM/yyyy").alias("m"), F.date_format(F.add_months("o_orderdate", 5), "MM/yyyy").alias("u")))).alias("o"))
-    c = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    c = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")  # few bytes, much work
     key = F.col("c_custkey").cast("string")
     chunk = lambda x: F.concat(x["m"], F.lit(" - "), x["u"], F.lit("\nAcme "), x["o_orderkey"].cast("string"), F.lit(" GmbH\nSenior Engineer\n- Entwicklung mit Java, Python und Docker\nTechnologien: Kafka, k8s, SQL"))
     body = F.concat(
