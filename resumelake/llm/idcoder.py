@@ -32,7 +32,7 @@ MAGIC, VERSION = b"RLID", 1
 #: Ids in a block, blocks that a segment aims at, slots of a prediction table, bits of all chances of a symbol.
 BLOCK, LANES, SLOTS, BITS = 4096, 2048, 4096, 15
 #: Added to a count when its symbol comes; the models' tables follow their counts at these steps, then each EVERY.
-STEP, EARLY, EVERY = 24, frozenset((8, 16, 32, 64)), 128
+STEP, EARLY, EVERY = 24, frozenset((8, 16, 32, 64, 128)), 256
 _HEAD = struct.Struct("<4sBIIIIQI")
 _U = np.uint64
 
@@ -56,7 +56,7 @@ class _Models:
         start = np.concatenate([[2, 2], np.maximum(1, (zipf / zipf.sum() * 200).astype(np.int64))])
         self.count = np.tile(start, (lanes, 9, 1)).astype(np.int32)
         self.all = np.tile(start, (lanes, 1)).astype(np.int32)
-        self.cum = np.zeros((lanes * 9, self.symbols + 1), dtype=np.int64)
+        self.cum = np.zeros((lanes * 9, self.symbols + 1), dtype=np.int32)
         self.table1 = np.zeros(lanes * SLOTS, dtype=np.uint32)  # rank << 4 | confidence; 0: none
         self.table2 = np.zeros(lanes * SLOTS, dtype=np.uint32)
         self.lane = np.arange(lanes, dtype=np.int64)
@@ -65,13 +65,16 @@ class _Models:
         self.level = np.array([0, 1, 1, *[2] * 13], dtype=np.int64)
         self.room = (1 << BITS) - self.symbols
         self.rank_of = np.repeat(np.arange(len(self.width)), self.width)
+        self.order = np.arange(1, self.symbols + 1, dtype=np.int32)
         self.follow()
 
     def follow(self) -> None:
         """Chances from the counts: those in the context, three times, and the block's own."""
-        mixed = self.count * 3 + self.all[:, None]
-        total = np.cumsum(mixed, axis=2, dtype=np.int64).reshape(-1, self.symbols)
-        self.cum[:, 1:] = total * self.room // total[:, -1:] + np.arange(1, self.symbols + 1)
+        mixed = self.count * 3
+        mixed += self.all[:, None]
+        total = np.cumsum(mixed.reshape(-1, self.symbols), axis=1, dtype=np.float64)
+        total *= self.room / total[:, -1:]  # the same sums and quotients of whole numbers on any machine
+        self.cum[:, 1:] = total.astype(np.int32) + self.order
 
     def predict(self) -> None:
         one, two = self.before
@@ -159,16 +162,17 @@ def decode(blocks: list[bytes], size: int, steps: int) -> np.ndarray:
     for k in range(4):
         value = value << _U(16) | words[:, k].astype(_U)
     out = np.zeros((steps, lanes), np.int64)
-    most = _U((1 << BITS) - 1)
+    most, width = _U((1 << BITS) - 1), models.cum.shape[1]
     for step in range(steps):
         models.predict()
         r = span >> _U(BITS)
-        v = np.minimum((value - low) // r, most).astype(np.int64)
-        rows = models.cum[models.context]
-        symbol = (rows[:, 1:] <= v[:, None]).sum(1)
-        start = rows[models.lane, symbol]
+        v = np.minimum((value - low) // r, most).astype(np.int32)
+        rows = models.cum.take(models.context, axis=0)
+        symbol = (rows[:, 1:] > v[:, None]).argmax(1)
+        at = models.lane * width + symbol
+        start, stop = rows.reshape(-1).take(at), rows.reshape(-1).take(at + 1)
         low += start.astype(_U) * r
-        span = (rows[models.lane, symbol + 1] - start).astype(_U) * r
+        span = (stop - start).astype(_U) * r
         b = np.maximum(symbol - 2, 0)
         wide = np.where(symbol > 1, models.width[b], 1).astype(_U)
         r = span // wide
