@@ -15,7 +15,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept by a worker; when more are needed the cache starts afresh.
-CACHE = 1_500_000
+CACHE = 800_000
+#: A worker's words by vocabulary; its later tasks find them too.
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]*)", re.UNICODE)
 
 
@@ -31,48 +33,47 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known = _KNOWN.setdefault(path, {b"": b""})
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _learn_letters(self, words: list[bytes]) -> None:
         """Words of letters only: one library call encodes them, and the library says which word an id is of."""
+        known = self.known
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            e = self.tokenizer.encode(b" ".join(part).decode("utf-8", "surrogatepass"), add_special_tokens=False)
             raw, ids = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-            ends = np.searchsorted(ids, np.arange(len(part)), side="right") * 4
+            ends = (np.searchsorted(ids, np.arange(len(part)), side="right") * 4).tolist()
             if len(ids) and ids[-1] == len(part) - 1:
-                start = 0
-                for w, end in zip(part, ends.tolist(), strict=True):
-                    self.known[w.encode()] = raw[start:end]
-                    start = end
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:  # a letter that the library's own tables see otherwise
                 for w in part:
-                    self.known[w.encode()] = self._library_ids(w)
+                    known[w] = self._library_ids(w.decode("utf-8", "surrogatepass"))
 
     def _learn(self, words: set[bytes]) -> None:
         letters, split, rest = set(), [], []
         for w in words:
-            m = _TAIL.fullmatch(s := w.decode("utf-8", "surrogatepass"))
-            if m and s.isascii():
-                letters.add(m[1])
-                split.append((w, m[1].encode(), m[2].encode()))
-            elif m and s.isalpha():
-                letters.add(s)
-            elif m and m[1].isalpha():
-                letters.add(m[1])
-                split.append((w, m[1].encode(), m[2].encode()))
+            if w.isalpha():  # A-Z only, of bytes
+                letters.add(w)
+            elif w[:-1].isalpha() and w[-1:] in b".,!?;:":
+                letters.add(w[:-1])
+                split.append((w, w[:-1], w[-1:]))
+            elif (m := _TAIL.fullmatch(s := w.decode("utf-8", "surrogatepass"))) and m[1].isalpha():
+                head = m[1].encode()
+                letters.add(head)
+                if m[2]:
+                    split.append((w, head, m[2].encode()))
             else:
-                rest.append(w)
-        self._learn_letters([x for x in letters if x.encode() not in self.known])
+                rest.append((w, s))
+        self._learn_letters(list(letters.difference(self.known)))
         for w, head, tail in split:
-            if tail and tail not in self.known:
+            if tail not in self.known:
                 self.known[tail] = self._library_ids(tail.decode())
             self.known[w] = self.known[head] + self.known[tail]
-        for w in rest:
-            self.known[w] = self._library_ids(w.decode("utf-8", "surrogatepass"))
+        for w, s in rest:
+            self.known[w] = self._library_ids(s)
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text; null is empty."""
@@ -84,7 +85,8 @@ class Encoder:
             split.append(words)
             need.update(words or ())
         if len(self.known) > CACHE:
-            self.known = {b"": b""}
+            self.known.clear()
+            self.known[b""] = b""
         if missing := need.difference(self.known):
             self._learn(missing)
         known = self.known.__getitem__
