@@ -134,8 +134,8 @@ def _apart(words: int) -> Column:
     return sum((F.bit_count(F.col(f"a.f{w}").bitwiseXOR(F.col(f"b.f{w}"))) for w in range(1, words)), F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))))
 
 
-def _spanning(words: int, within: int):
-    """Links enough to connect what the two sides of a block connect, by a union-find over all pairs of it."""
+def _spanning(words: int, radius: int, accept: int):
+    """Links enough to connect what the two sides of a block connect, by a union-find over all pairs of it: first those within radius, then those up to accept."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = pdf[[f"f{w}" for w in range(words)]].to_numpy(dtype="<i8").view(np.uint64)
@@ -150,9 +150,9 @@ def _spanning(words: int, within: int):
             return x
 
         src, dst = [], []
-        for i in probe:
+        for i, low, high in [(i, a, b) for a, b in {(-1, radius): 0, (radius, accept): 1} if b > a for i in probe]:
             far = sum(np.bitwise_count(raw[data, w] ^ raw[i, w]).astype(np.int64) for w in range(words))
-            for j in ids[data[far <= within]]:
+            for j in ids[data[(far > low) & (far <= high)]]:
                 a, b = find(int(ids[i])), find(int(j))
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -203,5 +203,5 @@ def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) ->
         cols = ["key", "i", "j", "role", "rep", *own]
         d = data.join(around, "key").withColumn("i", side("n_data")).withColumn("j", spread("n_probe")).withColumn("role", F.lit(0)).select(cols)
         q = probes.join(around, "key").withColumn("j", side("n_probe")).withColumn("i", spread("n_data")).withColumn("role", F.lit(1)).select(cols)
-        out = out.unionByName(d.unionByName(q).groupBy("key", "i", "j").applyInPandas(_spanning(words, accept), "src long, dst long"))
+        out = out.unionByName(d.unionByName(q).groupBy("key", "i", "j").applyInPandas(_spanning(words, radius, accept), "src long, dst long"))
     return out

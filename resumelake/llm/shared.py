@@ -12,8 +12,21 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows that go to a Python worker at a time: whole texts are long.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """spark, with batches of whole texts that stay small; a size set by the user stays."""
+    name, default, ours = ARROW_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, ours)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) a temporary one that is then set."""
+    lean(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="resumelake-")
@@ -30,7 +43,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_of_id(doc_id: Column, modulus: int) -> Column:

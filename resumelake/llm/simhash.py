@@ -57,11 +57,38 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own))
 
 
-def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None) -> DataFrame:
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, s: the distinct shingles of each text, as 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                sets = [np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, _shingles(words_of(t), k))), dtype="<i8")) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    return docs.mapInArrow(run, "doc_id long, s array<long>")
+
+
+def similar(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of edges (src, dst: doc_ids) whose texts' sets of k-word shingles have a Jaccard similarity of at least `least`.
+
+    Only the texts at the ends of edges are read into sets; texts without words are similar to each other.
+    """
+    ends = edges.select(F.col("src").alias("doc_id")).unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct()
+    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sets = settled(_shingle_sets(held.join(ends, "doc_id", "left_semi"), k))  # of an id with several texts, any will do
+    side = lambda a: sets.select(F.col("doc_id").alias(a), F.col("s").alias(f"{a}_s"))
+    both = F.size(F.array_intersect("src_s", "dst_s"))
+    either = F.size("src_s") + F.size("dst_s") - both
+    return edges.join(side("src"), "src").join(side("dst"), "dst").where(both >= either * least).select("src", "dst")
+
+
+def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None, verify: float | None = None) -> DataFrame:
     """doc_id, f0 (, f1), component_id (smallest doc_id reachable by links) of each row of docs.
 
     Fingerprints within radius bits are linked, and so are those met up to
-    accept bits. Null and empty texts have fingerprint zero and link like any
+    accept bits; with verify, links whose texts' shingle sets are less similar
+    than that (Jaccard) don't count. Null and empty texts have fingerprint zero and link like any
     other; rows repeated with one doc_id are returned as often as they come; a
     null doc_id is never a group's id unless all of the group have none; an
     empty table gives an empty result.
@@ -69,6 +96,9 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
     own = [f"f{w}" for w in range(words)]
     prints = settled(fingerprints(docs, k, words))
     nodes = settled(prints.groupBy(*own).agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes.where("rep is not null"), words, radius, accept))
+    edges = links(nodes.where("rep is not null"), words, radius, accept)
+    if verify is not None:
+        edges = similar(settled(edges.distinct()), docs, k, verify)
+    found = components(edges)
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, own).select("doc_id", *own, "component_id")
