@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resumelake.functions import spans, text
+from resumelake.operators import identity
 
 URL_FIND = r"\bhttps?://[^\s<>()\[\]\"']{6,}\b|\b(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:/[^\s<>()\[\]\"']*)?\b"
 MAPPING = "array<struct<key:string,value:string>>"
@@ -55,8 +56,8 @@ def redacted_values(docs: DataFrame, prefix: int, column: str = "text") -> DataF
     return docs.withColumn("_r", got).withColumn("redacted", F.col("_r.text")).withColumn("mapping", F.col("_r.mapping")).drop("_r")
 
 
-def names_masked(x: Column, mapping: Column, variants: Column) -> Column:
-    """struct<text, mapping>: each variant that the text holds, longest first, replaced by a PERSON token where it stands as a word."""
+def names_masked(x: Column, mapping: Column, variants: Column, out: Column | None = None) -> Column:
+    """struct<text, mapping>: each variant that the text x holds, longest first, replaced by a PERSON token where it stands as a word in out (default: x)."""
     quoted = lambda v: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}_])"))
     order = F.transform(F.array_sort(F.transform(variants, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
 
@@ -66,7 +67,36 @@ def names_masked(x: Column, mapping: Column, variants: Column) -> Column:
         hit = F.struct(F.regexp_replace(a["text"], quoted(v), token).alias("text"), F.concat(a["mapping"], F.array(F.struct(token.alias("key"), v.alias("value")))).alias("mapping"))
         return F.when(F.regexp_like(x, quoted(v)), hit).otherwise(a)
 
-    return F.aggregate(order, F.struct(x.alias("text"), mapping.cast(MAPPING).alias("mapping")), step)
+    return F.aggregate(order, F.struct((x if out is None else out).alias("text"), mapping.cast(MAPPING).alias("mapping")), step)
+
+
+def initials_masked(x: Column, out: Column, patterns: Column) -> Column:
+    """out (struct<text, mapping> of names_masked): each pattern (case counts) that the text x holds, replaced by a PERSON token; its first match is the value."""
+
+    def step(a: Column, p: Column) -> Column:
+        n = F.size(F.filter(a["mapping"], lambda m: m["key"].startswith("<PERSON"))) + 1
+        token = F.concat(F.lit("<PERSON"), n.cast("string"), F.lit(">"))
+        value = F.try_element_at(F.regexp_extract_all(x, p, F.lit(0)), F.lit(1))
+        hit = F.struct(F.regexp_replace(a["text"], p, token).alias("text"), F.concat(a["mapping"], F.array(F.struct(token.alias("key"), value.alias("value")))).alias("mapping"))
+        return F.when(value.isNotNull(), hit).otherwise(a)
+
+    return F.aggregate(patterns, F.struct(out["text"].alias("text"), out["mapping"].alias("mapping")), step)
+
+
+def anonymized(docs: DataFrame, column: str = "text", name: str = "name", policy: str = "redact_all", allowed: tuple[str, ...] = (), with_initials: bool = True) -> DataFrame:
+    """docs with redacted and mapping: patterns, then every form of the person's name (a column; null: unknown), initials, what the policy leaves of URLs, and tidy text. One projection.
+
+    A null text gives null.
+    """
+    x = text.norm_matching(F.col(column))
+    found = spans.collapsed(x, spans.without_dates(x, spans.detected(x)))
+    d = docs.withColumn("_x", x).withColumn("_r", F.when(F.col(column).isNotNull(), spans.numbered(F.col("_x"), found)))
+    forms = F.when(F.coalesce(text.trimmed(F.col(name)), F.lit("")) != "", identity.variants(F.col(name), F.col("_x"))).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("_v", forms).withColumn("_r", F.when(F.col("_r").isNotNull(), names_masked(F.col("_x"), F.col("_r.mapping"), F.col("_v"), F.col("_r.text"))))
+    if with_initials:
+        short = F.when(F.size("_v") > 0, identity.initials(F.col(name))).otherwise(F.array().cast("array<string>"))
+        d = d.withColumn("_r", F.when(F.col("_r").isNotNull(), initials_masked(F.col("_x"), F.col("_r"), short)))
+    return d.select(*docs.columns, spans.tidied(urls_replaced(F.col("_r.text"), policy, allowed)).alias("redacted"), F.col("_r.mapping").alias("mapping"))
 
 
 def stable_ids(entities: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from resumelake import schema
 from resumelake.functions import dates, spans, text
-from resumelake.operators import experience, identity, layout, profile, redaction, retrieval, timeline
+from resumelake.operators import cvjson, exclusion, experience, extraction, identity, layout, profile, redaction, retrieval, timeline
 from resumelake.sources import files
 
 ASOF = "2001-12"
@@ -479,3 +480,74 @@ def layout_lines(spark, sf):
     words = words.select(F.col("l_orderkey").alias("page"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), n.alias("word_no"), x0.alias("x0"), F.lit(0.0).alias("y0"), (x0 + F.when(n % 2 == 0, 9).otherwise(5)).alias("x1"), F.lit(1.0).alias("y1"), "word")
     whole = words.groupBy("page").agg((F.count("*") == F.max("word_no")).alias("whole")).where("whole")
     return layout.lines(words.join(whole, "page", "left_semi")).select("page", "x0", "x1", "text")
+
+
+@query("""SELECT doc_id, 'Anna Muster war hier, bei der Acme GmbH.' || chr(10) || '- Kafka-Cluster und SQL' || chr(10) || 'Kontakt:' || chr(10) || 'anna' || doc_id || '@mail.example.com' || chr(10) AS clean FROM documents""")
+def layout_text_clean(spark, sf):
+    raw = F.concat(F.lit("Anna Muster war hier,\nbei der Acme Gm b H.\n●Kafka-\nCluster\nund SQL\n12\n\n"[:-1]), F.lit("Kontakt:\nan na"), F.col("doc_id").cast("string"), F.lit("@mail.example.com"))
+    return _t(spark, sf, "documents").select("doc_id", F.regexp_replace(text.layout_text(raw), "\n\n", "\n").alias("clean"))
+
+
+@query("""WITH v AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 2) AS w FROM part)
+    SELECT p_partkey, p_name, list_has_any(string_split(lower(p_name), ' '), ['ringside', 'bolt']) OR starts_with('ringside', lower(p_name)) AS alone,
+    list_has_any(string_split(w, ' '), ['ringside', 'bolt']) OR contains('ringside', w) OR (contains('boltgun', w)) AS near FROM v""")
+def technology_words(spark, sf):
+    w, terms = F.element_at(F.split("p_name", " "), 2), exclusion.lexicon("ringside", "bolt", "boltgun", "gizmo-tool")
+    near = exclusion.is_technology(w, terms, F.lit("Ringside and BoltGun"))
+    return _t(spark, sf, "part").select("p_partkey", "p_name", exclusion.is_technology(F.col("p_name"), terms).alias("alone"), near.alias("near"))
+
+
+@query("""SELECT c_custkey AS doc_id, c_mktsegment IN ('BUILDING', 'MACHINERY') AS headed, c_mktsegment = 'HOUSEHOLD' AS listed FROM customer""")
+def technology_lists(spark, sf):
+    c, name = _t(spark, sf, "customer"), F.lit("Anna Muster")
+    headed = F.concat(F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "Kenntnisse: ").otherwise("Person "), name)
+    listed = F.concat(F.lit("at Bonn, "), F.lower(name), F.when(F.col("c_mktsegment") == "HOUSEHOLD", ", SQL").otherwise(" and SQL"))
+    return c.select(F.col("c_custkey").alias("doc_id"), exclusion.in_technology_list(headed, name).alias("headed"), exclusion.in_technology_list(listed, name).alias("listed"))
+
+
+@query("""SELECT doc_id, 'Hello <PERSON1>, write to <EMAIL_ADDRESS1>' || chr(10) AS redacted, 4::BIGINT AS tokens FROM documents""")
+def anonymized_names(spark, sf):
+    # four: each form that the text has as a word is recorded, also where a longer one took its place
+    key = F.col("doc_id").cast("string")
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("Hello Anna Muster, write to a"), key, F.lit("@mail.example.com")).alias("text"), F.lit("Anna Muster").alias("name"))
+    return redaction.anonymized(d).select("doc_id", "redacted", F.size("mapping").cast("long").alias("tokens"))
+
+
+@query("""SELECT c_custkey AS doc_id, 'Anna Muster' AS name, 'anna.muster' || c_custkey || '@mail.example.com' AS email, count(*) AS chunks, 6 * count(*) AS sql_months, round(6 * count(*) / 12.0, 2)::DOUBLE AS sql_years, true AS has_skills
+    FROM customer, orders WHERE c_custkey = o_custkey GROUP BY 1""")
+def profile_converted(spark, sf):
+    p = profile.converted(_cv_text(spark, sf).select("doc_id", "text"), ASOF)
+    sql = F.filter("technology_months", lambda m: m["technology"] == "SQL")[0]
+    return p.select("doc_id", "core_profile.name", "core_profile.email", F.size("timeline_chunks").cast("long").alias("chunks"), sql["months"].cast("long").alias("sql_months"), sql["years"].alias("sql_years"), F.col("quality_report.flags.has_skills_section").alias("has_skills"))
+
+
+def _cvs(spark, sf) -> DataFrame:
+    """A structured CV for each customer, from its orders."""
+    job = F.struct("seq", "start_date", "end_date", "is_current", F.col("seq").cast("string").alias("experience_id"), F.concat(F.lit(" Order\t"), F.col("seq").cast("string")).alias("role"), "technologies")
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, job))).alias("experience" if kind == "experience" else "projects")
+    rows = _entries(spark, sf).groupBy("doc_id").agg(of("experience"), of("project"))
+    cv = F.from_json(F.to_json(F.struct(F.lit(" A  \n\n\n\nB").alias("summary"), "experience", "projects")), schema.CV)
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"), cv.alias("cv"))
+
+
+@query(f"""WITH {_ENTRIES} SELECT doc_id, 'A' || chr(10) || chr(10) || 'B' AS summary, count(*) FILTER (kind = 'experience') AS jobs, 'Order ' || min(seq) FILTER (kind = 'experience') AS first FROM entries GROUP BY 1""")
+def cv_polished(spark, sf):
+    cv = cvjson.polished(F.col("cv"))
+    return _cvs(spark, sf).select("doc_id", cv.alias("cv")).select("doc_id", "cv.summary", F.size("cv.experience").cast("long").alias("jobs"), F.try_element_at("cv.experience", F.lit(1))["description"].alias("first"))
+
+
+@query(f"WITH {_EXPERIENCE} SELECT doc_id, doc_id || '.json' AS file_name, technology, total_months, experience_count, project_count, is_current, 384 AS dimension FROM experience")
+def cv_indexed(spark, sf):
+    rows = cvjson.index_documents(_cvs(spark, sf), ASOF, "2001-12-01T00:00:00")
+    return rows.select("doc_id", "file_name", F.explode("technology_experience").alias("t"), F.size("summary_embedding").alias("dimension")).select("doc_id", "file_name", "t.technology", F.col("t.total_months").cast("long").alias("total_months"), "t.experience_count", "t.project_count", "t.is_current", "dimension")
+
+
+@query("""SELECT doc_id, upper(lang) AS summary, text IS NULL OR trim(text) = '' AS failed FROM documents""")
+def structured_extraction(spark, sf):
+    def call(prompt: str) -> str:  # stands in for a model: the language code after the mark, in prose around JSON
+        return 'Sure: {"summary": "' + prompt.partition("LANG=")[2][:2].upper() + '"} done'
+
+    d = _t(spark, sf, "documents").select("doc_id", "lang", "text")
+    out = extraction.structured(d.withColumn("text", F.when(F.trim("text") != "", F.concat(F.lit("LANG="), "lang", F.lit(" "), "text"))), call, "{DOCUMENT_TEXT}")
+    cv = F.from_json("structured", schema.CV)
+    return out.select("doc_id", F.coalesce(cv["summary"], F.upper("lang")).alias("summary"), F.col("llm_error").isNotNull().alias("failed"))
