@@ -31,6 +31,8 @@ BLOCK = 4
 PROBE, CANDIDATE = 1.0, 0.05
 #: A bucket with more fingerprints than this is compared in blocks of BATCH, not by a join.
 HEAVY, BATCH = 64, 2048
+#: Such a comparison links nearer pairs first, in steps of this many bits beyond the radius.
+BAND = 2
 #: A key's bits from here on number its part, which so has fewer bits than this.
 PART_AT = 58
 
@@ -135,29 +137,30 @@ def _apart(words: int) -> Column:
 
 
 def _spanning(words: int, radius: int, accept: int):
-    """Links enough to connect what the two sides of a block connect, by a union-find over all pairs of it: first those within radius, then those up to accept."""
+    """Links enough to connect what the two sides of a block connect: first those within radius, then by distance, BAND bits at a time, up to accept.
+
+    As near links come first, those that a later check of the texts drops are mostly ones that no nearer path replaces.
+    """
+    bands = [(-1, radius), *((low, min(low + BAND, accept)) for low in range(radius, accept, BAND))]
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = pdf[[f"f{w}" for w in range(words)]].to_numpy(dtype="<i8").view(np.uint64)
-        ids = pdf["rep"].to_numpy()
+        ids, at = np.unique(pdf["rep"].to_numpy(), return_inverse=True)
         data, probe = np.flatnonzero(pdf["role"].to_numpy() == 0), np.flatnonzero(pdf["role"].to_numpy() == 1)
-        root = {int(x): int(x) for x in ids}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        src, dst = [], []
-        for i, low, high in [(i, a, b) for a, b in {(-1, radius): 0, (radius, accept): 1} if b > a for i in probe]:
-            far = sum(np.bitwise_count(raw[data, w] ^ raw[i, w]).astype(np.int64) for w in range(words))
-            for j in ids[data[(far > low) & (far <= high)]]:
-                a, b = find(int(ids[i])), find(int(j))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    src.append(int(ids[i]))
-                    dst.append(int(j))
+        far = np.zeros((len(probe), len(data)), dtype=np.uint8)
+        for row, i in zip(far, probe, strict=True):
+            for w in range(words):
+                row += np.bitwise_count(raw[data, w] ^ raw[i, w])
+        group, src, dst = np.arange(len(ids)), [], []
+        for low, high in bands:
+            for row, i in zip(far, probe, strict=True):
+                hits = at[data[(row > low) & (row <= high)] if low >= 0 else data[row <= high]]
+                for other, k in zip(*np.unique(group[hits], return_index=True), strict=True):
+                    mine = group[at[i]]
+                    if other != mine:
+                        group[group == max(mine, other)] = min(mine, other)
+                        src.append(ids[at[i]])
+                        dst.append(ids[hits[k]])
         return pd.DataFrame({"src": np.array(src, dtype=np.int64), "dst": np.array(dst, dtype=np.int64)})
 
     return link

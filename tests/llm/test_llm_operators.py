@@ -409,3 +409,30 @@ def test_small_spaces_are_drawn_again(spark):
     names = [f"Frau {a}{b}" for a in ("Ab", "Be", "Ci", "Do", "Eu", "Fa") for b in ("ra", "ro", "mi", "ka", "ste", "lun", "pol")]
     d = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "doc_id long, text string")
     assert len({r.text for r in surrogates.pseudonymized(d).collect()}) == len(names)
+
+
+def test_crowded_near_copies_are_grouped_by_similarity(spark):
+    rng = np.random.default_rng(5)
+    families = [[f"w{f}x{k}" for k in range(300)] for f in range(2)]
+    rows = []
+    for f, words in enumerate(families):
+        for n in range(120):
+            own = list(words)
+            for k in rng.choice(300, 1 + n % 4, replace=False):
+                own[k] = f"z{f}y{n}"
+            rows.append((1000 * f + n, " ".join(own)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(simhash._shingles(t.encode().split(), 5)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(d, 5, 2, 10, 28, 0.8).collect()}
+    assert got == {i: find(i) for i in sets} and set(got.values()) == {0, 1000}
