@@ -169,7 +169,7 @@ def _spanning(words: int, radius: int, accept: int):
 def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) -> DataFrame:
     """(src, dst) links that connect all fingerprints within the radius of each other.
 
-    fps: rep (long, unique), f0..f{words-1} (long), each fingerprint once.
+    fps: rep (long, unique), f0..f{words-1} (long); equal fingerprints are linked like any within the radius.
     accept: pairs that are met are linked up to this distance (radius by
     default); below the radius none is missed. Pairs in small buckets are
     all returned, larger buckets return links that span the same components.

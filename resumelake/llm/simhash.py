@@ -25,34 +25,39 @@ def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def fingerprint(text: str | None, k: int = 3, words: int = 1) -> tuple[int, ...]:
+def fingerprint(text: str | None, k: int = 3, words: int = 1, whole: bool = False) -> tuple[int, ...]:
     """64 * words bits (as signed 64-bit numbers) of the text's k-word shingles, repeats included.
 
+    whole: two more numbers follow, a 128-bit hash of the set of shingles.
+
     A bit is 1 if it is set in over half the shingle hashes; hashes are XXH64
     (seed 42) for one word and XXH3-128 for two. A text of fewer than k words
     has itself as its only shingle; without words the fingerprint is zero.
     """
     h = partial(xxhash.xxh64_digest, seed=42) if words == 1 else xxhash.xxh3_128_digest
     tokens = words_of(text)
-    total, n = np.zeros(64 * words, dtype=np.int64), 0
+    total, n, seen = np.zeros(64 * words, dtype=np.int64), 0, [np.zeros(0, dtype="<i8")]
     for at in range(0, max(len(tokens) - k + 1, 1), CHUNK):
         raw = b"".join(map(h, _shingles(tokens[at : at + CHUNK + k - 1], k)))
         bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8 * words), axis=1)
         total += bits.sum(0, dtype=np.int64)
         n += len(bits)
+        if whole:
+            seen.append(np.unique(np.frombuffer(raw, dtype="<i8")[::words]))
     packed = np.packbits(total * 2 > n) if n else np.zeros(8 * words, dtype=np.uint8)
-    return tuple(int(x) for x in packed.view(">i8"))
+    of_set = np.frombuffer(xxhash.xxh3_128_digest(np.unique(np.concatenate(seen)).tobytes()), dtype="<i8") if whole else ()
+    return (*(int(x) for x in packed.view(">i8")), *(int(x) for x in of_set))
 
 
-def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, f0 (, f1) of each row of docs (doc_id, text; other columns are left aside)."""
+def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, whole: bool = False) -> DataFrame:
+    """doc_id, f0 (, f1) of each row of docs (doc_id, text; other columns are left aside); whole: and h0, h1, the hash of its set of shingles."""
 
-    own = [f"f{w}" for w in range(words)]
+    own = [f"f{w}" for w in range(words)] + ["h0", "h1"] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(t, k, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([p[w] for p in prints], pa.int64()) for w in range(words))], names=["doc_id", *own])
+            prints = [fingerprint(t, k, words, whole) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([p[w] for p in prints], pa.int64()) for w in range(len(own)))], names=["doc_id", *own])
 
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own))
 
@@ -88,17 +93,19 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
 
     Fingerprints within radius bits are linked, and so are those met up to
     accept bits; with verify, links whose texts' shingle sets are less similar
-    than that (Jaccard) don't count. Null and empty texts have fingerprint zero and link like any
-    other; rows repeated with one doc_id are returned as often as they come; a
+    than that (Jaccard) don't count, and only texts of equal sets are one without such a link.
+    Null and empty texts have fingerprint zero and link like any other; rows repeated with one doc_id are returned as often as they come; a
     null doc_id is never a group's id unless all of the group have none; an
     empty table gives an empty result.
     """
     own = [f"f{w}" for w in range(words)]
-    prints = settled(fingerprints(docs, k, words))
-    nodes = settled(prints.groupBy(*own).agg(F.min("doc_id").alias("rep")))
+    whole = verify is not None
+    node = [*own, "h0", "h1"] if whole else own
+    prints = settled(fingerprints(docs, k, words, whole))
+    nodes = settled(prints.groupBy(*node).agg(F.min("doc_id").alias("rep")))
     edges = links(nodes.where("rep is not null"), words, radius, accept)
-    if verify is not None:
+    if whole:
         edges = similar(settled(edges.distinct()), docs, k, verify)
     found = components(edges)
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, own).select("doc_id", *own, "component_id")
+    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*node, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, node).select("doc_id", *own, "component_id")

@@ -38,3 +38,14 @@ def test_near_copies_go_and_others_stay(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert p.drop_near_copies(spark, d, "").count() == p.replace_personal_data(spark, d, "").count() == p.pack(spark, d, "").count() == 0
+
+
+def test_equal_fingerprints_of_different_texts_stay_apart(spark):
+    from resumelake.llm import simhash
+
+    line = " ".join(f"common{k}" for k in range(9))
+    texts = [" ".join([line] * 130 + [f"{own}{k}" for k in range(800)]) for own in "ab"]
+    assert simhash.fingerprint(texts[0], 5, 2) == simhash.fingerprint(texts[1], 5, 2)
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[1])]
+    d = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.drop_near_copies(spark, d, "").collect()) == [1, 2]
