@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,6 +19,10 @@ from resumelake.llm.shared import plain, settled, words_of
 
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
+#: Texts (expected number) and shingles by which frequent shingles are put last; on this order the cost depends, not the result.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
+#: Shingles of prefixes that one task holds (expected number).
+TASK = 1 << 20
 
 
 def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
@@ -62,13 +68,18 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, whole: bool = Fals
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own))
 
 
+def _shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingles of a text, as 64-bit hashes in rising order."""
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, _shingles(words_of(text), k))), dtype="<i8"))
+
+
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, s: the distinct shingles of each text, as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                sets = [np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, _shingles(words_of(t), k))), dtype="<i8")) for t in b.column("text").to_pylist()]
+                sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     return docs.mapInArrow(run, "doc_id long, s array<long>")
@@ -88,12 +99,106 @@ def similar(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
     return edges.join(side("src"), "src").join(side("dst"), "dst").where(both >= either * least).select("src", "dst")
 
 
+def _frequent(docs: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, in rising order, and how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
+            s, count = np.unique(np.concatenate([np.zeros(0, dtype="<i8"), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(count)], names=["s", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n // ORDER_TEXTS, 1))) == 0)
+    counts = some.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
+    return rows["s"].to_numpy(dtype="<i8"), rows["n"].to_numpy(dtype="<i8")
+
+
+def _met(docs: DataFrame, k: int, least: float) -> DataFrame:
+    """(key, doc_id): the ids whose texts' prefixes share a key, at least two to a key; ids that are null are left out.
+
+    Two sets with a Jaccard similarity of `least` share ceil(least * size) shingles at least, of either's size. So if
+    all sets are put in one order, the first size - ceil(least * size) + 1 of both have one in common, without exception.
+    """
+    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    size = held.agg(F.count("*"), F.sum(F.length("text"))).first()
+    frequent, count = _frequent(held, k, size[0])
+    parts = max(int((size[1] or 0) / 6 * (1 - least)) // TASK, 16)  # about six characters a word
+
+    def prefix(text: str | None) -> np.ndarray:
+        s = _shingle_set(text, k)
+        need = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+        at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
+        often = np.where(frequent[at] == s, count[at], 0) if len(frequent) else np.zeros(len(s), dtype=np.int64)
+        return s[np.lexsort((s, often))[:need]].view("<u8")
+
+    def planes(x: np.ndarray, n: int) -> bytes:
+        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+    def numbers(raw: bytes, n: int) -> np.ndarray:
+        out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
+        out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(n, -1).T
+        return out.view("<u8").ravel()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy().view("<u8")
+            found = [prefix(t) for t in b.column("text").to_pylist()]
+            keys, owner = np.concatenate([np.zeros(0, dtype="<u8"), *found]), np.repeat(ids, [len(x) for x in found])
+            part = (keys & np.uint64(0xFFFFFF)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            keys, owner, part = keys[order], owner[order], part[order]
+            p, start = np.unique(part, return_index=True)
+            ends = np.append(start, len(part))[1:]
+            rows = [(planes(keys[i:j] >> np.uint64(24), 5), planes(owner[i:j], 8)) for i, j in zip(start, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys", "owners"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, owner = np.concatenate([numbers(x, 5) for x in pdf["keys"]]), np.concatenate([numbers(x, 8) for x in pdf["owners"]])
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        return pd.DataFrame({"key": keys[shared].astype(np.int64) | int(pdf["part"].iloc[0]) << 40, "doc_id": owner[shared].view("<i8")})
+
+    return held.mapInArrow(deal, "part int, keys binary, owners binary").groupBy("part").applyInPandas(meet, "key long, doc_id long")
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (src, dst) that edges lack: with them, each pair of texts of a similarity of `least` or more is connected.
+
+    nodes: rep. Pairs within one component of edges are left out; all others that can be so similar are compared.
+    """
+    reps = nodes.where("rep is not null").select("rep").distinct()
+    met = settled(_met(docs, k, least).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
+
+    def apart(edges: DataFrame) -> DataFrame:
+        named = met.join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        open_ = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        return settled(named.join(open_.select("key", "low"), "key"))
+
+    # First a text of each component with one of the key's first component, as long as that links any.
+    while True:
+        left = apart(edges)
+        ends = left.groupBy("key", "low", "c").agg(F.min("doc_id").alias("doc_id"))
+        first = ends.where("c = low").select("key", F.col("doc_id").alias("dst"))
+        tried = ends.where("c > low").join(first, "key").select(F.col("doc_id").alias("src"), "dst").distinct()
+        new = settled(similar(settled(tried), docs, k, least))
+        if not new.limit(1).count():
+            break
+        edges = settled(edges.unionByName(new))
+    a, b = (left.select("key", F.col("doc_id").alias(side), F.col("c").alias(f"c_{side}")) for side in ("src", "dst"))
+    pairs = a.join(b, "key").where("c_src > c_dst").select("src", "dst").distinct()
+    return edges.unionByName(similar(settled(pairs), docs, k, least))
+
+
 def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None, verify: float | None = None) -> DataFrame:
     """doc_id, f0 (, f1), component_id (smallest doc_id reachable by links) of each row of docs.
 
     Fingerprints within radius bits are linked, and so are those met up to
     accept bits; with verify, links whose texts' shingle sets are less similar
-    than that (Jaccard) don't count, and only texts of equal sets are one without such a link.
+    than that (Jaccard) don't count, all pairs of texts that similar are
+    connected, however far apart their fingerprints are, and only texts of equal sets are one without such a link.
     Null and empty texts have fingerprint zero and link like any other; rows repeated with one doc_id are returned as often as they come; a
     null doc_id is never a group's id unless all of the group have none; an
     empty table gives an empty result.
@@ -105,7 +210,8 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
     nodes = settled(prints.groupBy(*node).agg(F.min("doc_id").alias("rep")))
     edges = links(nodes.where("rep is not null"), words, radius, accept)
     if whole:
-        edges = similar(settled(edges.distinct()), docs, k, verify)
+        edges = settled(similar(settled(edges.distinct()), docs, k, verify))
+        edges = _rest(docs, nodes, edges, k, verify)
     found = components(edges)
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*node, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, node).select("doc_id", *own, "component_id")

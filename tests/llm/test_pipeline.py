@@ -49,3 +49,24 @@ def test_equal_fingerprints_of_different_texts_stay_apart(spark):
     rows = [(1, texts[0]), (2, texts[1]), (3, texts[1])]
     d = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.drop_near_copies(spark, d, "").collect()) == [1, 2]
+
+
+def test_all_pairs_at_the_similarity_are_found(spark):
+    """Pairs at about 0.81, among others, are together; pairs at about 0.77 aren't."""
+    from resumelake.llm import simhash
+
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for n in range(1500):
+        words = [f"w{k}" for k in rng.integers(0, 50_000, 300)]
+        near = list(words)
+        for k in range(9, 300, 50 if n % 2 else 40):
+            near[k] = f"own{n}x{k}"
+        a, b = (frozenset(simhash._shingles([w.encode() for w in t], 5)) for t in (words, near))
+        together = len(a & b) >= 0.8 * len(a | b)
+        assert together == (n % 2 == 1)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(near))]
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n + (not together)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(d, p.SHINGLE, p.WORDS, p.GUARANTEED, p.SIMILAR, p.JACCARD).collect()}
+    assert got == want
