@@ -70,3 +70,23 @@ def test_all_pairs_at_the_similarity_are_found(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_groups(d, p.SHINGLE, p.WORDS, p.GUARANTEED, p.SIMILAR, p.JACCARD).collect()}
     assert got == want
+
+
+def test_near_copies_in_a_crowd_of_less_similar_texts_are_found(spark, monkeypatch):
+    """Texts of one template (about 0.7 to each other), a near copy of each: 100 groups of two."""
+    from resumelake.llm import pigeonhole, simhash
+
+    monkeypatch.setattr(pigeonhole, "HEAVY", 4)
+    rows, sets = [], {}
+    for n in range(100):
+        words = [f"template{k}" for k in range(300)]
+        words[:50] = [f"own{n}x{k}" for k in range(50)]
+        near = list(words)
+        for k in (100, 140, 180, 220, 260):
+            near[k] = f"copy{n}x{k}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(near))]
+    sets = {i: frozenset(simhash._shingles(t.encode().split(), 5)) for i, t in rows}
+    similar = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar == {(2 * n, 2 * n + 1) for n in range(100)}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), p.SHINGLE, p.WORDS, p.GUARANTEED, p.SIMILAR, p.JACCARD).collect()}
+    assert got == {i: i - i % 2 for i in sets}
