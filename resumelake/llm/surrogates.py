@@ -6,7 +6,7 @@ its value alone: the same value has the same surrogate wherever it stands
 card numbers keep a valid check digit, names get names of the same script and of
 the gender that their title tells. All distinct values of the corpus are checked:
 two values with one surrogate, or a surrogate that is itself a value found, are
-drawn again with the next attempt number, until all are distinct.
+drawn again with the next attempt number, until all are distinct (or an error says that they aren't).
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _SYLLABLES = {
     "latin": ["bar", "bel", "cor", "dan", "fel", "gar", "hol", "kem", "lan", "mar", "nel", "por", "ran", "sel", "tor", "vin"],
     "cyrillic": ["бар", "вел", "гор", "дан", "зел", "кор", "лан", "мар", "нев", "пор", "род", "сел", "тар", "фед", "хол", "чер"],
 }
+#: Draws of a value at each width of its surrogate, steps by which that grows at most, draws until an error is raised.
+NARROW, WIDEST, DRAWS = 4, 6, 64
 _HEX = 120  # hex digits of a pool that are used in turn
 
 
@@ -82,12 +84,19 @@ def _luhn(number: Column) -> Column:
 
 
 def surrogate(value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity's value; attempt: 0, or more after collisions."""
+    """The surrogate of an entity's value; attempt: 0, or more after collisions.
+
+    From attempt NARROW on, names get more syllables, e-mails longer domain numbers and phone numbers and
+    secrets more digits, more of them every NARROW attempts, so that one that is free exists.
+    """
     kind = kind_of(value)
     seed = F.concat(F.lit(key), F.lit("\x1f"), kind, F.lit("\x1f"), value, F.lit("\x1f"), attempt.cast("string"))
     pool = F.sha2(seed, 512)
     no_hex = F.lit(False)
-    email = F.concat(_recast(F.substring_index(value, "@", 1), pool, no_hex), F.lit("@mail"), (_draw(pool, F.lit(20)) % 90 + 10).cast("string"), F.lit(".example.net"))
+    wider = F.least(F.floor(attempt / NARROW).cast("int"), F.lit(WIDEST))
+    more = lambda one: F.when(wider > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(wider, F.lit(1))), one), "")).otherwise("")
+    digits = more(lambda i: F.lpad((_draw(pool, i + 20) % 10_000).cast("string"), 4, "0"))
+    email = F.concat(_recast(F.substring_index(value, "@", 1), pool, no_hex), F.lit("@mail"), (_draw(pool, F.lit(20)) % 90 + 10).cast("string"), digits, F.lit(".example.net"))
     octet = lambda k, n, low: (_draw(pool, F.lit(k)) % n + low).cast("string")
     ip = F.concat_ws(".", octet(0, 222, 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
     body = F.concat(value.substr(F.lit(1), F.lit(1)), _recast(value.substr(F.lit(2), F.length(value) - 2), pool, no_hex))
@@ -95,18 +104,19 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     card = F.when(_luhn(value) % 10 == 0, F.concat(body, check)).otherwise(_recast(value, pool, no_hex))
     label = F.regexp_extract(value, "(?i)^(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\\s*[=:]\\s*[\"']?", 0)
     rest = value.substr(F.length(label) + 1, F.length(value))
-    secret = F.concat(label, _recast(rest, pool, rest.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+    secret = F.concat(label, _recast(rest, pool, rest.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), digits)
     head = F.regexp_extract(value, "^(?:AKIA|ASIA|gh[a-z]_|sk-)", 0)
     access = F.concat(head, _recast(value.substr(F.length(head) + 1, F.length(value)), pool, no_hex))
     iban = F.concat(value.substr(F.lit(1), F.lit(2)), _recast(value.substr(F.lit(3), F.length(value)), pool, no_hex))
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    phone = F.concat(country, _recast(value.substr(F.length(country) + 1, F.length(value)), pool, no_hex))
+    phone = F.concat(country, _recast(value.substr(F.length(country) + 1, F.length(value)), pool, no_hex), digits)
     title = F.regexp_extract(value, "^" + _TITLE + r"\s", 0)
     woman = title.rlike("^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)")
     cyrillic = value.rlike(r"\p{IsCyrillic}[\p{L}'’-]*$")
     choose = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), _draw(pool, F.lit(k)) % len(xs) + 1)
     first = F.when(cyrillic, F.when(woman, choose(FIRST["cyrillic_f"], 0)).otherwise(choose(FIRST["cyrillic_m"], 0))).when(woman, choose(FIRST["latin_f"], 0)).otherwise(choose(FIRST["latin_m"], 0))
-    family = F.initcap(F.concat(*[F.when(cyrillic, choose(_SYLLABLES["cyrillic"], k)).otherwise(choose(_SYLLABLES["latin"], k)) for k in range(1, 5)]))
+    syllable = lambda i: F.element_at(F.when(cyrillic, F.array(*map(F.lit, _SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, _SYLLABLES["latin"]))), _draw(pool, i) % 16 + 1)
+    family = F.initcap(F.concat(*[F.when(cyrillic, choose(_SYLLABLES["cyrillic"], k)).otherwise(choose(_SYLLABLES["latin"], k)) for k in range(1, 5)], more(lambda i: syllable(i + 4))))
     words = F.size(F.split(value.substr(F.length(title) + 1, F.length(value)), r"\s"))
     name = F.concat(title, F.when(words > 1, F.concat(first, F.lit(" "), family)).otherwise(family))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret).when(kind == "access_key", access)
@@ -129,7 +139,7 @@ def attempts(values: DataFrame, key: str) -> DataFrame | None:
     own = settled(values.where("entity <> 'private_key'").select("entity", "value").distinct())
     drawn = own.withColumn("attempt", F.lit(0))
     n = 0
-    while n < 64:
+    while True:
         shown = settled(drawn.withColumn("shown", surrogate(F.col("value"), key, F.col("attempt"))))
         shared = shown.groupBy("entity", "shown").agg(F.count("*").alias("n"), F.min("value").alias("first")).where("n > 1")
         real = own.select("entity", F.col("value").alias("shown"))
@@ -137,6 +147,8 @@ def attempts(values: DataFrame, key: str) -> DataFrame | None:
         bad = settled(bad)
         if not bad.limit(1).count():
             break
+        if n == DRAWS:
+            raise RuntimeError(f"surrogates still collide after {DRAWS} draws")
         drawn = shown.join(bad.withColumn("again", F.lit(1)), "value", "left").select("entity", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
         n += 1
     return drawn.where("attempt > 0").select("value", "attempt") if n else None

@@ -436,3 +436,21 @@ def test_crowded_near_copies_are_grouped_by_similarity(spark):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.doc_id: r.component_id for r in simhash.near_groups(d, 5, 2, 10, 28, 0.8).collect()}
     assert got == {i: find(i) for i in sets} and set(got.values()) == {0, 1000}
+
+
+def test_more_values_than_narrow_surrogates_stay_distinct(spark):
+    """One-letter e-mails have 2,340 narrow surrogates; a secret of signs alone has none but itself."""
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a@x"), F.col("id"), F.lit(".org")).alias("text"))
+    signs = spark.createDataFrame([(9000, "password=--------")], "doc_id long, text string")
+    texts = {r.text for r in surrogates.pseudonymized(d.unionByName(signs)).collect()}
+    assert len(texts) == 6001 and "password=--------" not in texts
+
+
+def test_wide_names_are_distinct_and_names(spark):
+    d = spark.range(3000).select(F.concat(F.lit("Frau X"), F.lower(F.conv(F.col("id") + 100_000, 10, 36))).alias("value"))
+    d = d.withColumn("value", F.translate("value", "0123456789", "абвгдежзий"))
+    wide = [r.s for r in d.select(surrogates.surrogate(F.col("value"), "k", F.lit(20)).alias("s")).collect()]
+    narrow = [r.s for r in d.select(surrogates.surrogate(F.col("value"), "k", F.lit(0)).alias("s")).collect()]
+    assert len(set(narrow)) < len(set(wide)) == 3000
+    kinds = spark.createDataFrame([(s,) for s in wide], "value string").select(surrogates.kind_of(F.col("value")).alias("k")).distinct().collect()
+    assert [r.k for r in kinds] == ["name"]
