@@ -3,7 +3,7 @@
 An entity found in a text gets a surrogate that depends on the key, its type and
 its value alone: the same value has the same surrogate wherever it stands
 (coreference). Letters stay letters of the same case, digits digits, signs stay;
-card numbers keep a valid check digit, names get names of the same script and of
+card numbers keep a valid check digit, private keys their labels and lines, names get names of the same script and of
 the gender that their title tells. All distinct values of the corpus are checked:
 two values with one surrogate, or a surrogate that is itself a value found, are
 drawn again with the next attempt number, until all are distinct (or an error says that they aren't).
@@ -86,8 +86,8 @@ def _luhn(number: Column) -> Column:
 def surrogate(value: Column, key: str, attempt: Column) -> Column:
     """The surrogate of an entity's value; attempt: 0, or more after collisions.
 
-    From attempt NARROW on, names get more syllables, e-mails longer domain numbers and phone numbers and
-    secrets more digits, more of them every NARROW attempts, so that one that is free exists.
+    From attempt NARROW on, names get more syllables, e-mails longer domain numbers and phone numbers, secrets
+    and private keys more digits, more of them every NARROW attempts, so that one that is free exists.
     """
     kind = kind_of(value)
     seed = F.concat(F.lit(key), F.lit("\x1f"), kind, F.lit("\x1f"), value, F.lit("\x1f"), attempt.cast("string"))
@@ -119,8 +119,12 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     family = F.initcap(F.concat(*[F.when(cyrillic, choose(_SYLLABLES["cyrillic"], k)).otherwise(choose(_SYLLABLES["latin"], k)) for k in range(1, 5)], more(lambda i: syllable(i + 4))))
     words = F.size(F.split(value.substr(F.length(title) + 1, F.length(value)), r"\s"))
     name = F.concat(title, F.when(words > 1, F.concat(first, F.lit(" "), family)).otherwise(family))
+    edge = lambda word, at: F.regexp_extract(value, at.format(f"-----{word} [A-Z ]{{0,30}}PRIVATE KEY-----"), 0)
+    begin, end = edge("BEGIN", "^{}"), edge("END", "{}$")
+    inner = value.substr(F.length(begin) + 1, F.length(value) - F.length(begin) - F.length(end))
+    private = F.concat(begin, _recast(inner, pool, no_hex), digits, end)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret).when(kind == "access_key", access)
-    out = out.when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", name).when(kind == "private_key", F.lit("-----BEGIN PRIVATE KEY-----\nREMOVED\n-----END PRIVATE KEY-----"))
+    out = out.when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", name).when(kind == "private_key", private)
     return out.otherwise(_recast(value, pool, no_hex))
 
 
@@ -134,9 +138,9 @@ def attempts(values: DataFrame, key: str) -> DataFrame | None:
     """value, attempt of the distinct values whose first surrogate collides; None if none does.
 
     A surrogate collides if another value has it, or if it is itself a value found. The smallest
-    value keeps a shared one. Private keys all get the same notice and aren't checked.
+    value keeps a shared one.
     """
-    own = settled(values.where("entity <> 'private_key'").select("entity", "value").distinct())
+    own = settled(values.select("entity", "value").distinct())
     drawn = own.withColumn("attempt", F.lit(0))
     n = 0
     while True:
