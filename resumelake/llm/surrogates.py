@@ -129,9 +129,9 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, entity, value for each entity found in docs (doc_id, text), in no order."""
-    rows = plain(docs, ["doc_id", "text"]).where(F.col("text").rlike(_MAYBE))
-    return rows.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_ALL), F.lit(0))).alias("value")).select("doc_id", kind_of(F.col("value")).alias("entity"), "value")
+    """doc_id, row, entity, value for each entity found in docs (doc_id, text), in no order; row: a hash of id and text, never null."""
+    rows = plain(docs, ["doc_id", "text"]).where(F.col("text").rlike(_MAYBE)).withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.select("doc_id", "row", F.explode(F.regexp_extract_all("text", F.lit(_ALL), F.lit(0))).alias("value")).select("doc_id", "row", kind_of(F.col("value")).alias("entity"), "value")
 
 
 def attempts(values: DataFrame, key: str) -> DataFrame | None:
@@ -182,12 +182,12 @@ def pseudonymized(docs: DataFrame, key: str = "resumelake") -> DataFrame:
     if redo is None:
         return counted.withColumn("text", simple)
     redo = settled(redo)
-    again = found.join(redo, "value").where("doc_id is not null").select("doc_id", "value", "attempt").distinct()
-    per_doc = again.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("_again"))
-    per_doc = settled(per_doc)
-    held = counted.join(per_doc, "doc_id")
+    again = found.join(redo, "value").select(F.col("row").alias("_row"), "value", "attempt").distinct()
+    per_row = settled(again.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("_again")))
+    here = F.xxhash64("doc_id", "text") == F.col("_row")
+    held = counted.join(per_row, here)
     special = held.withColumn("text", F.when(maybe, _rebuilt(text, lambda m: surrogate(m, key, F.coalesce(F.try_element_at("_again", m), zero)))).otherwise(text))
-    rest = counted.join(per_doc, "doc_id", "left_anti").withColumn("text", simple)
+    rest = counted.join(per_row, here, "left_anti").withColumn("text", simple)
     return rest.unionByName(special.select(rest.columns))
 
 

@@ -478,3 +478,9 @@ def test_private_keys_are_told_apart_and_keep_their_form(spark):
             form = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
             assert form(one) == form(v) and one.splitlines()[0] == v.splitlines()[0] and one.splitlines()[-1] == v.splitlines()[-1]
     assert len(set(shown)) == len(keys)
+
+
+def test_rows_without_an_id_show_redrawn_surrogates(spark):
+    rows = [(k if k % 2 else None, f"a@x{k // 2}.org") for k in range(800)]
+    out = [r.text for r in surrogates.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == 800 and len(set(out)) == 400
