@@ -21,6 +21,10 @@ from resumelake.llm.shared import plain, settled, words_of
 CHUNK = 1 << 15
 #: Texts (expected number) and shingles by which frequent shingles are put last; on this order the cost depends, not the result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
+#: 64-bit words of a set's map, a bit of which is set if a shingle falls on it.
+MAP = 16
+#: Up to so many ids go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
+SENT = 1_000_000
 #: Shingles of prefixes that one task holds (expected number).
 TASK = 1 << 20
 
@@ -92,6 +96,8 @@ def similar(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
     """
     ends = edges.select(F.col("src").alias("doc_id")).unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct()
     held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    ends = settled(ends)
+    ends = F.broadcast(ends) if ends.count() <= SENT else ends
     sets = settled(_shingle_sets(held.join(ends, "doc_id", "left_semi"), k))  # of an id with several texts, any will do
     side = lambda a: sets.select(F.col("doc_id").alias(a), F.col("s").alias(f"{a}_s"))
     both = F.size(F.array_intersect("src_s", "dst_s"))
@@ -99,6 +105,34 @@ def similar(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
     return edges.join(side("src"), "src").join(side("dst"), "dst").where(both >= either * least).select("src", "dst")
 
 
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, b0..b15: size and map of the set of shingles of each text with an id."""
+    own = [f"b{w}" for w in range(MAP)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
+            bits = np.zeros((len(sets), 64 * MAP), dtype=np.uint8)
+            for row, s in zip(bits, sets, strict=True):
+                row[s & (64 * MAP - 1)] = 1
+            maps = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(maps[:, w]) for w in range(MAP))], names=["doc_id", "n", *own])
+
+    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    return held.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in own))
+
+
+def _possible(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of edges (src, dst) that sizes and maps allow to be as similar as `least`: none that is as similar is left out.
+
+    Each bit that one map has and the other hasn't stands for a shingle at least that the other set lacks.
+    """
+    side = lambda a: sketches.select(F.col("doc_id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in sketches.columns[1:]))
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{w}")))) for w in range(MAP)), F.lit(0))
+    most = F.least(F.col("src_n") - lacks("src", "dst"), F.col("dst_n") - lacks("dst", "src"))
+    return edges.join(side("src"), "src").join(side("dst"), "dst").where(most >= (F.col("src_n") + F.col("dst_n") - most) * least).select("src", "dst")
+
+
 def _frequent(docs: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a sample of texts have, in rising order, and how many have them."""
 
@@ -172,6 +206,12 @@ def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, least: fl
     reps = nodes.where("rep is not null").select("rep").distinct()
     met = settled(_met(docs, k, least).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
 
+    sketches = settled(_sketches(docs, k).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = settled(_possible(pairs, sketches, least).distinct())
+        return settled(similar(pairs, docs, k, least)) if pairs.limit(1).count() else pairs
+
     def apart(edges: DataFrame) -> DataFrame:
         named = met.join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         open_ = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
@@ -183,13 +223,13 @@ def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, least: fl
         ends = left.groupBy("key", "low", "c").agg(F.min("doc_id").alias("doc_id"))
         first = ends.where("c = low").select("key", F.col("doc_id").alias("dst"))
         tried = ends.where("c > low").join(first, "key").select(F.col("doc_id").alias("src"), "dst").distinct()
-        new = settled(similar(settled(tried), docs, k, least))
+        new = checked(tried)
         if not new.limit(1).count():
             break
         edges = settled(edges.unionByName(new))
     a, b = (left.select("key", F.col("doc_id").alias(side), F.col("c").alias(f"c_{side}")) for side in ("src", "dst"))
     pairs = a.join(b, "key").where("c_src > c_dst").select("src", "dst").distinct()
-    return edges.unionByName(similar(settled(pairs), docs, k, least))
+    return edges.unionByName(checked(pairs))
 
 
 def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None, verify: float | None = None) -> DataFrame:
