@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 (pos if y else neg).update({"", *(t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w))})  # "" counts the texts
-        terms = [t for t in pos.keys() | neg.keys() if t == "" or pos[t] or neg[t] > 1]
+        terms = list(pos.keys() | neg.keys())
         cols = [pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["term", "pos", "neg"])
 

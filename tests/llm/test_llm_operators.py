@@ -484,3 +484,11 @@ def test_rows_without_an_id_show_redrawn_surrogates(spark):
     rows = [(k if k % 2 else None, f"a@x{k // 2}.org") for k in range(800)]
     out = [r.text for r in surrogates.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(out) == 800 and len(set(out)) == 400
+
+
+def test_the_lexicon_does_not_depend_on_the_partitions(spark):
+    rows = [(k, "common zorg" if k % 10 == 0 else "common plain", int(k % 40 == 0)) for k in range(4000)]
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    few, many = (toxicity.fit(docs.repartition(n, "doc_id"), labels).lexicon for n in (1, 200))
+    assert few == many and "zorg" in few
