@@ -151,7 +151,7 @@ def _spanning(words: int, radius: int, accept: int):
         for row, i in zip(far, probe, strict=True):
             for w in range(words):
                 row += np.bitwise_count(raw[data, w] ^ raw[i, w])
-        group, src, dst = np.arange(len(ids)), [], []
+        group, src, dst, bits = np.arange(len(ids)), [], [], []
         for low, high in bands:
             for row, i in zip(far, probe, strict=True):
                 hits = at[data[(row > low) & (row <= high)] if low >= 0 else data[row <= high]]
@@ -161,13 +161,14 @@ def _spanning(words: int, radius: int, accept: int):
                         group[group == max(mine, other)] = min(mine, other)
                         src.append(ids[at[i]])
                         dst.append(ids[hits[k]])
-        return pd.DataFrame({"src": np.array(src, dtype=np.int64), "dst": np.array(dst, dtype=np.int64)})
+                        bits.append(high)
+        return pd.DataFrame({"src": np.array(src, dtype=np.int64), "dst": np.array(dst, dtype=np.int64), "bits": np.array(bits, dtype=np.int32)})
 
     return link
 
 
 def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) -> DataFrame:
-    """(src, dst) links that connect all fingerprints within the radius of each other.
+    """(src, dst, bits) links that connect all fingerprints within the radius of each other, and how far apart they are (in large buckets: at most).
 
     fps: rep (long, unique), f0..f{words-1} (long); equal fingerprints are linked like any within the radius.
     accept: pairs that are met are linked up to this distance (radius by
@@ -195,7 +196,7 @@ def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) ->
     crowded = bool(heavy.limit(1).count())
     light = data.join(heavy, "key", "left_anti") if crowded else data
     cond = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (_apart(words) <= accept)
-    out = probes.alias("a").join(light.alias("b"), cond).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
+    out = probes.alias("a").join(light.alias("b"), cond).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"), _apart(words).cast("int").alias("bits"))
     if crowded:
         around = heavy.select("key", F.col("n").alias("n_data"), near.alias("flip")).withColumn("other", F.col("key").bitwiseXOR(F.col("flip")))
         around = around.join(counts.select(F.col("key").alias("other"), "n"), "other").groupBy("key", "n_data").agg(F.sum("n").alias("n_probe"))
@@ -206,5 +207,5 @@ def links(fps: DataFrame, words: int, radius: int, accept: int | None = None) ->
         cols = ["key", "i", "j", "role", "rep", *own]
         d = data.join(around, "key").withColumn("i", side("n_data")).withColumn("j", spread("n_probe")).withColumn("role", F.lit(0)).select(cols)
         q = probes.join(around, "key").withColumn("j", side("n_probe")).withColumn("i", spread("n_data")).withColumn("role", F.lit(1)).select(cols)
-        out = out.unionByName(d.unionByName(q).groupBy("key", "i", "j").applyInPandas(_spanning(words, radius, accept), "src long, dst long"))
+        out = out.unionByName(d.unionByName(q).groupBy("key", "i", "j").applyInPandas(_spanning(words, radius, accept), "src long, dst long, bits int"))
     return out

@@ -56,6 +56,24 @@ def plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
+#: A key with more rows than this many, and than one row in HOT_SHARE, is met apart: at most HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 100_000, 10_000
+
+
+def met_again(rows: DataFrame, keyed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows joined with keyed (a row for each key, with the number of its rows in `rows`); frequent keys are sent to all tasks instead of all their rows to one.
+
+    Frequent keys are HOT_SHARE at most, whatever the tables' sizes.
+    """
+    total = keyed.agg(F.sum("rows")).first()[0] or 0
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot = keyed.where(F.col("rows") > bound)
+    if not hot.limit(1).count():
+        return rows.join(keyed, list(key))
+    apart = rows.join(F.broadcast(hot.select(*key)), list(key), "left_anti").join(keyed.where(F.col("rows") <= bound), list(key))
+    return rows.join(F.broadcast(hot), list(key)).unionByName(apart)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space and 09-0D of the text, A-Z in lower case; null is empty."""
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()

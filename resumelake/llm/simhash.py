@@ -1,4 +1,11 @@
-"""SimHash near-duplicate groups, found by the generalised pigeonhole principle (pigeonhole.py)."""
+"""SimHash near-duplicate groups, found by the generalised pigeonhole principle (pigeonhole.py).
+
+With a similarity to verify, links between fingerprints count only if the texts' sets of shingles are that similar
+(Jaccard), and a second, exact way connects the pairs that are so similar though their fingerprints are far apart:
+each set's shingles are put in one order, rare ones first, and two sets of a similarity s share a shingle among the
+first 1 - s of each. Sets that meet so, and aren't connected yet, are compared unless their sizes, the places of
+the shingle, or small maps of the sets rule the pair out. One pass over the texts gives all that this needs.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +22,7 @@ from pyspark.sql import functions as F
 
 from resumelake.llm.graph import components
 from resumelake.llm.pigeonhole import links
-from resumelake.llm.shared import plain, settled, words_of
+from resumelake.llm.shared import met_again, plain, settled, words_of
 
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
@@ -23,10 +30,13 @@ CHUNK = 1 << 15
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
 #: 64-bit words of a set's map, a bit of which is set if a shingle falls on it.
 MAP = 16
-#: Up to so many ids go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
+#: Up to so many ids (16 bytes each) go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
 SENT = 1_000_000
 #: Shingles of prefixes that one task holds (expected number).
 TASK = 1 << 20
+#: A shingle that more sets than this share in their prefixes is dealt in blocks of so many sets, a pair of blocks to a task.
+CROWD = 256
+_MAPS = [f"b{w}" for w in range(MAP)]
 
 
 def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
@@ -35,201 +45,244 @@ def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def fingerprint(text: str | None, k: int = 3, words: int = 1, whole: bool = False) -> tuple[int, ...]:
-    """64 * words bits (as signed 64-bit numbers) of the text's k-word shingles, repeats included.
-
-    whole: two more numbers follow, a 128-bit hash of the set of shingles.
-
-    A bit is 1 if it is set in over half the shingle hashes; hashes are XXH64
-    (seed 42) for one word and XXH3-128 for two. A text of fewer than k words
-    has itself as its only shingle; without words the fingerprint is zero.
-    """
+def _print(text: str | None, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint's words, and the distinct shingles (the first 64 bits of their hashes) in rising order."""
     h = partial(xxhash.xxh64_digest, seed=42) if words == 1 else xxhash.xxh3_128_digest
     tokens = words_of(text)
-    total, n, seen = np.zeros(64 * words, dtype=np.int64), 0, [np.zeros(0, dtype="<i8")]
+    total, n, seen = np.zeros(64 * words, dtype=np.int64), 0, []
     for at in range(0, max(len(tokens) - k + 1, 1), CHUNK):
         raw = b"".join(map(h, _shingles(tokens[at : at + CHUNK + k - 1], k)))
         bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8 * words), axis=1)
         total += bits.sum(0, dtype=np.int64)
         n += len(bits)
-        if whole:
-            seen.append(np.unique(np.frombuffer(raw, dtype="<i8")[::words]))
+        seen.append(np.frombuffer(raw, dtype="<i8")[::words])
     packed = np.packbits(total * 2 > n) if n else np.zeros(8 * words, dtype=np.uint8)
-    of_set = np.frombuffer(xxhash.xxh3_128_digest(np.unique(np.concatenate(seen)).tobytes()), dtype="<i8") if whole else ()
-    return (*(int(x) for x in packed.view(">i8")), *(int(x) for x in of_set))
+    return packed.view(">i8").astype("<i8"), np.concatenate(seen)
 
 
-def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, whole: bool = False) -> DataFrame:
-    """doc_id, f0 (, f1) of each row of docs (doc_id, text; other columns are left aside); whole: and h0, h1, the hash of its set of shingles."""
+def fingerprint(text: str | None, k: int = 3, words: int = 1) -> tuple[int, ...]:
+    """64 * words bits (as signed 64-bit numbers) of the text's k-word shingles, repeats included.
 
-    own = [f"f{w}" for w in range(words)] + ["h0", "h1"] * whole
+    A bit is 1 if it is set in over half the shingle hashes; hashes are XXH64
+    (seed 42) for one word and XXH3-128 for two. A text of fewer than k words
+    has itself as its only shingle; without words the fingerprint is zero.
+    """
+    return tuple(int(x) for x in _print(text, k, words)[0])
+
+
+def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
+    """doc_id, f0 (, f1) of each row of docs (doc_id, text; other columns are left aside)."""
+
+    own = [f"f{w}" for w in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(t, k, words, whole) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([p[w] for p in prints], pa.int64()) for w in range(len(own)))], names=["doc_id", *own])
+            prints = [fingerprint(t, k, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([p[w] for p in prints], pa.int64()) for w in range(words))], names=["doc_id", *own])
 
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own))
 
 
-def _shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct shingles of a text, as 64-bit hashes in rising order."""
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, _shingles(words_of(text), k))), dtype="<i8"))
+def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """doc_id, t (XXH64 of the text), f0 (, f1), h0, h1 (a hash of the set of shingles), n (its size), b0..b15 (its map), prefix of each row.
+
+    prefix: the first n - ceil(least * n) + 1 shingles, rare ones first. Two sets with a similarity of `least` share
+    ceil(least * n) shingles at least, of either's n: so the prefixes of both have one in common, without exception.
+    """
+    own = ["t", *(f"f{w}" for w in range(words)), "h0", "h1", "n", *_MAPS]
+    frequent, count = _frequent(docs, k, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, prefixes, bits = [], [], np.zeros((b.num_rows, 64 * MAP), dtype=np.uint8)
+            for row, text in zip(bits, b.column("text").to_pylist(), strict=True):
+                f, s = _print(text, k, words)
+                s = np.unique(s)
+                row[s & (64 * MAP - 1)] = 1
+                at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
+                often = np.where(frequent[at] == s, count[at], 0) if len(frequent) else np.zeros(len(s), dtype=np.int64)
+                need = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+                prefixes.append(s[np.lexsort((s, often))[:need]].tobytes())
+                rows.append((*f, *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"), len(s)))
+            numbers = np.array(rows, dtype="<i8").reshape(b.num_rows, words + 3)
+            maps = np.packbits(bits, axis=1).view("<i8")
+            cols = [pa.array(np.ascontiguousarray(x)) for x in (*numbers.T, *maps.T)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), *cols, pa.array(prefixes, pa.binary())], names=["doc_id", *own, "prefix"])
+
+    rows = plain(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own) + ", prefix binary")
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, s: the distinct shingles of each text, as 64-bit hashes."""
+def _frequent(docs: DataFrame, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, in rising order, and how many have them."""
+    n = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_print(t, k, words)[1]) for t in b.column("text").to_pylist()]
+            s, count = np.unique(np.concatenate([np.zeros(0, dtype="<i8"), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(count)], names=["s", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n // ORDER_TEXTS, 1))) == 0)
+    counts = some.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
+    return rows["s"].to_numpy(dtype="<i8"), rows["n"].to_numpy(dtype="<i8")
+
+
+def _shingle_sets(rows: DataFrame, k: int, words: int) -> DataFrame:
+    """node, s: the distinct shingles of each text, as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+                sets = [np.unique(_print(t, k, words)[1]) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return rows.mapInArrow(run, "node long, s array<long>")
 
 
-def similar(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of edges (src, dst: doc_ids) whose texts' sets of k-word shingles have a Jaccard similarity of at least `least`.
+def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """Those of edges (src, dst: nodes) whose texts' sets of k-word shingles have a Jaccard similarity of at least `least`.
 
-    Only the texts at the ends of edges are read into sets; texts without words are similar to each other.
+    nodes: node, doc_id, t of a row of each; only the texts at the ends of edges are read into sets. Texts without words are similar to each other.
     """
-    ends = edges.select(F.col("src").alias("doc_id")).unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct()
-    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ends = settled(ends)
-    ends = F.broadcast(ends) if ends.count() <= SENT else ends
-    sets = settled(_shingle_sets(held.join(ends, "doc_id", "left_semi"), k))  # of an id with several texts, any will do
-    side = lambda a: sets.select(F.col("doc_id").alias(a), F.col("s").alias(f"{a}_s"))
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    ends = settled(ends.join(nodes.select("node", "doc_id", "t"), "node").select("node", F.col("doc_id").alias("_id"), F.col("t").alias("_t")))
+    held = plain(docs, ["doc_id", "text"])
+    one = F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    held = held.join(F.broadcast(ends) if ends.count() <= SENT else ends, one).select("node", "text")
+    sets = settled(_shingle_sets(held, k, words).dropDuplicates(["node"]))
+    side = lambda a: sets.select(F.col("node").alias(a), F.col("s").alias(f"{a}_s"))
     both = F.size(F.array_intersect("src_s", "dst_s"))
     either = F.size("src_s") + F.size("dst_s") - both
     return edges.join(side("src"), "src").join(side("dst"), "dst").where(both >= either * least).select("src", "dst")
 
 
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, b0..b15: size and map of the set of shingles of each text with an id."""
-    own = [f"b{w}" for w in range(MAP)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
-            bits = np.zeros((len(sets), 64 * MAP), dtype=np.uint8)
-            for row, s in zip(bits, sets, strict=True):
-                row[s & (64 * MAP - 1)] = 1
-            maps = np.packbits(bits, axis=1).view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(maps[:, w]) for w in range(MAP))], names=["doc_id", "n", *own])
-
-    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    return held.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in own))
-
-
-def _possible(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def _possible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Those of edges (src, dst) that sizes and maps allow to be as similar as `least`: none that is as similar is left out.
 
     Each bit that one map has and the other hasn't stands for a shingle at least that the other set lacks.
     """
-    side = lambda a: sketches.select(F.col("doc_id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in sketches.columns[1:]))
+    side = lambda a: nodes.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("n", *_MAPS)))
     lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{w}")))) for w in range(MAP)), F.lit(0))
     most = F.least(F.col("src_n") - lacks("src", "dst"), F.col("dst_n") - lacks("dst", "src"))
     return edges.join(side("src"), "src").join(side("dst"), "dst").where(most >= (F.col("src_n") + F.col("dst_n") - most) * least).select("src", "dst")
 
 
-def _frequent(docs: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of texts have, in rising order, and how many have them."""
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of numbers, all first bytes before all second ones (so that equal ones compress)."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingle_set(t, k) for t in b.column("text").to_pylist()]
-            s, count = np.unique(np.concatenate([np.zeros(0, dtype="<i8"), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(count)], names=["s", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n // ORDER_TEXTS, 1))) == 0)
-    counts = some.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
-    return rows["s"].to_numpy(dtype="<i8"), rows["n"].to_numpy(dtype="<i8")
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
+    out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(n, -1).T
+    return out.view("<u8").ravel()
 
 
-def _met(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """(key, doc_id): the ids whose texts' prefixes share a key, at least two to a key; ids that are null are left out.
+def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles, of which number at of one is number to of the other and none before is shared, can be as similar as least."""
+    need = np.ceil(least / (1 + least) * (n + m) - 1e-9)
+    return np.minimum(n - at, m - to) >= need
 
-    Two sets with a Jaccard similarity of `least` share ceil(least * size) shingles at least, of either's size. So if
-    all sets are put in one order, the first size - ceil(least * size) + 1 of both have one in common, without exception.
-    """
-    held = plain(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    size = held.agg(F.count("*"), F.sum(F.length("text"))).first()
-    frequent, count = _frequent(held, k, size[0])
-    parts = max(int((size[1] or 0) / 6 * (1 - least)) // TASK, 16)  # about six characters a word
-
-    def prefix(text: str | None) -> np.ndarray:
-        s = _shingle_set(text, k)
-        need = len(s) - math.ceil(least * len(s) - 1e-9) + 1
-        at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-        often = np.where(frequent[at] == s, count[at], 0) if len(frequent) else np.zeros(len(s), dtype=np.int64)
-        return s[np.lexsort((s, often))[:need]].view("<u8")
-
-    def planes(x: np.ndarray, n: int) -> bytes:
-        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
-
-    def numbers(raw: bytes, n: int) -> np.ndarray:
-        out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
-        out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(n, -1).T
-        return out.view("<u8").ravel()
+
+def _met(nodes: DataFrame, parts: int, least: float) -> DataFrame:
+    """kind, key, src, dst, n, at of what nodes (node, c, n, prefix) share: pairs of nodes of unlike c (kind 0: src, dst), and members of crowds (node src, dst: its c; kind 2 if that isn't the crowd's most frequent)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy().view("<u8")
-            found = [prefix(t) for t in b.column("text").to_pylist()]
-            keys, owner = np.concatenate([np.zeros(0, dtype="<u8"), *found]), np.repeat(ids, [len(x) for x in found])
+            node, c, n = (b.column(x).to_numpy() for x in ("node", "c", "n"))
+            found = [np.frombuffer(p, dtype="<u8") for p in b.column("prefix").to_pylist()]
+            size = np.array([len(x) for x in found], dtype=np.int64)
+            row = np.repeat(np.arange(len(found)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            keys = np.concatenate([np.zeros(0, dtype="<u8"), *found])
             part = (keys & np.uint64(0xFFFFFF)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            keys, owner, part = keys[order], owner[order], part[order]
+            keys, row, at, part = keys[order], row[order], at[order], part[order]
             p, start = np.unique(part, return_index=True)
             ends = np.append(start, len(part))[1:]
-            rows = [(planes(keys[i:j] >> np.uint64(24), 5), planes(owner[i:j], 8)) for i, j in zip(start, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys", "owners"])
+            cut = lambda x, k: pa.array([_planes(x[i:j], k) for i, j in zip(start, ends, strict=True)], pa.binary())
+            cols = [pa.array(p.astype(np.int32)), cut(keys >> np.uint64(24), 5), cut(node[row], 8), cut(c[row] ^ node[row], 8), cut(n[row], 4), cut(at, 4)]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "keys", "node", "c", "n", "at"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, owner = np.concatenate([numbers(x, 5) for x in pdf["keys"]]), np.concatenate([numbers(x, 8) for x in pdf["owners"]])
-        order = np.argsort(keys)
-        keys, owner = keys[order], owner[order]
-        same = keys[1:] == keys[:-1]
-        shared = np.append(same, False) | np.insert(same, 0, False)
-        return pd.DataFrame({"key": keys[shared].astype(np.int64) | int(pdf["part"].iloc[0]) << 40, "doc_id": owner[shared].view("<i8")})
-
-    return held.mapInArrow(deal, "part int, keys binary, owners binary").groupBy("part").applyInPandas(meet, "key long, doc_id long")
-
-
-def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, least: float) -> DataFrame:
+        key, node, c, n, at = (np.concatenate([_numbers(x, k) for x in pdf[name]]).view("<i8") for name, k in (("keys", 5), ("node", 8), ("c", 8), ("n", 4), ("at", 4)))
+        c ^= node
+        order = np.argsort(key, kind="stable")
+        key, node, c, n, at = (x[order] for x in (key, node, c, n, at))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        own = np.repeat(size, size)
+        out: list[tuple] = []
+        small = np.flatnonzero((own > 1) & (own <= CROWD))
+        key_, node_, c_, n_, at_ = (x[small] for x in (key, node, c, n, at))
+        for d in range(1, CROWD):
+            i = np.flatnonzero(key_[d:] == key_[:-d])
+            if not len(i):
+                break
+            i = i[c_[i] != c_[i + d]]
+            i = i[_fits(n_[i], at_[i], n_[i + d], at_[i + d], least)]
+            if len(i):
+                a, b = node_[i], node_[i + d]
+                out.append((np.maximum(a, b), np.minimum(a, b)))
+        pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)]), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        zero = np.zeros(pairs.shape[1], dtype=np.int64)
+        rows = [pd.DataFrame({"kind": zero.astype(np.int32), "key": zero, "src": pairs[0], "dst": pairs[1], "n": zero, "at": zero})]
+        for i, m in zip(start[size > CROWD], size[size > CROWD], strict=True):
+            crowd = slice(i, i + m)
+            groups, count = np.unique(c[crowd], return_counts=True)
+            if len(groups) > 1:
+                kind = np.where(c[crowd] == groups[count.argmax()], 1, 2).astype(np.int32)
+                rows.append(pd.DataFrame({"kind": kind, "key": key[crowd] | int(pdf["part"].iloc[0]) << 40, "src": node[crowd], "dst": c[crowd], "n": n[crowd], "at": at[crowd]}))
+        return pd.concat(rows)
+
+    return nodes.select("node", "c", "n", "prefix").mapInArrow(deal, "part int, keys binary, node binary, c binary, n binary, at binary").groupBy("part").applyInPandas(meet, "kind int, key long, src long, dst long, n long, at long")
+
+
+def _in_crowds(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of the pairs in crowds, of unlike c, that sizes, places and maps allow to be as similar as least; compared in blocks."""
+    sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / (8 * CROWD)).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / (8 * CROWD)).cast("int").alias("np"))
+    side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
+    rows = crowd.join(sizes, "key")
+    data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
+    probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
+    dealt = data.unionByName(probes).join(nodes.select(F.col("node").alias("src"), *_MAPS), "src").select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", *_MAPS)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        maps = pdf[_MAPS].to_numpy(dtype="<i8").view("<u8")
+        node, c, n, at = (pdf[x].to_numpy() for x in ("src", "c", "n", "at"))
+        is_probe = pdf["probe"].to_numpy()
+        data, out = np.flatnonzero(~is_probe), []
+        for p in np.flatnonzero(is_probe):
+            d = data[c[data] != c[p]]
+            d = d[_fits(n[p], at[p], n[d], at[d], least)]
+            lacks = np.bitwise_count(maps[p][None] & ~maps[d]).sum(1, dtype=np.int64), np.bitwise_count(maps[d] & ~maps[p][None]).sum(1, dtype=np.int64)
+            most = np.minimum(n[p] - lacks[0], n[d] - lacks[1])
+            d = node[d[most >= (n[p] + n[d] - most) * least]]
+            out.append((np.maximum(d, node[p]), np.minimum(d, node[p])))
+        pairs = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in out)]) for k in (0, 1)]
+        return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
+
+
+def _rest(nodes: DataFrame, edges: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
     """Links (src, dst) that edges lack: with them, each pair of texts of a similarity of `least` or more is connected.
 
-    nodes: rep. Pairs within one component of edges are left out; all others that can be so similar are compared.
+    Pairs within one component of edges are left out; all others that can be so similar are compared.
     """
-    reps = nodes.where("rep is not null").select("rep").distinct()
-    met = settled(_met(docs, k, least).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
-
-    sketches = settled(_sketches(docs, k).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = settled(_possible(pairs, sketches, least).distinct())
-        return settled(similar(pairs, docs, k, least)) if pairs.limit(1).count() else pairs
-
-    def apart(edges: DataFrame) -> DataFrame:
-        named = met.join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        open_ = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        return settled(named.join(open_.select("key", "low"), "key"))
-
-    # First a text of each component with one of the key's first component, as long as that links any.
-    while True:
-        left = apart(edges)
-        ends = left.groupBy("key", "low", "c").agg(F.min("doc_id").alias("doc_id"))
-        first = ends.where("c = low").select("key", F.col("doc_id").alias("dst"))
-        tried = ends.where("c > low").join(first, "key").select(F.col("doc_id").alias("src"), "dst").distinct()
-        new = checked(tried)
-        if not new.limit(1).count():
-            break
-        edges = settled(edges.unionByName(new))
-    a, b = (left.select("key", F.col("doc_id").alias(side), F.col("c").alias(f"c_{side}")) for side in ("src", "dst"))
-    pairs = a.join(b, "key").where("c_src > c_dst").select("src", "dst").distinct()
-    return edges.unionByName(checked(pairs))
+    found = settled(components(edges))
+    few = found.count() <= SENT
+    total = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    placed = nodes.join(F.broadcast(found) if few else found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    met = settled(_met(placed, max(total // 8 // TASK, 16), least))
+    pairs = met.where("kind = 0").select("src", "dst").distinct()
+    crowd = met.where("kind > 0")
+    pairs = settled(_possible(pairs, nodes, least))
+    if crowd.limit(1).count():
+        pairs = settled(pairs.unionByName(_in_crowds(crowd, nodes, least)).distinct())
+    return similar(pairs, nodes, docs, k, words, least) if pairs.limit(1).count() else pairs
 
 
 def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None, verify: float | None = None) -> DataFrame:
@@ -239,19 +292,48 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
     accept bits; with verify, links whose texts' shingle sets are less similar
     than that (Jaccard) don't count, all pairs of texts that similar are
     connected, however far apart their fingerprints are, and only texts of equal sets are one without such a link.
-    Null and empty texts have fingerprint zero and link like any other; rows repeated with one doc_id are returned as often as they come; a
-    null doc_id is never a group's id unless all of the group have none; an
+    Two columns more then come: t, a hash of the text (with doc_id, it tells which row this is), and group, the same in all rows of a group.
+    Null and empty texts have fingerprint zero and link like any other; rows repeated with one doc_id are returned as often as they come; rows
+    without a doc_id link like any other, too, but their null is never a group's id unless all of the group have none; an
     empty table gives an empty result.
     """
     own = [f"f{w}" for w in range(words)]
     whole = verify is not None
-    node = [*own, "h0", "h1"] if whole else own
-    prints = settled(fingerprints(docs, k, words, whole))
-    nodes = settled(prints.groupBy(*node).agg(F.min("doc_id").alias("rep")))
-    edges = links(nodes.where("rep is not null"), words, radius, accept)
     if whole:
-        edges = settled(similar(settled(edges.distinct()), docs, k, verify))
-        edges = _rest(docs, nodes, edges, k, verify)
-    found = components(edges)
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*node, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, node).select("doc_id", *own, "component_id")
+        prints = settled(_whole_prints(docs, k, words, verify))
+        key, first = ["h0", "h1"], F.min(F.struct("doc_id", "t", *own))
+        same = prints.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), first.alias("a"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _MAPS], F.first("prefix").alias("prefix"))
+        nodes = settled(same.select(F.monotonically_increasing_id().alias("node"), *key, "rep", "rows", "a.*", "n", *_MAPS, "prefix"))
+    else:
+        prints, key = settled(fingerprints(docs, k, words)), own
+        same = prints.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+        nodes = settled(same.select(F.monotonically_increasing_id().alias("node"), *key, "rep", "rows"))  # numbers of a written table: they stay
+    edges = links(nodes.select(F.col("node").alias("rep"), *own), words, radius, accept)
+    if whole:
+        # Of each node's links the nearest is checked; the exact way meets all others.
+        edges = settled(edges.groupBy(F.greatest("src", "dst").alias("src")).agg(F.min_by(F.least("src", "dst"), F.struct("bits", F.least("src", "dst"))).alias("dst")))
+        edges = settled(similar(_possible(edges, nodes, verify), nodes, docs, k, words, verify))
+        edges = settled(edges.unionByName(_rest(nodes, edges, docs, k, words, verify)))
+    found = settled(components(edges.select("src", "dst")))
+    linked = settled(nodes.select("node", *key, "rep", "rows").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")))
+    least = linked.where("component is not null").groupBy("group").agg(F.min("rep").alias("least"))
+    named = settled(linked.join(least, "group", "left").select(*key, "rows", "group", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")))
+    return met_again(prints.select("doc_id", *own, *(["t", *key] if whole else [])), named, key).select("doc_id", *own, "component_id", *(["t", "group"] if whole else []))
+
+
+def one_of_each(docs: DataFrame, k: int, words: int, radius: int, accept: int, verify: float) -> DataFrame:
+    """Of each group of near copies (near_groups) the row with the smallest doc_id, and of its texts, if the id has several, one; repeated rows once.
+
+    Rows are told apart by doc_id and text: rows of one id in two groups each stay if they are their group's. Rows without an id stay.
+    """
+    groups = settled(near_groups(docs, k, words, radius, accept, verify).where("doc_id is not null").groupBy("group", "doc_id", "t").agg(F.count("*").alias("rows")))
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "t")).alias("k")).select("k.*")
+    gone = settled(groups.select("doc_id", "t").join(kept, ["doc_id", "t"], "left_anti"))
+    again = settled(groups.where("rows > 1").select("doc_id", "t").join(kept, ["doc_id", "t"], "left_semi"))
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    sent = lambda df: F.broadcast(df) if df.count() <= SENT else df
+    rows = rows.join(sent(gone), ["doc_id", "t"], "left_anti")
+    if again.limit(1).count():
+        once = rows.join(sent(again), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.first("d").alias("d")).select("d", "doc_id", "t")
+        rows = rows.join(sent(again), ["doc_id", "t"], "left_anti").select("d", "doc_id", "t").unionByName(once)
+    return rows.select("d.*")

@@ -79,6 +79,34 @@ def test_groups_and_odd_rows(odd, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_rows_without_ids_carry_links(spark):
+    """Texts 3 and 9 are linked through one without an id only."""
+    line = [f"w{k}" for k in range(300)]
+    base = simhash.fingerprint(" ".join(line))[0]
+    rng = random.Random(1)
+    chain, seen = [" ".join(line)], [base]
+    while len(chain) < 3:  # two changed bits a step, four over both
+        w = chain[-1].split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(300)] = f"z{rng.random()}"
+        f = simhash.fingerprint(" ".join(w))[0]
+        apart = [((f ^ g) % (1 << 64)).bit_count() for g in seen]
+        if 0 < apart[-1] <= 2 and all(a > 2 for a in apart[:-1]):
+            chain.append(" ".join(w))
+            seen.append(f)
+    d = spark.createDataFrame([(3, chain[0]), (None, chain[1]), (9, chain[2]), (None, "alone")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_groups(d).collect()) == [("3", "3"), ("9", "3"), ("None", "3"), ("None", "None")]
+
+
+def test_frequent_fingerprints_are_met_apart(spark, monkeypatch):
+    from resumelake.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one hot text here").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(d).collect()}
+    assert len(got) == 200 and all(got[k] == 0 for k in range(0, 200, 2))
+
+
 @pytest.mark.parametrize("heavy", [2, 64])
 @pytest.mark.parametrize("radius", [2, 6])
 def test_links_connect_all_within_the_radius(spark, monkeypatch, heavy, radius):
@@ -287,19 +315,41 @@ def test_near_vectors(spark, vectors, monkeypatch):
 
 
 @pytest.mark.parametrize("shard", [7, 16384])
-def test_top_k(vectors, monkeypatch, shard):
+def test_top_k(spark, vectors, monkeypatch, shard):
     monkeypatch.setattr(kdsearch, "SHARD", shard)
+    monkeypatch.setattr(kdsearch, "DEPTH", 2)
     monkeypatch.setattr(kdsearch, "BLOCK", 3)
     monkeypatch.setattr(kdsearch, "LEAF", 4)
     rows = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in vectors.collect() if fine(r.embedding)]
-    want = []
-    for q, v in {i: v for i, v in rows if i % 10 == 0}.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    want = []  # the vector with the id 0 comes twice: each row is a query, and a candidate for the other
+    for at, (q, v) in enumerate(rows):
+        if q % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sum(q == 0 for q, *_ in want) == 10
     assert sorted(tuple(r) for r in kdsearch.top_k(kdsearch.scaled(vectors), 5, 10).collect()) == sorted(want)
     assert kdsearch.top_k(kdsearch.scaled(vectors.where("false")), 5, 10).count() == 0
 
 
+def test_far_shards_are_not_searched(spark, monkeypatch):
+    """Two clouds on opposite sides, eight shards, of which at most one has vectors of both."""
+    monkeypatch.setattr(kdsearch, "SHARD", 50)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(200, 4)) + 50, rng.normal(size=(200, 4)) - 50])
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    real = kdsearch._sent
+
+    def counted(queries, boxes):
+        out = real(queries, boxes)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(kdsearch, "_sent", counted)
+    got = kdsearch.top_k(kdsearch.scaled(d), 5, 10).collect()
+    assert len(got) == 40 * 5 and sent[0] <= 40 * 4 and all((r.query_id < 200) == (r.vec_id < 200) for r in got)
+
+
 # 7
 
 

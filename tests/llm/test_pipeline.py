@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 
@@ -35,6 +36,38 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in p.drop_near_copies(spark, d, "").collect()) == [(False, 1), (False, 4), (False, 5), (True, None)]
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, long), (5, "another text of seven words it is"), (5, "and yet another text with more words"), (5, long), (7, "same"), (7, "same"), (8, long + " end"), (None, long), (None, long)]
+    d = spark.createDataFrame([(*r, "en", "s", 1, "x", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, t string, d int")
+    out = sorted((str(r.doc_id), r.text[:12]) for r in p.drop_near_copies(spark, d, "").collect())
+    assert out == [("1", "w0 w1 w2 w3 "), ("5", "and yet anot"), ("5", "another text"), ("7", "same"), ("None", "w0 w1 w2 w3 "), ("None", "w0 w1 w2 w3 ")]
+
+
+def test_crowds_are_compared_in_blocks(spark, monkeypatch):
+    """Texts that share all words but a few, in families: a shingle is shared by more of them than one block holds."""
+    from resumelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 1)
+    rng, rows = np.random.default_rng(4), []
+    for n in range(300):
+        words = [f"t{k}" for k in range(60)]
+        for k in rng.choice(60, rng.integers(0, 3), replace=False):
+            words[k] = f"o{n}x{k}"
+        rows.append((n, " ".join(words)))
+    sets = [frozenset(simhash._shingles(t.encode().split(), 5)) for _, t in rows]
+    label = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    monkeypatch.setattr(simhash, "links", lambda nodes, *_: nodes.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")).where("false"))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2, 2, 28, 0.8).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 300
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert p.drop_near_copies(spark, d, "").count() == p.replace_personal_data(spark, d, "").count() == p.pack(spark, d, "").count() == 0
