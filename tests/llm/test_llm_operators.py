@@ -157,29 +157,68 @@ def test_lm_base_scores_and_gain(docs, odd, none, monkeypatch):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     check_lm(odd)
     assert classlm.scored(none).count() == 0
-    monkeypatch.setattr(classlm, "KNOWN_SHARE", 50)
-    monkeypatch.setattr(classlm, "UNIT_SHARE", 20)
+    monkeypatch.setattr(classlm, "KNOWN_SHARE", 500)
+    monkeypatch.setattr(classlm, "UNITS", 20)
+    monkeypatch.setattr(classlm, "SEEN", 2)
     check_lm(docs)
 
 
-def test_lm_chances_sum_to_one(spark):
-    df = spark.createDataFrame([(1, "a b a c"), (3, "b a"), (4, "c c a")], "doc_id long, text string")
-    train = [d for d in (1, 3, 4) if zlib.crc32(str(d).encode()) % 7 != 2]
-    words = sorted({w for r in df.collect() if r.doc_id in train for w in r.text.split()})
-    probe = df.unionByName(spark.createDataFrame([(20, " ".join([w])) for w in words], df.schema).where("false"))
-    assert all(r.score <= 0 and r.perplexity >= 1 for r in classlm.scored(probe).collect())
+def test_lm_chances_sum_to_one_and_scores_follow(spark, docs, monkeypatch):
+    monkeypatch.setattr(classlm, "KNOWN_SHARE", 2000)
+    monkeypatch.setattr(classlm, "UNITS", 100)
+    monkeypatch.setattr(classlm, "SEEN", 3)
+    rows = [r for r in docs.collect()][:80]
+    df = spark.createDataFrame(rows, docs.schema)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    c = Counter(w for r in rows if not held(r.doc_id) for w in [*words_of(r.text), b""])
+    m, _ = classlm.fit(df.where(F.col("doc_id").isin([r.doc_id for r in rows if not held(r.doc_id)])).select("text"))
+    assert m.n == sum(c.values()) and m.v == len(c) and len(m.known) > 150
+    for before in range(classlm.CLASSES):
+        words = sum(10 ** m.step[before, k := m.class_of(w)] * (n + classlm.EMIT) / m.below[k] for w, n in c.items())
+        unknown = sum(10 ** m.step[before, k] * classlm.EMIT / m.below[k] for k in range(classlm.CLASSES))
+        assert words + unknown == pytest.approx(1)
+    for r in classlm.scored(df).collect():
+        words = [*words_of(next(x.text for x in rows if x.doc_id == r.doc_id)), b""]
+        chain = [m.class_of(b""), *map(m.class_of, words)]
+        want = sum(m.step[a, b] + math.log10((c[w] + classlm.EMIT) / m.below[b]) for w, a, b in zip(words, chain, chain[1:], strict=False))
+        assert r.score == pytest.approx(want) and r.perplexity == pytest.approx(10 ** (-want / len(words)))
 
 
 def test_exchange_separates_two_languages():
     random.seed(1)
-    pairs = np.zeros((12, 12))
+    pairs = Counter()
     for _ in range(4000):
         half = random.randint(0, 1) * 6
         pairs[half + random.randint(0, 5), half + random.randint(0, 5)] += 1
-    cls = classlm.exchange(pairs, 2, 10)
+    before, after, count = (np.array(x) for x in zip(*((a, b, n) for (a, b), n in pairs.items()), strict=True))
+    cls = classlm.exchange(before, after, count.astype(float), 12, 2, 10)
     assert len(set(cls[:6])) == len(set(cls[6:])) == 1 and cls[0] != cls[6]
 
 
+def test_moves_raise_the_likelihood():
+    """Each move of a unit is the best of all, by the likelihood of all class pairs counted anew."""
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(rng.gamma(0.3, 3, (9, 9))).astype(float)
+    cls = rng.integers(0, 3, 9)
+
+    def joint(c):
+        one = np.eye(3)[c]
+        return one.T @ pairs @ one
+
+    def likelihood(c):
+        j = joint(c)
+        return classlm._f(j).sum() - classlm._f(j.sum(0)).sum() - classlm._f(j.sum(1)).sum()
+
+    for u in range(9):
+        rest = np.arange(9) != u
+        state = classlm._Classes(joint(cls))
+        b = state.moved(cls[u], np.bincount(cls[rest], pairs[rest, u], 3), np.bincount(cls[rest], pairs[u, rest], 3), pairs[u, u])
+        tried = [likelihood(np.where(np.arange(9) == u, k, cls)) for k in range(3)]
+        assert tried[b] == pytest.approx(max(tried))
+        cls[u] = b
+        assert np.allclose(state.joint, joint(cls))
+
+
 # 3
 
 
