@@ -27,16 +27,15 @@ from resumelake.llm.shared import met_again, plain, settled, words_of
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
 #: Texts (expected number) and shingles by which frequent shingles are put last; on this order the cost depends, not the result.
-ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
-#: 64-bit words of a set's map, a bit of which is set if a shingle falls on it.
-MAP = 16
+ORDER_TEXTS, ORDER_SHINGLES = 4_000, 200_000
+#: Bits of a set's map for each shingle (up to twice as many), one of which is set if a shingle falls on it.
+MAP_BITS = 4
 #: Up to so many ids (16 bytes each) go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
 SENT = 1_000_000
 #: Shingles of prefixes that one task holds (expected number).
 TASK = 1 << 20
 #: A shingle that more sets than this share in their prefixes is dealt in blocks of so many sets, a pair of blocks to a task.
-CROWD = 256
-_MAPS = [f"b{w}" for w in range(MAP)]
+CROWD = 64
 
 
 def _shingles(words: list[bytes], k: int) -> Iterator[bytes]:
@@ -83,34 +82,51 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
     return plain(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own))
 
 
+def _map_of(s: np.ndarray) -> bytes:
+    """The bits, MAP_BITS or more for each shingle, on which a set's shingles fall; their number is a power of two."""
+    bits = np.zeros(1 << max(6, (MAP_BITS * len(s) - 1).bit_length()), dtype=np.uint8)
+    bits[s & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _alike(n: int, a: bytes, m: int, b: bytes, least: float) -> bool:
+    """Whether sizes and maps of two sets allow that they are as similar as least: each bit that only one has stands for a shingle at least that the other lacks."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return most >= (n + m - most) * least
+
+
 def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
-    """doc_id, t (XXH64 of the text), f0 (, f1), h0, h1 (a hash of the set of shingles), n (its size), b0..b15 (its map), prefix of each row.
+    """doc_id, t (XXH64 of the text), f0 (, f1), h0, h1 (a hash of the set of shingles), n (its size), map, prefix of each row.
 
     prefix: the first n - ceil(least * n) + 1 shingles, rare ones first. Two sets with a similarity of `least` share
     ceil(least * n) shingles at least, of either's n: so the prefixes of both have one in common, without exception.
     """
-    own = ["t", *(f"f{w}" for w in range(words)), "h0", "h1", "n", *_MAPS]
+    own = ["t", *(f"f{w}" for w in range(words)), "h0", "h1", "n"]
     frequent, count = _frequent(docs, k, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, prefixes, bits = [], [], np.zeros((b.num_rows, 64 * MAP), dtype=np.uint8)
-            for row, text in zip(bits, b.column("text").to_pylist(), strict=True):
+            rows, prefixes, maps = [], [], []
+            for text in b.column("text").to_pylist():
                 f, s = _print(text, k, words)
                 s = np.unique(s)
-                row[s & (64 * MAP - 1)] = 1
+                maps.append(_map_of(s))
                 at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
                 often = np.where(frequent[at] == s, count[at], 0) if len(frequent) else np.zeros(len(s), dtype=np.int64)
                 need = len(s) - math.ceil(least * len(s) - 1e-9) + 1
                 prefixes.append(s[np.lexsort((s, often))[:need]].tobytes())
                 rows.append((*f, *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"), len(s)))
             numbers = np.array(rows, dtype="<i8").reshape(b.num_rows, words + 3)
-            maps = np.packbits(bits, axis=1).view("<i8")
-            cols = [pa.array(np.ascontiguousarray(x)) for x in (*numbers.T, *maps.T)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), *cols, pa.array(prefixes, pa.binary())], names=["doc_id", *own, "prefix"])
+            cols = [pa.array(np.ascontiguousarray(x)) for x in numbers.T]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), *cols, pa.array(maps, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", *own, "map", "prefix"])
 
     rows = plain(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own) + ", prefix binary")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own) + ", map binary, prefix binary")
 
 
 def _frequent(docs: DataFrame, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +146,27 @@ def _frequent(docs: DataFrame, k: int, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _shingle_sets(rows: DataFrame, k: int, words: int) -> DataFrame:
-    """node, s: the distinct shingles of each text, as 64-bit hashes."""
+    """node, s: the distinct shingles of each text, 48 bits of their hashes, in rising order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                sets = [np.unique(_print(t, k, words)[1]) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+                sets = [_planes(np.unique(_print(t, k, words)[1].view("<u8") >> np.uint64(16)), 6) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "s"])
+
+    return rows.mapInArrow(run, "node long, s binary")
+
+
+def _kept_pairs(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
+    """Those of pairs (src, dst) for which test(src's columns, dst's columns) holds; sides: node and these columns."""
+    side = lambda a: sides.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (zip(*(b.column(f"{x}_{c}").to_pylist() for c in columns), strict=True) for x in ("src", "dst"))
+            yield b.select(["src", "dst"]).filter(pa.array([test(*x, *y) for x, y in zip(a, z, strict=True)], pa.bool_()))
 
-    return rows.mapInArrow(run, "node long, s array<long>")
+    return pairs.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").mapInArrow(run, "src long, dst long")
 
 
 def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
@@ -151,22 +179,19 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words:
     held = plain(docs, ["doc_id", "text"])
     one = F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     held = held.join(F.broadcast(ends) if ends.count() <= SENT else ends, one).select("node", "text")
-    sets = settled(_shingle_sets(held, k, words).dropDuplicates(["node"]))
-    side = lambda a: sets.select(F.col("node").alias(a), F.col("s").alias(f"{a}_s"))
-    both = F.size(F.array_intersect("src_s", "dst_s"))
-    either = F.size("src_s") + F.size("dst_s") - both
-    return edges.join(side("src"), "src").join(side("dst"), "dst").where(both >= either * least).select("src", "dst")
+    sets = settled(_shingle_sets(held, k, words))  # of rows repeated with one id, each
 
+    def near(a: bytes, b: bytes) -> bool:
+        x, y = _numbers(a, 6), _numbers(b, 6)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= (len(x) + len(y) - both) * least
 
-def _possible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of edges (src, dst) that sizes and maps allow to be as similar as `least`: none that is as similar is left out.
+    return _kept_pairs(edges, sets, ["s"], near)
 
-    Each bit that one map has and the other hasn't stands for a shingle at least that the other set lacks.
-    """
-    side = lambda a: nodes.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("n", *_MAPS)))
-    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_b{w}")))) for w in range(MAP)), F.lit(0))
-    most = F.least(F.col("src_n") - lacks("src", "dst"), F.col("dst_n") - lacks("dst", "src"))
-    return edges.join(side("src"), "src").join(side("dst"), "dst").where(most >= (F.col("src_n") + F.col("dst_n") - most) * least).select("src", "dst")
+
+def _possible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of edges (src, dst) that sizes and maps allow to be as similar as `least`: none that is as similar is left out."""
+    return _kept_pairs(edges, nodes, ["n", "map"], lambda n, a, m, b: _alike(n, a, m, b, least))
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -186,8 +211,11 @@ def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, least: f
     return np.minimum(n - at, m - to) >= need
 
 
-def _met(nodes: DataFrame, parts: int, least: float) -> DataFrame:
-    """kind, key, src, dst, n, at of what nodes (node, c, n, prefix) share: pairs of nodes of unlike c (kind 0: src, dst), and members of crowds (node src, dst: its c; kind 2 if that isn't the crowd's most frequent)."""
+def _met(nodes: DataFrame, parts: int, least: float, all_pairs: bool) -> DataFrame:
+    """kind, key, src, dst, n, at of what nodes (node, c, n, prefix) share: pairs of nodes of unlike c (kind 0: src, dst), and members of crowds (node src, dst: its c; kind 2 if that isn't the crowd's most frequent).
+
+    Without all_pairs, each node meets its next in the order of all that share a shingle, and there are no crowds.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,21 +243,25 @@ def _met(nodes: DataFrame, parts: int, least: float) -> DataFrame:
         size = np.diff(np.append(start, len(key)))
         own = np.repeat(size, size)
         out: list[tuple] = []
-        small = np.flatnonzero((own > 1) & (own <= CROWD))
+        small = np.flatnonzero((own > 1) & (own <= (CROWD if all_pairs else len(key))))
         key_, node_, c_, n_, at_ = (x[small] for x in (key, node, c, n, at))
-        for d in range(1, CROWD):
+        names, number = np.unique(node, return_inverse=True)
+        number_ = number[small]
+        for d in range(1, CROWD if all_pairs else 2):
             i = np.flatnonzero(key_[d:] == key_[:-d])
             if not len(i):
                 break
             i = i[c_[i] != c_[i + d]]
             i = i[_fits(n_[i], at_[i], n_[i + d], at_[i + d], least)]
             if len(i):
-                a, b = node_[i], node_[i + d]
-                out.append((np.maximum(a, b), np.minimum(a, b)))
-        pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)]), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        zero = np.zeros(pairs.shape[1], dtype=np.int64)
-        rows = [pd.DataFrame({"kind": zero.astype(np.int32), "key": zero, "src": pairs[0], "dst": pairs[1], "n": zero, "at": zero})]
-        for i, m in zip(start[size > CROWD], size[size > CROWD], strict=True):
+                a, b = number_[i], number_[i + d]
+                out.append(np.unique(np.maximum(a, b) * len(names) + np.minimum(a, b)))
+                if sum(map(len, out)) > TASK:
+                    out = [np.unique(np.concatenate(out))]
+        pairs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *out]))
+        zero = np.zeros(len(pairs), dtype=np.int64)
+        rows = [pd.DataFrame({"kind": zero.astype(np.int32), "key": zero, "src": names[pairs // len(names)], "dst": names[pairs % len(names)], "n": zero, "at": zero})]
+        for i, m in zip(start[size > CROWD], size[size > CROWD], strict=True) if all_pairs else ():
             crowd = slice(i, i + m)
             groups, count = np.unique(c[crowd], return_counts=True)
             if len(groups) > 1:
@@ -240,26 +272,22 @@ def _met(nodes: DataFrame, parts: int, least: float) -> DataFrame:
     return nodes.select("node", "c", "n", "prefix").mapInArrow(deal, "part int, keys binary, node binary, c binary, n binary, at binary").groupBy("part").applyInPandas(meet, "kind int, key long, src long, dst long, n long, at long")
 
 
-def _in_crowds(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(src, dst) of the pairs in crowds, of unlike c, that sizes, places and maps allow to be as similar as least; compared in blocks."""
+def _in_crowds(crowd: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of the pairs in crowds, of unlike c, that sizes and places allow to be as similar as least; compared in blocks."""
     sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / (8 * CROWD)).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / (8 * CROWD)).cast("int").alias("np"))
     side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
     rows = crowd.join(sizes, "key")
     data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
     probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
-    dealt = data.unionByName(probes).join(nodes.select(F.col("node").alias("src"), *_MAPS), "src").select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", *_MAPS)
+    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        maps = pdf[_MAPS].to_numpy(dtype="<i8").view("<u8")
         node, c, n, at = (pdf[x].to_numpy() for x in ("src", "c", "n", "at"))
         is_probe = pdf["probe"].to_numpy()
         data, out = np.flatnonzero(~is_probe), []
         for p in np.flatnonzero(is_probe):
             d = data[c[data] != c[p]]
-            d = d[_fits(n[p], at[p], n[d], at[d], least)]
-            lacks = np.bitwise_count(maps[p][None] & ~maps[d]).sum(1, dtype=np.int64), np.bitwise_count(maps[d] & ~maps[p][None]).sum(1, dtype=np.int64)
-            most = np.minimum(n[p] - lacks[0], n[d] - lacks[1])
-            d = node[d[most >= (n[p] + n[d] - most) * least]]
+            d = node[d[_fits(n[p], at[p], n[d], at[d], least)]]
             out.append((np.maximum(d, node[p]), np.minimum(d, node[p])))
         pairs = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in out)]) for k in (0, 1)]
         return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
@@ -270,19 +298,23 @@ def _in_crowds(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _rest(nodes: DataFrame, edges: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
     """Links (src, dst) that edges lack: with them, each pair of texts of a similarity of `least` or more is connected.
 
-    Pairs within one component of edges are left out; all others that can be so similar are compared.
+    Pairs within one component of edges are left out; all others that can be so similar are compared: first each set with
+    its next among those that share a shingle, as many as there are sets, then all pairs of those still apart.
     """
-    found = settled(components(edges))
-    few = found.count() <= SENT
     total = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    placed = nodes.join(F.broadcast(found) if few else found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    met = settled(_met(placed, max(total // 8 // TASK, 16), least))
-    pairs = met.where("kind = 0").select("src", "dst").distinct()
-    crowd = met.where("kind > 0")
-    pairs = settled(_possible(pairs, nodes, least))
-    if crowd.limit(1).count():
-        pairs = settled(pairs.unionByName(_in_crowds(crowd, nodes, least)).distinct())
-    return similar(pairs, nodes, docs, k, words, least) if pairs.limit(1).count() else pairs
+    parts, new = max(total // 8 // TASK, 16), None
+    for all_pairs in (False, True):
+        found = settled(components(edges))
+        placed = nodes.join(F.broadcast(found) if found.count() <= SENT else found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        met = settled(_met(placed, parts, least, all_pairs))
+        pairs, crowd = met.where("kind = 0").select("src", "dst"), met.where("kind > 0")
+        if crowd.limit(1).count():
+            pairs = pairs.unionByName(_in_crowds(crowd, least))
+        pairs = settled(_possible(pairs.distinct(), nodes, least))
+        more = settled(similar(pairs, nodes, docs, k, words, least)) if pairs.limit(1).count() else pairs
+        new = more if new is None else new.unionByName(more)
+        edges = edges.unionByName(more)
+    return new
 
 
 def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, accept: int | None = None, verify: float | None = None) -> DataFrame:
@@ -302,8 +334,8 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
     if whole:
         prints = settled(_whole_prints(docs, k, words, verify))
         key, first = ["h0", "h1"], F.min(F.struct("doc_id", "t", *own))
-        same = prints.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), first.alias("a"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _MAPS], F.first("prefix").alias("prefix"))
-        nodes = settled(same.select(F.monotonically_increasing_id().alias("node"), *key, "rep", "rows", "a.*", "n", *_MAPS, "prefix"))
+        same = prints.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), first.alias("a"), *[F.first(c).alias(c) for c in ("n", "map", "prefix")])
+        nodes = settled(same.select(F.monotonically_increasing_id().alias("node"), *key, "rep", "rows", "a.*", "n", "map", "prefix"))
     else:
         prints, key = settled(fingerprints(docs, k, words)), own
         same = prints.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
