@@ -105,9 +105,23 @@ def snippet(x: Column, n: int = 150) -> Column:
     return F.concat(F.substring(x, 1, n), F.lit("..."))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), x computed once: an expression used often inside a lambda is else computed as often."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def ordered_distinct(xs: Column, key=lambda x: x) -> Column:
-    """Items whose key hasn't come before, in order."""
-    return F.filter(xs, lambda x, i: F.array_position(F.transform(xs, key), key(x)) == i + 1)
+    """Items whose key (not null) hasn't come before, in order. Keys are sorted, not compared with all others."""
+
+    def first(s: Column) -> Column:
+        new = lambda e, j: e["k"].isNotNull() & ((j == 0) | (e["k"] != F.element_at(s, F.greatest(j, F.lit(1)))["k"]))
+        return F.array_sort(F.transform(F.filter(s, lambda e, j: F.coalesce(new(e, j), F.lit(True))), lambda e: e["i"]))
+
+    def of(ys: Column) -> Column:
+        keyed = F.filter(F.transform(ys, lambda y, i: F.struct(key(y).alias("k"), i.alias("i"))), lambda e: e["k"].isNotNull())
+        return F.transform(bound(F.array_sort(keyed), first), lambda i: F.element_at(ys, i + 1))
+
+    return F.when(xs.isNotNull(), bound(xs, of))
 
 
 def url_domain(x: Column) -> Column:

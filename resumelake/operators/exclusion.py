@@ -19,6 +19,11 @@ LIST_HEADS = (
 SPAN_HEADS = 7
 
 
+def address_marked(x: Column) -> Column:
+    """Whether a text has a word for a street or a postal code."""
+    return x.rlike(r"(?i)(?:street|straße|strasse|str\.)\b|\b[0-9]{5}\b")
+
+
 def lexicon(*terms: str) -> Column:
     return F.array(*[F.lit(t.lower()) for t in terms]).cast("array<string>")
 

@@ -37,7 +37,7 @@ def technology_experience(entries: DataFrame, asof: str) -> DataFrame:
 
 
 def technology_months(chunks: DataFrame) -> DataFrame:
-    """doc_id, technology, months, years, place: inclusive months of chunks (doc_id, start_date, end_date, technologies), most first."""
+    """doc_id, technology, months, years: inclusive months of chunks (doc_id, start_date, end_date, technologies), in no order."""
     once = F.array_distinct("technologies")
     m = chunks.withColumn("technology", F.explode(once)).groupBy("doc_id", "technology").agg(F.sum(months_inclusive(F.col("start_date"), F.col("end_date"))).alias("months"))
     return m.withColumn("years", F.round(F.col("months") / 12.0, 2))

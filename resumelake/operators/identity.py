@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resumelake.functions import spans, text
+from resumelake.operators import exclusion
 
 # Mailboxes that aren't a person's, words that aren't names; points by source.
 MAILBOXES = ("info", "contact", "kontakt", "office", "admin", "support", "hello", "mail", "jobs", "hr", "team", "noreply", "no-reply", "sales", "service")
 LABELS = ("name", "curriculum", "vitae", "lebenslauf", "resume", "contact", "kontakt", "profile", "profil", "address", "adresse", "email", "phone", "telefon")
-SOURCE_POINTS = {"header": 40, "intro": 60, "linkedin": 18, "email": 14, "ner": 6, "email_weak": 5}
+SOURCE_POINTS = {"header": 40, "intro": 60, "linkedin": 18, "email": 14, "ner": 60, "email_weak": 6}
+# Words of documents, jobs, companies and titles that aren't names.
+STOPWORDS = (
+    "curriculum", "vitae", "lebenslauf", "profil", "profile", "summary", "kontakt", "contact", "information", "info", "adresse", "address", "telefon", "phone", "email", "e-mail", "linkedin", "github", "portfolio", "website", "webseite", "blog",
+    "senior", "junior", "engineer", "developer", "architect", "consultant", "principal", "platform", "cloud", "data", "services", "entwickler", "ingenieur", "berater", "architekt", "leitender", "führender", "haupt",
+    "gmbh", "ag", "inc", "ltd", "llc", "company", "university", "universität", "unternehmen", "firma", "gesellschaft", "prof", "prof.", "dr", "dr.", "mr", "mrs", "ms", "herr", "frau", "doktor", "professor",
+)
+INTRO = r"(?iu)\b(?:mein Name ist|my name is|Name:)\s+(\p{L}[\p{L}'’-]+(?:\s+\p{L}[\p{L}'’-]+)?)"
 
 
 def from_email(docs: DataFrame) -> DataFrame:
@@ -38,14 +46,55 @@ def from_header(docs: DataFrame, lines: int = 20, most: int = 4) -> DataFrame:
     return docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.start", "h.name", F.lit("header").alias("source"))
 
 
-def score(source: Column, name: Column, line: Column, uses: Column) -> Column:
-    """Points of a candidate: its source, its number of words, its line, how often its words come, digits and labels."""
+def from_linkedin(docs: DataFrame) -> DataFrame:
+    """doc_id, start, name, source: a name from each profile address's handle, without the digits at its end."""
+    pattern, points = spans.PATTERNS["LINKEDIN_PROFILE"]
+    found = docs.select("doc_id", F.col("text"), F.explode(spans.found(F.col("text"), pattern, "LINKEDIN_PROFILE", points, r"linkedin\.com/")).alias("s"))
+    handle = F.regexp_replace(F.regexp_extract(spans.slice_of(F.col("text"), F.col("s")), spans.HANDLE, 1), "[0-9]+$", "")
+    parts = F.slice(F.filter(F.split(handle, "[-_]+"), lambda p: F.length(p) >= 2), 1, 2)
+    rows = found.select("doc_id", F.col("s.start").alias("start"), parts.alias("p")).where(F.size("p") > 0)
+    return rows.select("doc_id", "start", F.array_join(F.transform("p", F.initcap), " ").alias("name"), F.lit("linkedin").alias("source"))
+
+
+def from_intro(docs: DataFrame) -> DataFrame:
+    """doc_id, start, name, source: what follows an introduction (my name is, mein Name ist, Name:)."""
+    name = F.regexp_extract("text", INTRO, 1)
+    return docs.where(F.col("text").rlike(INTRO)).select("doc_id", F.lit(0).alias("start"), F.initcap(text.norm_space(name)).alias("name"), F.lit("intro").alias("source"))
+
+
+def from_ner(docs: DataFrame, ner) -> DataFrame:
+    """doc_id, start, name, source, sure: persons that a recognizer (a column function to spans) finds outside addresses, without labels, of three letters or more."""
+    d = docs.select("doc_id", "text", ner(F.col("text")).alias("s"))
+    pattern, points = spans.PATTERNS["ADDRESS"]
+    places = spans.detected(F.col("text"), [("ADDRESS", spans.FULL_ADDRESS, 0.85, "[0-9]{5}"), ("ADDRESS", pattern, points, "[0-9]{5}")])
+    persons = exclusion.outside(F.filter("s", lambda x: x["entity_type"] == "PERSON"), places)
+    rows = d.select("doc_id", "text", F.explode(persons).alias("s")).select("doc_id", F.col("s.start").alias("start"), text.norm_space(spans.slice_of(F.col("text"), F.col("s"))).alias("raw"), F.col("s.score").alias("sure"))
+    rows = rows.where((F.length("raw") >= 3) & ~exclusion.address_marked(F.col("raw"))).withColumn("name", text.clean_name(F.col("raw")))
+    return rows.where(F.length("name") >= 3).select("doc_id", "start", "name", F.lit("ner").alias("source"), "sure")
+
+
+def resolved(docs: DataFrame, ner=None) -> DataFrame:
+    """doc_id, name, score: the primary identity of each of docs (doc_id, text): candidates from header, introduction, e-mail, profile address and recognizer,
+    but for those in lists of technologies, scored; the best. Documents without a candidate are left out."""
+    every = from_header(docs).unionByName(from_intro(docs)).unionByName(from_email(docs)).unionByName(from_linkedin(docs))
+    if ner is not None:
+        every = every.unionByName(from_ner(docs, ner), allowMissingColumns=True)
+    held = every.join(docs.select("doc_id", "text"), "doc_id")
+    held = held.where(~F.coalesce(exclusion.in_technology_list(F.col("text"), F.col("name")), F.lit(False))).drop("text")
+    return primary(scored(held, docs))
+
+
+def score(source: Column, name: Column, line: Column, uses: Column, sure: Column | None = None) -> Column:
+    """Points of a candidate: its source, its number of words, its line, how often its words come, stop words, digits and labels, and how sure a recognizer is of it."""
     words = F.split(name, " ")
     n = F.size(words)
     points = F.coalesce(*[F.when(source == k, F.lit(v)) for k, v in SOURCE_POINTS.items()], F.lit(0))
     points = points + F.when(n.between(2, 4), 25).when(n == 1, 5).otherwise(-10)
     points = points + F.when(source == "header", F.when(line <= 6, F.greatest(F.lit(0), 25 - 3 * line)).otherwise(-15)).otherwise(0)
     points = points + F.least(F.lit(20), 5 * uses)
+    points = points - 25 * F.size(F.filter(words, lambda w: text.casefold(text.strip_name_token(w)).isin(*[s.replace("ß", "ss") for s in STOPWORDS])))
+    if sure is not None:
+        points = points + F.when(source == "ner", F.least(F.lit(20.0), 20 * F.coalesce(sure, F.lit(0.0)))).otherwise(0.0)
     points = points - F.when(name.rlike("[0-9]"), 30).otherwise(0) - F.when(F.arrays_overlap(F.transform(words, F.lower), F.array(*map(F.lit, LABELS))), 40).otherwise(0)
     return points + F.when(name.rlike(r"^(?U)\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)+$"), 15).otherwise(0)
 
@@ -55,7 +104,8 @@ def scored(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     held = candidates.join(docs.select("doc_id", "text"), "doc_id")
     quoted = lambda w: F.concat(F.lit(r"(?iu)\b\Q"), w, F.lit(r"\E\b"))
     uses = F.aggregate(F.split("name", " "), F.lit(0), lambda a, w: a + F.when(F.regexp_count("text", quoted(w)) >= 2, 1).otherwise(0))
-    points = held.select("doc_id", "start", "name", "source", score(F.col("source"), F.col("name"), F.col("start"), uses).alias("score"))
+    sure = F.col("sure") if "sure" in candidates.columns else None
+    points = held.select("doc_id", "start", "name", "source", score(F.col("source"), F.col("name"), F.col("start"), uses, sure).alias("score"))
     best = points.groupBy("doc_id", text.casefold(F.col("name")).alias("key")).agg(F.max_by(F.struct("name", "source", "score", "start"), F.struct("score", -F.col("start"), "source")).alias("b"))
     return best.select("doc_id", "b.name", "b.source", "b.score", "b.start")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resumelake.functions import spans, text
-from resumelake.operators import identity
+from resumelake.operators import exclusion, identity
+
+#: A recognizer of names and places: from a text to its spans (spans.SPAN) of PERSON and LOCATION; a pandas_udf around a model, say.
+Recognizer = Callable[[Column], Column]
 
-URL_FIND = r"\bhttps?://[^\s<>()\[\]\"']{6,}\b|\b(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:/[^\s<>()\[\]\"']*)?\b"
+URL_FIND = rf"{spans.PATTERNS['URL'][0]}|{spans.BARE_URL}"
 MAPPING = "array<struct<key:string,value:string>>"
 
 
@@ -28,32 +33,50 @@ def urls_replaced(x: Column, policy: str = "redact_all", allowed: tuple[str, ...
     return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), url_shown(m, policy, allowed)), F.lit("")))), "")
 
 
-def redacted(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with redacted and mapping: all entities of the default patterns, dates kept, numbered from the end of the text."""
-    x = text.norm_matching(F.col(column))
-    found = spans.collapsed(x, spans.without_dates(x, spans.detected(x)))
-    out = docs.withColumn("_r", F.when(F.col(column).isNotNull(), spans.numbered(x, found)))
+def entities(x: Column, ner: Recognizer | None = None, technologies: Column | None = None, cities: Column | None = None) -> Column:
+    """Spans of a text, overlapping ones too: of the patterns, and of ner if there is one, but for dates, and for names of technologies and cities (lexicons)."""
+    found = spans.detected(x)
+    if ner is not None:
+        found = F.concat(found, F.coalesce(ner(x), F.array().cast(f"array<{spans.SPAN}>")))
+        none = exclusion.lexicon()
+        found = exclusion.without_technologies(x, found, none if technologies is None else technologies, none if cities is None else cities)
+    return spans.without_dates(x, found)
+
+
+def redacted(docs: DataFrame, column: str = "text", ner: Recognizer | None = None, technologies: Column | None = None, cities: Column | None = None) -> DataFrame:
+    """docs with redacted and mapping: all entities of the patterns (and of ner), dates kept, numbered from the end of the text."""
+    out = docs.withColumn("_x", text.norm_matching(F.col(column)))
+    out = out.withColumn("_f", entities(F.col("_x"), ner, technologies, cities)).withColumn("_s", spans.collapsed(F.col("_x"), F.col("_f")))
+    out = out.withColumn("_r", F.when(F.col(column).isNotNull(), spans.numbered(F.col("_x"), F.col("_s")))).drop("_x", "_f", "_s")
     return out.withColumn("redacted", spans.tidied(F.col("_r.text"))).withColumn("mapping", F.col("_r.mapping")).drop("_r")
 
 
-def redacted_values(docs: DataFrame, prefix: int, column: str = "text") -> DataFrame:
-    """Limited mode: e-mail addresses and phone numbers of the whole text, other entities of its first characters; equal values get one token, and each value is replaced wherever it stands."""
-    x, head = text.norm_matching(F.col(column)), text.norm_matching(F.substring(column, 1, prefix))
-    every = {k: spans.PATTERNS[k] for k in ("EMAIL_ADDRESS", "PHONE_NUMBER")}
-    rest = {k: v for k, v in spans.PATTERNS.items() if k not in every}
-    both = F.concat(spans.without_dates(x, spans.detected(x, every)), spans.detected(head, rest))
-    order = F.array_sort(spans.collapsed(x, both))
+def redacted_prefix(docs: DataFrame, prefix: int, column: str = "text", **given) -> DataFrame:
+    """Prefix mode: only the first characters are redacted (as redacted does), what follows them stays as it is."""
+    head = docs.withColumn("_head", F.when(F.length(column) > prefix, F.substring(column, 1, prefix)).otherwise(F.col(column)))
+    rest = F.when(F.length(column) > prefix, F.col(column).substr(F.lit(prefix + 1), F.length(column))).otherwise("")
+    return redacted(head, "_head", **given).withColumn("redacted", F.concat("redacted", rest)).drop("_head")
+
+
+def redacted_values(docs: DataFrame, prefix: int, column: str = "text", ner: Recognizer | None = None, technologies: Column | None = None, cities: Column | None = None) -> DataFrame:
+    """Limited mode: e-mail addresses and phone numbers of the whole text, other entities (persons of ner too, after all others) of its first characters; equal values get one token, and each value is replaced wherever it stands as words, whatever its case."""
+    docs = docs.withColumn("_x", text.norm_matching(F.col(column)))
+    docs = docs.withColumn("_e", spans.detected(F.col("_x"), [r for r in spans.RECOGNIZERS if r[0] in ("EMAIL_ADDRESS", "PHONE_NUMBER")]))
+    docs = docs.withColumn("_h", F.filter(entities(F.substring("_x", 1, prefix), ner, technologies, cities), lambda s: ~s["entity_type"].isin("EMAIL_ADDRESS", "PHONE_NUMBER")))
+    docs = docs.withColumn("_s", spans.collapsed(F.col("_x"), F.concat(spans.without_dates(F.col("_x"), F.col("_e")), "_h")))
+    x = F.col("_x")
+    persons_last = lambda s: F.struct((s["entity_type"] == "PERSON").alias("p"), s["start"].alias("at"), s.alias("s"))
+    order = F.transform(F.array_sort(F.transform("_s", persons_last)), lambda o: o["s"])
     values = F.transform(order, lambda s: F.struct(s["entity_type"].alias("t"), spans.slice_of(x, s).alias("v"), s["start"].alias("at")))
-    by_place = F.array_sort(F.transform(values, lambda v: F.struct(v["at"].alias("at"), v["t"].alias("t"), v["v"].alias("v"))))
-    distinct = text.ordered_distinct(by_place, lambda v: F.struct(v["t"], F.lower(v["v"])))
+    distinct = text.ordered_distinct(values, lambda v: F.struct(v["t"], F.lower(v["v"])))
 
     def step(a: Column, v: Column) -> Column:
         n = F.size(F.filter(a["mapping"], lambda m: m["key"].startswith(F.concat(F.lit("<"), v["t"])))) + 1
         token = F.concat(F.lit("<"), v["t"], n.cast("string"), F.lit(">"))
-        return F.struct(F.replace(a["text"], v["v"], token).alias("text"), F.concat(a["mapping"], F.array(F.struct(token.alias("key"), v["v"].alias("value")))).alias("mapping"))
+        return F.struct(F.regexp_replace(a["text"], F.concat(F.lit(r"(?iu)\b\Q"), v["v"], F.lit(r"\E\b")), token).alias("text"), F.concat(a["mapping"], F.array(F.struct(token.alias("key"), v["v"].alias("value")))).alias("mapping"))
 
     got = F.aggregate(distinct, F.struct(x.alias("text"), F.array().cast(MAPPING).alias("mapping")), step)
-    return docs.withColumn("_r", got).withColumn("redacted", F.col("_r.text")).withColumn("mapping", F.col("_r.mapping")).drop("_r")
+    return docs.withColumn("_r", got).withColumn("redacted", F.col("_r.text")).withColumn("mapping", F.col("_r.mapping")).drop("_r", "_x", "_e", "_h", "_s")
 
 
 def names_masked(x: Column, mapping: Column, variants: Column, out: Column | None = None) -> Column:
@@ -83,14 +106,13 @@ def initials_masked(x: Column, out: Column, patterns: Column) -> Column:
     return F.aggregate(patterns, F.struct(out["text"].alias("text"), out["mapping"].alias("mapping")), step)
 
 
-def anonymized(docs: DataFrame, column: str = "text", name: str = "name", policy: str = "redact_all", allowed: tuple[str, ...] = (), with_initials: bool = True) -> DataFrame:
+def anonymized(docs: DataFrame, column: str = "text", name: str = "name", policy: str = "redact_all", allowed: tuple[str, ...] = (), with_initials: bool = True, ner: Recognizer | None = None, technologies: Column | None = None, cities: Column | None = None) -> DataFrame:
     """docs with redacted and mapping: patterns, then every form of the person's name (a column; null: unknown), initials, what the policy leaves of URLs, and tidy text. One projection.
 
     A null text gives null.
     """
-    x = text.norm_matching(F.col(column))
-    found = spans.collapsed(x, spans.without_dates(x, spans.detected(x)))
-    d = docs.withColumn("_x", x).withColumn("_r", F.when(F.col(column).isNotNull(), spans.numbered(F.col("_x"), found)))
+    d = docs.withColumn("_x", text.norm_matching(F.col(column))).withColumn("_f", entities(F.col("_x"), ner, technologies, cities))
+    d = d.withColumn("_s", spans.collapsed(F.col("_x"), F.col("_f"))).withColumn("_r", F.when(F.col(column).isNotNull(), spans.numbered(F.col("_x"), F.col("_s"))))
     forms = F.when(F.coalesce(text.trimmed(F.col(name)), F.lit("")) != "", identity.variants(F.col(name), F.col("_x"))).otherwise(F.array().cast("array<string>"))
     d = d.withColumn("_v", forms).withColumn("_r", F.when(F.col("_r").isNotNull(), names_masked(F.col("_x"), F.col("_r.mapping"), F.col("_v"), F.col("_r.text"))))
     if with_initials:
@@ -99,16 +121,47 @@ def anonymized(docs: DataFrame, column: str = "text", name: str = "name", policy
     return d.select(*docs.columns, spans.tidied(urls_replaced(F.col("_r.text"), policy, allowed)).alias("redacted"), F.col("_r.mapping").alias("mapping"))
 
 
-def stable_ids(entities: DataFrame) -> DataFrame:
+def anonymized_documents(docs: DataFrame, policy: str = "redact_all", allowed: tuple[str, ...] = (), ner: Recognizer | None = None, technologies: Column | None = None, cities: Column | None = None) -> DataFrame:
+    """docs (doc_id, text) anonymized by the name that identity.resolved finds in each: detection, identity and propagation in one chain."""
+    found = identity.resolved(docs.select("doc_id", "text"), ner).select("doc_id", F.col("name").alias("_name"))
+    return anonymized(docs.join(found, "doc_id", "left"), "text", "_name", policy, allowed, True, ner, technologies, cities).drop("_name")
+
+
+#: Sampled documents by which stable_ids cuts its values in ranges.
+SAMPLED = 20_000
+
+
+def stable_ids(entities: DataFrame, ranges: int = 256) -> DataFrame:
     """entity, value, id (person-1 ...): one number for each distinct value of a type over all texts.
 
-    Numbers go by the first document and place; a value's rank is counted over the distinct values only.
+    Numbers go by the first document and place. Values are ranked within ranges of documents, and each range starts where the one
+    before it ends, so that no type's values meet in one task; a bounded sample of documents gives the ranges.
     """
     from pyspark.sql import Window
 
     first = entities.groupBy("entity", "value").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    rank = F.dense_rank().over(Window.partitionBy("entity").orderBy("first", "value"))
-    return first.select("entity", "value", F.concat(F.lower("entity"), F.lit("-"), rank.cast("string")).alias("id"))
+    every = max(1, first.count() // SAMPLED)
+    some = sorted(r[0] for r in first.where((F.pmod(F.xxhash64("entity", "value"), F.lit(every)) == 0) & F.col("first.doc_id").isNotNull()).select("first.doc_id").distinct().collect())
+    cuts = some[:: max(1, len(some) // ranges)]
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("first.doc_id"))) if cuts else F.lit(0)
+    placed = first.withColumn("range", F.coalesce(at, F.lit(0)))
+    sizes = placed.groupBy("entity", "range").agg(F.count("*").alias("n"))  # a row for each type and range
+    starts = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("entity").orderBy("range")) - F.col("n")).drop("n")
+    rank = F.row_number().over(Window.partitionBy("entity", "range").orderBy("first", "value")) + F.col("before")
+    return placed.join(F.broadcast(starts), ["entity", "range"]).select("entity", "value", F.concat(F.lower("entity"), F.lit("-"), rank.cast("string")).alias("id"))
+
+
+def replaced_by_ids(docs: DataFrame, entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with redacted: each entity (doc_id, start, entity, value) shown as its stable id in angle brackets; spans of one text don't overlap."""
+    own = entities.join(ids, ["entity", "value"]).select("doc_id", F.struct("start", (F.col("start") + F.length("value")).alias("end"), "id").alias("s"))
+    own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("_s"))
+
+    def put(x: Column, order: Column) -> Column:
+        end = lambda i: F.when(i == 0, 0).otherwise(F.element_at(order, F.greatest(i, F.lit(1)))["end"])
+        cut = F.transform(order, lambda s, i: F.concat(x.substr(end(i) + 1, s["start"] - end(i)), F.lit("<"), s["id"], F.lit(">")))
+        return F.concat(F.array_join(cut, ""), x.substr(F.element_at(order, -1)["end"] + 1, F.length(x)))
+
+    return docs.join(own, "doc_id", "left").withColumn("redacted", F.when(F.col("_s").isNull(), F.col("text")).otherwise(put(F.col("text"), F.col("_s")))).drop("_s")
 
 
 def masked_plainly(x: Column) -> Column:

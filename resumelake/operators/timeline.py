@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resumelake.functions import dates, text
+from resumelake.functions import dates, spans, text
 
+# Parts of words that no technology in a list has.
+REJECTED = ("beruflicher", "werdegang", "bildung", "ausbildung", "studium", "kenntnisse", "fähigkeiten", "sprachen", "zertifikate", "profil", "experience", "education", "skills", "languages", "certifications", "profile", "summary")
 # Headings that end the timeline, headings of technology lists, words of descriptions and legal forms.
 BREAK = r"(?iu)^(?:beruflicher\s+werdegang|bildung|ausbildung|studium|kenntnisse|fähigkeiten|skills?|zertifikate|certifications?|sprachen|languages?|profile|profil|summary|zusammenfassung|publications?|publikationen|interests?|interessen|awards?|auszeichnungen|weitere\s+kenntnisse)\b"
 TECH_HEAD = r"(?iu)^(?:eingesetzte\s+technologien|technologien|tech(?:nologies)?\s+stack|tech\s*stack|stack|tools)\s*"
@@ -16,8 +18,9 @@ INLINE = r"(?iu)\b(?:java|python|javascript|js|typescript|ts|spring(?:\s+(?:boot
 DESCRIPTION = r"(?iu)\b(?:beratung|entwicklung|implement|migration|aufbau|konzeption|analyse|development|implementation|design|architecture|monitoring|testing|automatisierung|einführung|weiterentwicklung|optimierung)\b|^(?:Integration|Implementierung|Entwicklung|Migration|Aufbau|Konzeption|Optimierung|Einführung|Weiterentwicklung)\b"
 LEGAL = r"\b(?:GmbH|AG|SE|KG|UG|Inc|Ltd|LLC)\b"
 PLACE = r"(?U)^[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-]{2,40}$"
-CHUNK = "struct<start_date:string,end_date:string,lines:array<string>,pages:array<int>>"
-STATE = f"struct<mode:int,page:int,start:string,end:string,lines:array<string>,pages:array<int>,chunks:array<{CHUNK}>>"
+#: What the fold carries: where the open chunk's lines begin, and the chunks before it as ranges of lines.
+RANGE = "struct<start:string,end:string,page:int,from:int,to:int>"
+STATE = f"struct<at:int,mode:int,page:int,open:{RANGE},closed:array<{RANGE}>>"
 LEAST = 20
 
 
@@ -35,72 +38,88 @@ def is_garbage(s: Column) -> Column:
 
 
 def lines_of(x: Column, asof: str | None) -> Column:
-    """The lines of a text with what the fold needs to know of each."""
+    """The lines of a text with what the fold needs to know of each. Each step binds its struct, so that nothing is parsed twice."""
 
-    def one(raw: Column) -> Column:
-        right = raw.rlike(r"^\[RIGHT_COLUMN\]")
+    def cleaned(raw: Column) -> Column:
         s = F.trim(F.regexp_replace(raw, r"^\[(?:LEFT_COLUMN|RIGHT_COLUMN|HEADER_AREA)\]\s*", ""))
-        dated = F.when(s.rlike("[0-9]"), s)  # no digit, no date: nothing more is tried
-        found, span, begin = dates.date_anchor(dated), dates.date_range(dated, asof), dates.range_start(dated)
+        page = F.when(raw.rlike(r"(?i)^---\s*Page\s+[0-9]+\s*---\s*$"), F.regexp_extract(raw, "([0-9]+)", 1).cast("int"))
+        return F.struct(s.alias("s"), raw.startswith("[RIGHT_COLUMN]").alias("right"), page.alias("page"))
+
+    def dated(a: Column) -> Column:
+        s = F.when(a["s"].rlike("[0-9]"), a["s"])  # no digit, no date: nothing more is tried
+        stop = F.coalesce(dates.date_token(s), F.when(a["s"].rlike(dates.PRESENT), F.lit(asof)))
+        return F.struct(a.alias("a"), dates.date_anchor(s).alias("found"), dates.date_range(s, asof).alias("span"), dates.range_start(s).alias("begin"), stop.alias("until"))
+
+    def known(d: Column) -> Column:
+        a, found, span, begin = d["a"], d["found"], d["span"], d["begin"]
         start = F.coalesce(found["start"], span["start"], begin["start"])
         end = F.coalesce(found["end"], span["end"], F.when(begin["open"], F.lit(asof)), begin["start"])
         missing = F.when(found.isNotNull(), found["end_missing"]).when(span.isNotNull(), F.lit(False)).when(begin.isNotNull(), ~begin["open"])
-        stop = F.coalesce(dates.date_token(dated), F.when(s.rlike(dates.PRESENT), F.lit(asof)))
-        return F.struct(
-            s.alias("s"), right.alias("right"), F.when(raw.rlike(r"(?i)^---\s*Page\s+[0-9]+\s*---\s*$"), F.regexp_extract(raw, "([0-9]+)", 1).cast("int")).alias("page"),
-            s.rlike(BREAK).alias("stop"), start.alias("start"), end.alias("end"), missing.alias("missing"), stop.alias("until"), (is_garbage(s) | s.rlike(PLACE)).alias("skip"),
-        )
+        skip = is_garbage(a["s"]) | a["s"].rlike(PLACE)
+        return F.struct(a["s"].alias("s"), a["right"].alias("right"), a["page"].alias("page"), a["s"].rlike(BREAK).alias("stop"), start.alias("start"), end.alias("end"), missing.alias("missing"), d["until"].alias("until"), skip.alias("skip"))
 
-    return F.transform(F.split(text.timeline_text(x), "\n"), one)
+    return F.transform(F.transform(F.transform(F.split(text.timeline_text(x), "\n"), cleaned), dated), known)
 
 
 def _state(a: Column, **new: Column) -> Column:
-    return F.struct(*[new.get(f, a[f]).alias(f) for f in ("mode", "page", "start", "end", "lines", "pages", "chunks")])
+    return F.struct((a["at"] + 1).alias("at"), *[new.get(f, a[f]).alias(f) for f in ("mode", "page", "open", "closed")])
 
 
 def chunks_of(x: Column, asof: str | None = None) -> Column:
-    """array of chunks of a text. Modes: 0 seeking, 1 waiting for an end date, 2 collecting, 3 done."""
+    """array of chunks of a text. Modes: 0 seeking, 1 waiting for an end date, 2 collecting, 3 done.
+
+    The fold carries ranges of lines only, so that it is linear in them; each chunk's lines are cut out afterwards.
+    """
     seek, wait, collect, done = (F.lit(k) for k in range(4))
-    no_lines, no_pages = F.array().cast("array<string>"), F.array().cast("array<int>")
 
     def closed(a: Column) -> Column:
-        full = F.aggregate(a["lines"], F.lit(0), lambda n, s: n + F.length(s)) >= LEAST
-        chunk = F.struct(a["start"].alias("start_date"), a["end"].alias("end_date"), a["lines"].alias("lines"), F.array_distinct(a["pages"]).alias("pages"))
-        return F.when((a["mode"] == 2) & full, F.concat(a["chunks"], F.array(chunk))).otherwise(a["chunks"])
+        return F.when(a["mode"] == 2, F.concat(a["closed"], F.array(a["open"].withField("to", a["at"])))).otherwise(a["closed"])
 
     def step(a: Column, ln: Column) -> Column:
-        anchor = ln["start"].isNotNull()
-        pages = F.when(a["page"] > 0, F.array(a["page"])).otherwise(no_pages)
-        opened = _state(a, mode=F.when(ln["missing"], wait).otherwise(collect), start=ln["start"], end=ln["end"], lines=no_lines, pages=pages, chunks=closed(a))
-        ended = _state(a, mode=done, chunks=closed(a), lines=no_lines)
-        paged = _state(a, page=F.when(a["mode"] == 1, a["page"]).otherwise(ln["page"]), pages=F.when(a["mode"] == 2, F.concat(a["pages"], F.array(ln["page"]))).otherwise(a["pages"]))
+        new = F.struct(ln["start"].alias("start"), ln["end"].alias("end"), a["page"].alias("page"), (a["at"] + 1).alias("from"), F.lit(0).alias("to"))
         return (
             F.when(a["mode"] == 3, a)
-            .when(ln["page"].isNotNull(), paged)
-            .when(ln["right"] & (a["mode"] < 2), a)
-            .when(ln["stop"], ended)
-            .when(anchor & ln["right"], _state(a, mode=seek, chunks=closed(a), lines=no_lines))
-            .when(anchor, opened)
-            .when((a["mode"] == 1) & ln["until"].isNotNull(), _state(a, mode=collect, end=ln["until"]))
-            .when((a["mode"] == 2) & ~ln["right"] & ~ln["skip"], _state(a, lines=F.concat(a["lines"], F.array(ln["s"]))))
-            .otherwise(a)
+            .when(ln["page"].isNotNull(), _state(a, page=F.when(a["mode"] == 1, a["page"]).otherwise(ln["page"])))
+            .when(ln["right"] & (a["mode"] < 2), _state(a))
+            .when(ln["stop"], _state(a, mode=done, closed=closed(a)))
+            .when(ln["start"].isNotNull() & ln["right"], _state(a, mode=seek, closed=closed(a)))
+            .when(ln["start"].isNotNull(), _state(a, mode=F.when(ln["missing"], wait).otherwise(collect), open=new, closed=closed(a)))
+            .when((a["mode"] == 1) & ln["until"].isNotNull(), _state(a, mode=collect, open=a["open"].withField("end", ln["until"]).withField("from", a["at"] + 1)))
+            .otherwise(_state(a))
         )
 
-    start = F.from_json(F.lit('{"mode":0,"page":0,"lines":[],"pages":[],"chunks":[]}'), STATE)
-    return F.aggregate(lines_of(x, asof), start, step, closed)
+    def chunk(lines: Column, r: Column) -> Column:
+        def of(part: Column) -> Column:
+            own = F.transform(F.filter(part, lambda ln: ln["page"].isNull() & ~ln["right"] & ~ln["skip"]), lambda ln: ln["s"])
+            first = F.when(r["page"] > 0, F.array(r["page"])).otherwise(F.array().cast("array<int>"))
+            pages = F.array_distinct(F.concat(first, F.filter(F.transform(part, lambda ln: ln["page"]), lambda p: p.isNotNull())))
+            return F.struct(r["start"].alias("start_date"), r["end"].alias("end_date"), own.alias("lines"), pages.alias("pages"))
+
+        return spans.bound(F.slice(lines, r["from"] + 1, F.greatest(r["to"] - r["from"], F.lit(0))), of)
+
+    def whole(lines: Column) -> Column:
+        start = F.from_json(F.lit('{"at":0,"mode":0,"page":0,"open":{"page":0,"from":0,"to":0},"closed":[]}'), STATE)
+        full = lambda c: F.aggregate(c["lines"], F.lit(0), lambda n, s: n + F.length(s)) >= LEAST
+        return F.filter(F.transform(F.aggregate(lines, start, step, closed), lambda r: chunk(lines, r)), full)
+
+    return spans.bound(lines_of(x, asof), whole)
 
 
 def header_and_body(lines: Column) -> Column:
-    """struct<header, body>: the first company-like line and a short line after it, before any other; all else is body."""
+    """struct<header, body>: the first company-like line and, if it is the chunk's first, a short line after it; all else is body."""
     none = F.array().cast("array<string>")
+    bullet = lambda s: s.startswith("-") | s.rlike(TECH_HEAD + ":?")
 
-    def step(a: Column, s: Column) -> Column:
-        h, b = F.size(a["header"]), F.size(a["body"])
-        bullet = s.startswith("-") | s.rlike(TECH_HEAD + ":?")
-        head = ~bullet & (((h == 0) & is_company(s)) | ((h == 1) & (b == 0) & (F.length(s) <= 80) & ~is_description(s)))
-        return F.struct(F.when(head, F.concat(a["header"], F.array(s))).otherwise(a["header"]).alias("header"), F.when(head, a["body"]).otherwise(F.concat(a["body"], F.array(s))).alias("body"))
+    def split(x: Column) -> Column:
+        all_, first = x["lines"], x["first"]
+        second = F.try_element_at(all_, F.lit(2))
+        both = (first == 0) & F.coalesce(~bullet(second) & (F.length(second) <= 80) & ~is_description(second), F.lit(False))
+        n = F.when(first < 0, 0).when(both, 2).otherwise(1)
+        return spans.bound(n, lambda n: F.struct(F.when(n > 0, F.slice(all_, F.greatest(first, F.lit(0)) + 1, n)).otherwise(none).alias("header"), F.filter(all_, lambda _, i: (n == 0) | (i < first) | (i >= first + n)).alias("body")))
 
-    return F.aggregate(lines, F.struct(none.alias("header"), none.alias("body")), step)
+    counted = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("first"))
+    step = lambda a, s: F.struct((a["i"] + 1).alias("i"), F.when(a["first"] >= 0, a["first"]).when(~bullet(s) & is_company(s), a["i"]).otherwise(-1).alias("first"))
+    return spans.bound(F.struct(lines.alias("lines"), F.aggregate(lines, counted, step, lambda a: a["first"]).alias("first")), split)
 
 
 def technologies_of(lines: Column) -> Column:
@@ -116,15 +135,15 @@ def technologies_of(lines: Column) -> Column:
 
     blocks = F.aggregate(lines, F.struct(F.lit(False).alias("on"), none.alias("got")), step, lambda a: a["got"])
     listed = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, r"\s*[,;|/]\s*"), text.technology_name)))
-    listed = F.filter(listed, lambda t: t.rlike(r"^[A-Za-z0-9][A-Za-z0-9+.#()\-\s]{1,80}$"))
+    listed = F.filter(listed, lambda t: t.rlike(r"^[A-Za-z0-9][A-Za-z0-9+.#()\-\s]{1,80}$") & ~F.lower(t).rlike("|".join(REJECTED)))
     named = F.transform(F.regexp_extract_all(F.array_join(lines, " "), F.lit(INLINE), F.lit(0)), text.technology_name)
-    return text.ordered_distinct(F.when(F.size(listed) > 0, listed).otherwise(named), F.lower)
+    return spans.bound(listed, lambda xs: spans.bound(F.when(F.size(xs) > 0, xs).otherwise(named), lambda ys: text.ordered_distinct(ys, F.lower)))
 
 
 def timeline(docs: DataFrame, asof: str | None = None) -> DataFrame:
     """doc_id, seq, start_date, end_date, months, header_lines, body_lines, technologies, source_pages of each chunk of docs (doc_id, text)."""
-    rows = docs.select("doc_id", F.posexplode(chunks_of(F.col("text"), asof)).alias("seq", "c"))
-    hb = header_and_body(F.col("c.lines"))
+    rows = docs.select("doc_id", F.posexplode(chunks_of(F.col("text"), asof)).alias("seq", "c")).withColumn("hb", header_and_body(F.col("c.lines")))
+    hb = F.col("hb")
     return rows.select(
         "doc_id", "seq", "c.start_date", "c.end_date", dates.months_inclusive(F.col("c.start_date"), F.col("c.end_date")).alias("months"),
         hb["header"].alias("header_lines"), hb["body"].alias("body_lines"), technologies_of(F.col("c.lines")).alias("technologies"), F.col("c.pages").alias("source_pages"),

@@ -241,7 +241,7 @@ def pii_date_phone_filter(spark, sf):
 
 @query("""SELECT doc_id, regexp_matches(text, '(?i)(?:street|straße|strasse|str\\.)(?:\\b)|\\b[0-9]{5}\\b') AS marked FROM documents""")
 def pii_address_filter(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?i)(?:street|straße|strasse|str\.)\b|\b[0-9]{5}\b").alias("marked"))
+    return _t(spark, sf, "documents").select("doc_id", exclusion.address_marked(F.col("text")).alias("marked"))
 
 
 @query(f"""WITH e AS ({_span_sql(spans.PATTERNS["EMAIL_ADDRESS"][0])}) SELECT doc_id, '<EMAIL_ADDRESS' || row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) || '>' AS key, value FROM e""")
@@ -393,11 +393,11 @@ def lexicon_substring(spark, sf):
     return identity.lexicon_filter(v.withColumn("value", F.right(F.element_at(F.split("value", " "), 2), F.lit(3))), terms, how="substring")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:60] AS w FROM documents), x AS (SELECT doc_id, w, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM w),
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), x AS (SELECT doc_id, w, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM w),
     a AS (SELECT doc_id, lower(v) AS k, arg_min(v, i) AS v, min(i) AS i FROM x GROUP BY 1, 2), b AS (SELECT doc_id, v, min(i) AS i FROM x GROUP BY 1, 2)
     SELECT doc_id, (SELECT string_agg(v, '|' ORDER BY i) FROM a WHERE a.doc_id = w.doc_id) AS ci, (SELECT string_agg(v, '|' ORDER BY i) FROM b WHERE b.doc_id = w.doc_id) AS cs FROM w""")
 def ordered_dedupe(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 60).alias("w"))  # a heading's worth of words
+    d = _t(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w"))
     return d.select("doc_id", F.array_join(text.ordered_distinct(F.col("w"), F.lower), "|").alias("ci"), F.array_join(text.ordered_distinct(F.col("w")), "|").alias("cs"))
 
 

@@ -20,9 +20,9 @@ def binary_documents(spark: SparkSession, path: str, extract: Callable[[bytes, s
             for content, name in zip(pdf["content"], pdf["path"], strict=True):
                 try:
                     out.append(extract(bytes(content), name))
-                except ValueError:
+                except Exception:  # whatever a reader raises on a file that it can't read
                     out.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "text": out})
+            yield pd.DataFrame({"path": pdf["path"], "text": pd.Series(out, index=pdf.index, dtype=object)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select("path", "content").mapInPandas(run, "path string, text string")
@@ -38,8 +38,8 @@ def cv_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """table with changes: the row with the largest order of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """table with changes: the row with the largest order of each key; of several with one order, the one with the larger hash of all its columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*[F.to_json(F.struct(c)) for c in table.columns])))
     return table.unionByName(changes).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -61,13 +61,28 @@ def create_index(spark: SparkSession, name: str, schema: str, force: bool = Fals
     return True
 
 
-def index_batch(docs: DataFrame, path: str) -> dict[str, int]:
-    """Writes documents with a cv; {indexed, failed}."""
-    from pyspark.sql import Observation
-
-    seen = Observation("indexed")
-    docs.observe(seen, F.count("*").alias("all"), F.count_if(F.col("cv").isNotNull()).alias("good")).where("cv is not null").write.mode("append").parquet(path)
-    return {"indexed": seen.get["good"], "failed": seen.get["all"] - seen.get["good"]}
+def indexed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index that index_batch wrote last; None if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = sorted(p.getName() for p in done if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+
+
+def index_batch(docs: DataFrame, path: str, key: str = "doc_id", shown: int = 100) -> dict:
+    """Upserts documents with a cv by their key; {indexed, failed, errors}: errors are the keys of up to `shown` documents without a cv.
+
+    A new version of the index is written beside the old one and counts once it is whole: a batch that fails, or is run again, changes nothing else.
+    """
+    spark = docs.sparkSession
+    held = indexed(spark, path)
+    good = docs.where("cv is not null").dropDuplicates([key])
+    failed = docs.where("cv is null")
+    merged = good if held is None else held.join(good.select(key), key, "left_anti").unionByName(good)
+    number = 0 if held is None else int(held.inputFiles()[0].split("/version=")[1].split("/")[0]) + 1
+    merged.write.mode("overwrite").parquet(f"{path}/version={number:08d}")
+    return {"indexed": good.count(), "failed": failed.count(), "errors": [r[0] for r in failed.select(key).limit(shown).collect()]}
 
 
 def to_json_lines(docs: DataFrame, path: str) -> None:

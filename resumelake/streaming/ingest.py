@@ -1,4 +1,4 @@
-"""Continuous ingest (an extension): new document files are redacted as they come and upserted by key."""
+"""Continuous ingest (an extension): new document files are redacted as they come, a folder for each batch."""
 
 from __future__ import annotations
 
