@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from resumelake.llm.graph import components
 from resumelake.llm.shared import plain, settled
 
-#: Vectors aimed at in a list, lists at most, vectors in the sample for each list (and at least), subspaces, codewords.
+#: Vectors of one label aimed at in a list, lists at most, vectors in the sample for each list (and at least), subspaces, codewords.
 LIST, LISTS, PER_LIST, LEAST, SUBSPACES, CODES = 2048, 4096, 32, 8192, 8, 256
 #: Vectors of a list, or probes of it, that meet in one task.
 BLOCK = 2048
@@ -137,11 +137,11 @@ def _linker(index: Index, least: float, r: float):
             maybe = ~home[chunk][:, None] | (ids[chunk][:, None] > ids[data][None])  # in a probe's own list each pair meets twice
             if codes is not None:
                 rest = unit[chunk] - index.coarse[at]
-                far = np.zeros((len(chunk), len(data)))
+                far = np.zeros((len(chunk), len(data)), dtype=np.float32)
                 for m, (cut, book) in enumerate(zip(index.cuts, index.books, strict=True)):
-                    table = ((rest[:, cut][:, None, :] - book[None]) ** 2).sum(2)
+                    table = ((rest[:, cut][:, None, :] - book[None]) ** 2).sum(2).astype(np.float32)
                     far += table[:, codes[:, m]]
-                maybe &= np.sqrt(far) - miss[None] <= r + 1e-9
+                maybe &= np.sqrt(far) - miss[None] <= r + 1e-4  # more than floats round off: no pair is lost
             p, d = np.nonzero(maybe)
             if not len(p):
                 continue
@@ -180,7 +180,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     if dims is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     usual, n = dims["dim"], dims["n"]
-    lists = max(1, min(LISTS, n // LIST))
+    mean = nodes.where(F.col("dim") == usual).groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]  # of the label that a vector has
+    lists = max(1, min(LISTS, int(mean) // LIST))
     share = min(1.0, max(LEAST, PER_LIST * lists) / n)
     drawn = nodes.where((F.col("dim") == usual) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20))).select("rep", "v").toPandas().sort_values("rep")
     x = np.stack(drawn["v"].tolist()) if len(drawn) else np.eye(usual)[:1]

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from resumelake.llm.shared import plain, settled
 
-#: Ranges at least for each shard, rows' bytes aimed at in a range, sampled keys for each range.
-RANGES_PER_SHARD, RANGE_BYTES, SAMPLES = 4, 64 << 20, 40
+#: Ranges at least for each shard, rows' bytes aimed at in a range, ranges beyond which ranges grow instead, sampled keys for each range:
+#: so that what the driver holds doesn't grow with the table.
+RANGES_PER_SHARD, RANGE_BYTES, RANGES, SAMPLES = 4, 64 << 20, 4096, 40
 #: A range is overfull beyond this many times the mean; rounds of subdivision at most (a single key can't be split).
 OVERFULL, ROUNDS = 2.0, 6
 
@@ -70,7 +71,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         )
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = max(RANGES_PER_SHARD * shards, total // RANGE_BYTES)
+    ranges = max(RANGES_PER_SHARD * shards, min(RANGES, total // RANGE_BYTES))
     keys = _sampled(rows, total, ranges * SAMPLES, None)
     bounds = np.unique(keys[[len(keys) * k // ranges for k in range(1, ranges)]]) if len(keys) else keys
     for _ in range(ROUNDS):
@@ -92,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         base = [base[0] + r["size"], base[1] + r["n"]]
     at = rows.sparkSession.createDataFrame(spans, "range long, bytes_before long, rows_before long")
     w = Window.partitionBy("range").orderBy("h", "doc_key", "size", "text_crc32")
-    line = placed.join(at, "range")  # a row for each range: at most ranges and what they were subdivided into
+    line = placed.join(F.broadcast(at), "range")  # a row for each range: at most ranges and what they were subdivided into
     line = line.withColumn("rank", F.row_number().over(w) - 1 + F.col("rows_before"))
     line = line.withColumn("mid", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2 + F.col("bytes_before"))
     line = settled(line.select("doc_id", "size", "text_crc32", F.least(F.floor(F.col("mid") * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard"), "rank"))

@@ -13,22 +13,24 @@ ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopq
 
 
 #: Rows that go to a Python worker at a time: whole texts are long.
-ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """spark, with batches of whole texts that stay small; a size set by the user stays."""
-    name, default, ours = ARROW_ROWS
-    if spark.conf.get(name, default) == default:
+    """spark, with batches of whole texts that stay small (for its session); a size set by the user, whatever it is, stays."""
+    name, ours = ARROW_ROWS
+    if name not in spark.conf.getAll:
         spark.conf.set(name, ours)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) a temporary one that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (on a local master only) a temporary one that is then set."""
     lean(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="resumelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
