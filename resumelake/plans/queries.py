@@ -227,14 +227,28 @@ def pii_phone_spans(spark, sf):
     return _spans(spark, sf, "PHONE_NUMBER")
 
 
-@query(_span_sql(spans.PATTERNS["ADDRESS"][0].replace(r"[\wÄÖÜäöüß\- ]", r"[0-9A-Za-z_ÄÖÜäöüß\- ]")))
+@query("""SELECT c_custkey AS doc_id, k AS nth, s::INT AS s, (s + length(v))::INT AS e, v AS value FROM (
+    SELECT c_custkey, 1 AS k, 4 AS s, lpad((c_custkey % 90000 + 10000)::VARCHAR, 5, '0') || ' ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS v FROM customer WHERE c_custkey % 3 <> 0 UNION ALL
+    SELECT c_custkey, 2, 4 + length(c_mktsegment) + 6 + 2 + length(c_name) + 2, '10115 Berlin' FROM customer WHERE c_custkey % 3 = 1)""")
 def pii_zip_spans(spark, sf):
-    return _spans(spark, sf, "ADDRESS")
-
-
-@query(f"""WITH p AS ({_span_sql(spans.PATTERNS["PHONE_NUMBER"][0])}) SELECT * FROM p WHERE NOT regexp_matches(value, '{"|".join(spans.DATES)}')""")
+    # a postal code with a town, one for every other customer another, and for every third a number that isn't one
+    town = F.concat(F.upper(F.substring("c_mktsegment", 1, 1)), F.lower(F.expr("substring(c_mktsegment, 2)")))
+    code = F.lpad((F.col("c_custkey") % 90000 + 10000).cast("string"), 5, "0")
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("in: "), code, F.lit(" x"), F.lower(town))).otherwise(F.concat(F.lit("in: "), code, F.lit(" "), town))
+    d = _t(spark, sf, "customer").select("c_custkey", F.concat(line, F.lit("; "), "c_name", F.when(F.col("c_custkey") % 3 == 1, "; 10115 Berlin").otherwise("; 101156 Bonn")).alias("text"))
+    pattern, score = spans.PATTERNS["ADDRESS"]
+    x = d.select("c_custkey", "text", F.posexplode(spans.found(F.col("text"), pattern, "ADDRESS", score, "[0-9]{5}")).alias("nth", "p"))
+    return x.select(F.col("c_custkey").alias("doc_id"), (F.col("nth") + 1).alias("nth"), F.col("p.start").alias("s"), F.col("p.end").alias("e"), spans.slice_of(F.col("text"), F.col("p")).alias("value"))
+
+
+@query("""SELECT c_custkey AS doc_id, 5 AS s, 5 + length(v) AS e, v AS value FROM (SELECT c_custkey, '0176 55' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '01' AS v FROM customer WHERE c_custkey % 4 <> 3)
+    UNION ALL SELECT c_custkey, 6, 19, '49 30 1234567' FROM customer WHERE c_custkey % 4 = 3""")
 def pii_date_phone_filter(spark, sf):
-    d, (pattern, score) = _t(spark, sf, "documents").select("doc_id", "text"), spans.PATTERNS["PHONE_NUMBER"]
+    # a telephone number for each customer, and behind it ranges of years, months and a number with a year, which are none
+    k = F.col("c_custkey") % 4
+    call = F.when(k == 3, "+49 30 1234567").otherwise(F.concat(F.lit("0176 55"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit("01")))
+    rest = F.when(k == 0, "; 2019-2021").when(k == 1, "; 12/2020 123456").when(k == 2, "; 2/2025 - 12/2025, 1998.12").otherwise("")
+    d, (pattern, score) = _t(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("call "), call, rest).alias("text")), spans.PATTERNS["PHONE_NUMBER"]
     kept = spans.without_dates(F.col("text"), spans.found(F.col("text"), pattern, "PHONE_NUMBER", score))
     return d.select("doc_id", "text", F.explode(kept).alias("p")).select("doc_id", F.col("p.start").alias("s"), F.col("p.end").alias("e"), spans.slice_of(F.col("text"), F.col("p")).alias("value"))
 
@@ -276,9 +290,12 @@ def pii_redact_regex(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.md5(x).alias("masked"))
 
 
-@query()
+_TAGS = "regexp_replace(' ' || regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', '<EMAIL>', 'g') || ' ', '([^0-9A-Za-z+])(\\+?[0-9][0-9 ()-]{7,}[0-9])([^0-9A-Za-z])', '\\1<PHONE>\\3', 'g')"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace({_TAGS}[2:-2], '(?i)(mein Name ist|my name is|Name:)\\s+\\p{{L}}+(?:\\s+\\p{{L}}+)?', '\\1 <PERSON>', 'g')) AS masked FROM documents""")
 def pii_mask_plain(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", redaction.masked_plainly(F.col("text")).alias("masked"))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(redaction.masked_plainly(F.col("text"))).alias("masked"))
 
 
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
@@ -433,6 +450,27 @@ def bm25_best_fields(spark, sf):
     return retrieval.top(retrieval.best_fields(_t(spark, sf, "documents"), _TERMS, ["text", "source"]), 10)
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP) + "]"
+_WORDS = ("ring", "gizmos", "the", "bolt")
+#: Edits allowed in each word of the query, written out: none up to 2 letters, one up to 5, else two.
+_EDITS = "SELECT * FROM (VALUES ('ring', 1), ('gizmos', 2), ('bolt', 1)) AS e(word, far)"
+
+
+def _fields(spark, sf) -> DataFrame:
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.concat_ws(" of the ", "p_type", "p_name").alias("kind"))
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS doc_id, unnest([{{'field': 'name', 'x': p_name}}, {{'field': 'kind', 'x': p_type || ' of the ' || p_name}}]) AS f FROM part),
+    t AS (SELECT doc_id, f.field AS field, list_filter(string_split_regex(lower(f.x), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains({_STOP}, w)) AS t FROM d),
+    c AS (SELECT field, count(*) AS n, avg(len(t)) AS av FROM t GROUP BY 1), x AS (SELECT doc_id, field, len(t) AS dl, unnest(t) AS term FROM t),
+    tf AS (SELECT doc_id, field, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+    q AS ({_EDITS}), h AS (SELECT field, term, word, 1 - levenshtein(term, word) / least(length(term), length(word)) AS boost FROM df, q WHERE levenshtein(term, word) <= far),
+    s AS (SELECT doc_id, tf.field, word, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS s FROM tf JOIN df USING (field, term) JOIN c ON c.field = tf.field JOIN h ON h.field = tf.field AND h.term = tf.term WHERE boost > 0 GROUP BY ALL),
+    b AS (SELECT doc_id, field, sum(s) AS s FROM s GROUP BY ALL) SELECT doc_id, round(max(s), 6) AS score FROM b GROUP BY 1""")
+def fuzzy_best_fields(spark, sf):
+    return retrieval.matched(retrieval.postings(_fields(spark, sf)), " ".join(_WORDS)).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT p_partkey, p_name, levenshtein(split_part(p_name, ' ', 2), 'gizmos')::INT AS edits FROM part WHERE levenshtein(split_part(p_name, ' ', 2), 'gizmos') <= 2")
 def fuzzy_terms(spark, sf):
     edits = F.levenshtein(F.element_at(F.split("p_name", " "), 2), F.lit("gizmos"))
