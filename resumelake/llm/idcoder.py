@@ -6,7 +6,8 @@ so that any block can be decoded alone. In a block, each id is coded as one symb
 these: it is what the two ids before it predict (order 2); what the id
 before it predicts (order 1); or a bucket of ranks and a place in it (order 0).
 The symbol's chances mix adaptive counts under the confidences of both predictions with
-the block's order-0 counts. The range coder has 64-bit state and no carries.
+the block's order-0 counts; how much each of the two weighs follows from how often it gave the
+symbols that came the better chance, in each block by itself. The range coder has 64-bit state and no carries.
 
 All blocks of a segment are coded in step, a numpy operation at a time, which is what
 makes an adaptive coder bearable in Python; a block's bytes don't depend on the others.
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from resumelake.llm.shared import plain, shared_dir
 from resumelake.llm.wordpiece import Encoder, vocabulary_path
 
-MAGIC, VERSION = b"RLID", 1
+MAGIC, VERSION = b"RLID", 2
 #: Ids in a block, blocks that a segment aims at, slots of a prediction table, bits of all chances of a symbol.
 BLOCK, LANES, SLOTS, BITS = 4096, 2048, 4096, 15
 #: Added to a count when its symbol comes; the models' tables follow their counts at these steps, then each EVERY.
 STEP, EARLY, EVERY = 24, frozenset((8, 16, 32, 64, 128)), 256
+#: All weights of the two kinds of counts; each has one at least. Bits of a chance in whole numbers.
+WEIGHTS, FINE = 16, 16
 _HEAD = struct.Struct("<4sBIIIIQI")
 _U = np.uint64
 
@@ -66,15 +69,24 @@ class _Models:
         self.room = (1 << BITS) - self.symbols
         self.rank_of = np.repeat(np.arange(len(self.width)), self.width)
         self.order = np.arange(1, self.symbols + 1, dtype=np.int32)
+        self.wins, self.since = np.zeros((2, lanes), dtype=np.int64), []
         self.follow()
 
     def follow(self) -> None:
-        """Chances from the counts: those in the context, three times, and the block's own."""
-        mixed = self.count * 3
-        mixed += self.all[:, None]
-        total = np.cumsum(mixed.reshape(-1, self.symbols), axis=1, dtype=np.float64)
-        total *= self.room / total[:, -1:]  # the same sums and quotients of whole numbers on any machine
-        self.cum[:, 1:] = total.astype(np.int32) + self.order
+        """Chances from the counts: those in the context and the block's own, weighed by which of them did better before. Whole numbers: the same on any machine."""
+        if self.since:
+            at, symbol = (np.concatenate(x) for x in zip(*self.since, strict=True))
+            better = (self.own.reshape(-1)[at] > self.general.reshape(-1)[symbol]).reshape(len(self.since), -1).sum(0)
+            self.wins[0] = (self.wins[0] + 1 >> 1) + better
+            self.wins[1] = (self.wins[1] + 1 >> 1) + len(self.since)
+            self.since = []
+        weight = np.clip((self.wins[0] * WEIGHTS + (self.wins[1] >> 1)) // np.maximum(self.wins[1], 1), 1, WEIGHTS - 1)
+        weight[self.wins[1] == 0] = WEIGHTS * 3 // 4
+        self.own = (self.count.astype(np.int64) << FINE) // self.count.sum(2, dtype=np.int64)[:, :, None]
+        self.general = (self.all.astype(np.int64) << FINE) // self.all.sum(1, dtype=np.int64)[:, None]
+        mixed = self.own * weight[:, None, None] + (self.general * (WEIGHTS - weight)[:, None])[:, None]
+        total = np.cumsum(mixed.reshape(-1, self.symbols), axis=1)
+        self.cum[:, 1:] = (total * self.room // total[:, -1:]).astype(np.int32) + self.order
 
     def predict(self) -> None:
         one, two = self.before
@@ -90,8 +102,10 @@ class _Models:
         return np.where(hit2, 0, np.where(hit1, 1, self.rank_of[rank] + 2))
 
     def learn(self, rank: np.ndarray, symbol: np.ndarray, step: int) -> None:
-        self.count.reshape(-1)[self.context * self.symbols + symbol] += STEP
-        self.all.reshape(-1)[self.lane * self.symbols + symbol] += STEP
+        own, general = self.context * self.symbols + symbol, self.lane * self.symbols + symbol
+        self.since.append((own, general))
+        self.count.reshape(-1)[own] += STEP
+        self.all.reshape(-1)[general] += STEP
         for table, at, seen, guess in ((self.table1, self.at1, self.seen1, self.guess1), (self.table2, self.at2, self.seen2, self.guess2)):
             sure = seen & 15
             table[at] = np.where((guess == rank) & (sure > 0), seen + (sure < 15), np.where(sure > 1, seen - (sure + 1 >> 1), rank << 4 | 1))
