@@ -82,6 +82,12 @@ def split_bullets(x: Column) -> Column:
     return F.when(flat, trimmed(F.concat(F.when(intro != "", F.concat(intro, F.lit("\n"))).otherwise(""), F.array_join(F.transform(items, lambda t: F.concat(F.lit("- "), t)), "\n")))).otherwise(x)
 
 
+def label_key(x: Column) -> Column:
+    """An entity label as part of an id: lower case, words joined by _; pii if nothing is left."""
+    y = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.when(y == "", "pii").otherwise(y)
+
+
 def phone_digits(x: Column) -> Column:
     """Digits and plus signs; null if there are fewer than seven digits."""
     y = F.regexp_replace(x, r"[^0-9+]", "")

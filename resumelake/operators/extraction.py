@@ -33,8 +33,34 @@ def json_of(reply: str):
     return None
 
 
-def answered(call: Call, prompt: str, attempts: int = 3, wait: float = 0.5) -> str:
-    """JSON text of the first reply that holds any. A reply without makes the next prompt plainer; a RuntimeError (no connection, a refusal) isn't tried again."""
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
+
+
+def violation(value, schema: dict, path: str = "$") -> str | None:
+    """The first place where a JSON value breaks a JSON schema (type, enum, required, properties, additionalProperties false, items, pattern); None if it doesn't."""
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in kinds):
+        return f"{path} is not of type {' or '.join(kinds)}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"{path} is none of {schema['enum']}"
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        return f"{path} does not match {schema['pattern']}"
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        return next((v for k, x in enumerate(value) if (v := violation(x, schema["items"], f"{path}[{k}]"))), None)
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        if missing := [k for k in schema.get("required", ()) if k not in value]:
+            return f"{path} lacks {missing[0]}"
+        if schema.get("additionalProperties") is False and (extra := [k for k in value if k not in known]):
+            return f"{path} has {extra[0]}, which the schema doesn't name"
+        return next((v for k, s in known.items() if k in value and (v := violation(value[k], s, f"{path}.{k}"))), None)
+    return None
+
+
+def answered(call: Call, prompt: str, attempts: int = 3, wait: float = 0.5, schema: dict | None = None) -> str:
+    """JSON text of the first reply that holds any (and fits a JSON schema, if one is given). A reply without makes the next prompt plainer, one that doesn't fit names the
+    place; a RuntimeError (no connection, a refusal) isn't tried again."""
     problem = None
     for k in range(1, attempts + 1):
         try:
@@ -44,9 +70,13 @@ def answered(call: Call, prompt: str, attempts: int = 3, wait: float = 0.5) -> s
         except Exception as e:
             problem = e
         else:
-            if value is not None:
+            broken = violation(value, schema) if schema is not None and value is not None else None
+            if broken:
+                prompt, problem = f"{prompt}\n\nThe JSON before did not fit the schema: {broken}. Return a corrected JSON object, and nothing else.", ValueError(broken)
+            elif value is not None:
                 return json.dumps(value, ensure_ascii=False)
-            prompt, problem = prompt + AGAIN, ValueError("no JSON in the reply")
+            else:
+                prompt, problem = prompt + AGAIN, ValueError("no JSON in the reply")
         if k < attempts:
             time.sleep(wait * k)
     raise RuntimeError(f"no answer after {attempts} attempts: {problem}") from problem

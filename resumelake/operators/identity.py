@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resumelake.functions import spans, text
@@ -110,6 +110,12 @@ def scored(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     return best.select("doc_id", "b.name", "b.source", "b.score", "b.start")
 
 
+def top_candidates(scores: DataFrame, most: int = 10) -> DataFrame:
+    """doc_id, rank, name, source, score: each document's best candidates, for inspection."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "start", F.desc("name"))
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("doc_id", "rank", "name", "source", "score")
+
+
 def primary(scores: DataFrame) -> DataFrame:
     """doc_id, name, score of the candidate with most points (the first of equals)."""
     best = scores.groupBy("doc_id").agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("start"), "name")).alias("b"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resumelake.functions.text import page_signature
+from resumelake.functions.text import extracted_text, page_signature
+
+#: Shares of a page's height above which a block can be a header, and below which a footer; room kept free of them.
+HEADER, FOOTER, PAD = 0.18, 0.82, 2.0
 
 
 def repeated(blocks: DataFrame, share: float = 0.6) -> DataFrame:
@@ -20,6 +23,26 @@ def body(blocks: DataFrame, share: float = 0.6) -> DataFrame:
     return blocks.withColumn("signature", page_signature(F.col("text"))).join(repeated(blocks, share), ["doc_id", "zone", "signature"], "left_anti").drop("signature")
 
 
+def zoned(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, page, y0, y1, height, text) with zone: header, footer or body, by their place on the page."""
+    zone = F.when(F.col("y1") <= F.col("height") * HEADER, "header").when(F.col("y0") >= F.col("height") * FOOTER, "footer").otherwise("body")
+    return blocks.withColumn("zone", zone)
+
+
+def document_text(blocks: DataFrame, share: float = 0.6) -> DataFrame:
+    """doc_id, text of documents from their blocks (doc_id, page, x0, y0, y1, height, text): headers and footers that repeat are learned, each page is cut
+    to what lies between those that it has (the whole page if that leaves nothing), blocks follow each other from top to bottom, pages end in a form feed."""
+    z = zoned(blocks).withColumn("signature", page_signature(F.col("text")))
+    learned = repeated(z.where("zone <> 'body'").select("doc_id", "page", "zone", "text").unionByName(z.groupBy("doc_id", "page").agg(F.lit("body").alias("zone"), F.lit("").alias("text"))), share)
+    marks = z.join(learned.select("doc_id", "zone", "signature"), ["doc_id", "zone", "signature"], "left_semi")
+    cuts = marks.groupBy("doc_id", "page").agg(F.max(F.when(F.col("zone") == "header", F.col("y1") + PAD)).alias("top"), F.min(F.when(F.col("zone") == "footer", F.col("y0") - PAD)).alias("bottom"))
+    held = z.join(cuts, ["doc_id", "page"], "left").withColumn("top", F.coalesce("top", F.lit(0.0))).withColumn("bottom", F.coalesce("bottom", "height"))
+    inside = (F.col("bottom") <= F.col("top") + 5) | ((F.col("y1") > F.col("top")) & (F.col("y0") < F.col("bottom")))
+    pages = held.where(inside).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda b: b["text"]), "\n").alias("t"))
+    whole = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "t"))).alias("p"))
+    return whole.select("doc_id", extracted_text(F.array_join(F.transform("p", lambda p: F.concat(p["t"], F.lit("\f"))), "")).alias("text"))
+
+
 def lines(words: DataFrame, gap: float = 1.5) -> DataFrame:
     """page, block_no, line_no, x0, y0, x1, y1, text from words (page, block_no, line_no, word_no, x0, y0, x1, y1, word); a space where words are over gap apart."""
     one = F.sort_array(F.collect_list(F.struct("word_no", "x0", "x1", "word")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +133,33 @@ def anonymized_documents(docs: DataFrame, policy: str = "redact_all", allowed: t
 SAMPLED = 20_000
 
 
+@dataclass(frozen=True)
+class Config:
+    """How documents are anonymized; limit: characters in which entities are sought (0: all)."""
+
+    url_policy: str = "keep_domain"
+    url_domain_allowlist: tuple[str, ...] = ("linkedin.com", "www.linkedin.com")
+    propagate_primary_name: bool = True
+    enable_initials: bool = True
+    pii_obfuscation_limit: int = 0
+
+    def export(self) -> dict:
+        """Plain values, for JSON."""
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
+
+
+def anonymized_by(docs: DataFrame, config: Config, ner: Recognizer | None = None) -> DataFrame:
+    """docs (doc_id, text) with redacted, mapping and config (JSON text), as a Config says."""
+    shown = F.lit(json.dumps(config.export()))
+    if config.pii_obfuscation_limit:
+        return redacted_values(docs, config.pii_obfuscation_limit, ner=ner).withColumn("config", shown)
+    if config.propagate_primary_name:
+        named = docs.join(identity.resolved(docs.select("doc_id", "text"), ner).select("doc_id", F.col("name").alias("_name")), "doc_id", "left")
+    else:
+        named = docs.withColumn("_name", F.lit(None).cast("string"))
+    return anonymized(named, "text", "_name", config.url_policy, config.url_domain_allowlist, config.enable_initials, ner).drop("_name").withColumn("config", shown)
+
+
 def stable_ids(entities: DataFrame, ranges: int = 256) -> DataFrame:
     """entity, value, id (person-1 ...): one number for each distinct value of a type over all texts.
 

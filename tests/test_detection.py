@@ -1,5 +1,6 @@
 """Detection, redaction, identity and timeline against plain Python."""
 
+import json
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resumelake.functions import spans, text
-from resumelake.operators import exclusion, identity, redaction, timeline
+from resumelake.operators import exclusion, extraction, identity, layout, redaction, timeline
 from resumelake.sources import files
 
 WORDS = ["Anna", "wort", "a.b@mail.example.com", "me at example dot org", "+49 30 12345678", "2020-2024", "Hauptstraße 5, 12345 Stadt", "10115 Berlin", "www.shop.example/x", "https://example.org/path", "linkedin.com/in/anna-muster7", "node.js", "\n", "ä😀", "0176 5550001", "03/2021", "﷐"]
@@ -246,3 +247,41 @@ def test_index_is_upserted(spark, tmp_path):
     for _ in range(2):  # run again: nothing doubles
         assert files.index_batch(rows(("b", "3"), ("d", "4")), path) == {"indexed": 2, "failed": 0, "errors": []}
         assert sorted(map(tuple, files.indexed(spark, path).collect())) == [("a", "1"), ("b", "3"), ("d", "4")]
+
+
+def test_documents_without_repeated_headers(spark):
+    rows = []
+    for page in range(1, 4):
+        rows += [(1, page, 0.0, 10.0, 30.0, 1000.0, f"Acme Report page {page} of 3"), (1, page, 0.0, 500.0, 520.0, 1000.0, f"body {page} second"), (1, page, 0.0, 300.0, 320.0, 1000.0, f"body {page} first"), (1, page, 0.0, 950.0, 970.0, 1000.0, f"{page}")]
+    rows += [(1, 3, 0.0, 100.0, 120.0, 1000.0, "once only"), (2, 1, 0.0, 10.0, 30.0, 1000.0, "single page header")]
+    d = spark.createDataFrame(rows, "doc_id long, page int, x0 double, y0 double, y1 double, height double, text string")
+    got = {r.doc_id: r.text for r in layout.document_text(d).collect()}
+    assert got[2] == "single page header\n" and "Acme" not in got[1] and "once only" in got[1]
+    assert [w for w in got[1].replace("\f", " ").split("\n") if w.strip()][0] == "body 1 first" and got[1].index("body 2 first") < got[1].index("body 2 second")
+
+
+def test_config_labels_and_candidates(spark):
+    d = spark.createDataFrame([(1, "Anna Muster\nwrite to anna.muster@mail.example.com or see https://shop.example.com/a")], "doc_id long, text string")
+    r = redaction.anonymized_by(d, redaction.Config()).first()
+    assert r.redacted == "<PERSON1>\nwrite to <EMAIL_ADDRESS1> or see <URL1>\n" and json.loads(r.config)["url_policy"] == "keep_domain"
+    assert "Anna" in redaction.anonymized_by(d, redaction.Config(propagate_primary_name=False)).first().redacted
+    assert "<EMAIL_ADDRESS1>" in redaction.anonymized_by(d, redaction.Config(pii_obfuscation_limit=5)).first().redacted
+    x = spark.createDataFrame([("Phone Number",), ("e-mail!",), ("??",)], "x string").select(text.label_key(F.col("x")).alias("y"))
+    assert [r.y for r in x.collect()] == ["phone_number", "e_mail", "pii"]
+    c = spark.createDataFrame([(1, f"N{k}", "header", k % 7, k) for k in range(30)], "doc_id long, name string, source string, score int, start int")
+    assert [r.score for r in identity.top_candidates(c).orderBy("rank").collect()] == [6] * 4 + [5] * 4 + [4] * 2
+
+
+def test_replies_are_held_against_a_schema():
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": ["string", "null"]}}, "b": {"enum": [1, 2]}, "c": {"type": "string", "pattern": "^[0-9]{4}$"}}, "additionalProperties": False}
+    bad = {'{"a": ["x", 3]}': "$.a[1] is not of type string or null", "[]": "$ is not of type object", "{}": "$ lacks a", '{"a": [], "b": 3}': "$.b is none of [1, 2]", '{"a": [], "c": "12"}': "$.c does not match ^[0-9]{4}$", '{"a": [], "z": 1}': "$ has z, which the schema doesn't name"}
+    for reply, said in bad.items():
+        assert extraction.violation(json.loads(reply), schema) == said
+    assert extraction.violation({"a": [None, "x"], "b": 2, "c": "2020"}, schema) is None and extraction.violation(True, {"type": "integer"})
+    prompts = []
+
+    def call(prompt):
+        prompts.append(prompt)
+        return ["nothing", '{"a": [3]}', '{"a": ["x"]}'][len(prompts) - 1]
+
+    assert extraction.answered(call, "p", 3, 0, schema) == '{"a": ["x"]}' and "$.a[0]" in prompts[2]
