@@ -89,14 +89,17 @@ def _map_of(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _alike(n: int, a: bytes, m: int, b: bytes, least: float) -> bool:
-    """Whether sizes and maps of two sets allow that they are as similar as least: each bit that only one has stands for a shingle at least that the other lacks."""
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+def _alike(n: int | np.ndarray, a: np.ndarray, m: int | np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes n, m and maps a, b (one a row) of sets allow that they are as similar as least: each bit that only one has stands for a shingle at least that the other lacks."""
+    size = min(a.shape[-1], b.shape[-1])
+
+    def folded(x: np.ndarray) -> np.ndarray:
+        while x.shape[-1] > size:
+            x = x[..., : x.shape[-1] // 2] | x[..., x.shape[-1] // 2 :]
+        return x
+
+    x, y = folded(a), folded(b)
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
     return most >= (n + m - most) * least
 
 
@@ -191,7 +194,7 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words:
 
 def _possible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Those of edges (src, dst) that sizes and maps allow to be as similar as `least`: none that is as similar is left out."""
-    return _kept_pairs(edges, nodes, ["n", "map"], lambda n, a, m, b: _alike(n, a, m, b, least))
+    return _kept_pairs(edges, nodes, ["n", "map"], lambda n, a, m, b: bool(_alike(n, np.frombuffer(a, dtype="<u8"), m, np.frombuffer(b, dtype="<u8"), least)))
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -272,23 +275,30 @@ def _met(nodes: DataFrame, parts: int, least: float, all_pairs: bool) -> DataFra
     return nodes.select("node", "c", "n", "prefix").mapInArrow(deal, "part int, keys binary, node binary, c binary, n binary, at binary").groupBy("part").applyInPandas(meet, "kind int, key long, src long, dst long, n long, at long")
 
 
-def _in_crowds(crowd: DataFrame, least: float) -> DataFrame:
-    """(src, dst) of the pairs in crowds, of unlike c, that sizes and places allow to be as similar as least; compared in blocks."""
+def _in_crowds(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of the pairs in crowds, of unlike c, that sizes, places and maps allow to be as similar as least; compared in blocks, of which only such pairs come out."""
     sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / (8 * CROWD)).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / (8 * CROWD)).cast("int").alias("np"))
     side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
-    rows = crowd.join(sizes, "key")
+    rows = crowd.join(sizes, "key").join(nodes.select(F.col("node").alias("src"), "map"), "src")
     data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
     probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
-    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at")
+    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", "map")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, c, n, at = (pdf[x].to_numpy() for x in ("src", "c", "n", "at"))
-        is_probe = pdf["probe"].to_numpy()
+        is_probe, maps = pdf["probe"].to_numpy(), [np.frombuffer(m, dtype="<u8") for m in pdf["map"]]
         data, out = np.flatnonzero(~is_probe), []
+        size, place, held = np.array([len(m) for m in maps]), np.zeros(len(maps), dtype=np.int64), {}
+        for w in np.unique(size[data]):
+            of = data[size[data] == w]
+            place[of], held[int(w)] = np.arange(len(of)), np.stack([maps[d] for d in of])
         for p in np.flatnonzero(is_probe):
             d = data[c[data] != c[p]]
-            d = node[d[_fits(n[p], at[p], n[d], at[d], least)]]
-            out.append((np.maximum(d, node[p]), np.minimum(d, node[p])))
+            d = d[_fits(n[p], at[p], n[d], at[d], least)]
+            for w in np.unique(size[d]):
+                of = d[size[d] == w]
+                of = node[of[_alike(n[p], maps[p], n[of], held[int(w)][place[of]], least)]]
+                out.append((np.maximum(of, node[p]), np.minimum(of, node[p])))
         pairs = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in out)]) for k in (0, 1)]
         return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
 
@@ -309,7 +319,7 @@ def _rest(nodes: DataFrame, edges: DataFrame, docs: DataFrame, k: int, words: in
         met = settled(_met(placed, parts, least, all_pairs))
         pairs, crowd = met.where("kind = 0").select("src", "dst"), met.where("kind > 0")
         if crowd.limit(1).count():
-            pairs = pairs.unionByName(_in_crowds(crowd, least))
+            pairs = pairs.unionByName(_in_crowds(crowd, nodes, least))
         pairs = settled(_possible(pairs.distinct(), nodes, least))
         more = settled(similar(pairs, nodes, docs, k, words, least)) if pairs.limit(1).count() else pairs
         new = more if new is None else new.unionByName(more)
