@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept by a worker; when more are needed the cache starts afresh.
-CACHE = 400_000
+CACHE = 250_000
 #: A worker's words by vocabulary; its later tasks find them too.
 _KNOWN: dict[str, dict[bytes, bytes]] = {}
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]*)", re.UNICODE)
