@@ -3,22 +3,31 @@
 The vocabulary's pre-tokenizer drops white space and never joins what stands
 on either side of it, and its normaliser (NFC, lower case) acts within words;
 so a text's ids are those of its words in turn. A word is looked up in a
-bounded cache, and words that are not there are encoded together by the
-library. A text that may hold a special token's string goes to the library whole.
+bounded cache. One that is not there is cut into the pre-tokenizer's pieces
+here, if it is of ASCII and Latin letters, and the library's model encodes
+these; any other goes to the library as it is. A text that may hold a special
+token's string goes to the library whole.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from unicodedata import category, normalize
 
 import numpy as np
 
 #: Words kept by a worker; when more are needed the cache starts afresh.
 CACHE = 250_000
 #: A worker's words by vocabulary; its later tasks find them too.
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
-_TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]*)", re.UNICODE)
+_KNOWN: dict[str, _Words] = {}
+#: Words of characters before this one are cut here, unless they hold white space beyond ASCII.
+_END, _SPACES = "ɐ", frozenset("\x85\xa0")
+_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in map(chr, range(ord(_END))) if category(c)[0] == kind) for kind in "LN")
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The vocabulary's letter for each byte: the byte's own, or, for those that aren't shown, the next from 256 on.
+_LETTER = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
 @lru_cache(maxsize=2)
@@ -28,69 +37,63 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """Encodes lists of texts to little-endian unsigned 32-bit ids, as bytes."""
+class _Words(dict):
+    """The ids of words (A-Z in lower case), as bytes; a word that is missing is encoded and kept."""
 
-    def __init__(self, path: str):
-        self.tokenizer = _library(path)
-        self.known = _KNOWN.setdefault(path, {b"": b""})
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.number = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
-    def _library_ids(self, text: str) -> bytes:
+    def library_ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_letters(self, words: list[bytes]) -> None:
-        """Words of letters only: one library call encodes them, and the library says which word an id is of."""
-        known = self.known
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            e = self.tokenizer.encode(b" ".join(part).decode("utf-8", "surrogatepass"), add_special_tokens=False)
-            raw, ids = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-            ends = (np.searchsorted(ids, np.arange(len(part)), side="right") * 4).tolist()
-            if len(ids) and ids[-1] == len(part) - 1:
-                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:  # a letter that the library's own tables see otherwise
-                for w in part:
-                    known[w] = self._library_ids(w.decode("utf-8", "surrogatepass"))
-
-    def _learn(self, words: set[bytes]) -> None:
-        letters, split, rest = set(), [], []
-        for w in words:
-            if w.isalpha():  # A-Z only, of bytes
-                letters.add(w)
-            elif w[:-1].isalpha() and w[-1:] in b".,!?;:":
-                letters.add(w[:-1])
-                split.append((w, w[:-1], w[-1:]))
-            elif (m := _TAIL.fullmatch(s := w.decode("utf-8", "surrogatepass"))) and m[1].isalpha():
-                head = m[1].encode()
-                letters.add(head)
-                if m[2]:
-                    split.append((w, head, m[2].encode()))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what the pre-tokenizer keeps together."""
+        raw = piece.encode()
+        ids = self.get(raw)
+        if ids is None:
+            number = self.number
+            ids = b"".join([number[t.id] for t in self.model.tokenize(raw.decode("latin-1").translate(_LETTER))])
+            if not piece.isalpha():
+                self[raw] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # A-Z only, of bytes
+            number = self.number
+            ids = b"".join([number[t.id] for t in self.model.tokenize(word.decode())])
+        else:
+            text = word.decode("utf-8", "surrogatepass")
+            low = text if word.isascii() else normalize("NFC", text).lower()
+            if max(low) < _END and _SPACES.isdisjoint(low):
+                ids = b"".join(map(self._piece, _CUT.findall(low)))
             else:
-                rest.append((w, s))
-        self._learn_letters(list(letters.difference(self.known)))
-        for w, head, tail in split:
-            if tail not in self.known:
-                self.known[tail] = self._library_ids(tail.decode())
-            self.known[w] = self.known[head] + self.known[tail]
-        for w, s in rest:
-            self.known[w] = self._library_ids(s)
+                ids = self.library_ids(text)
+        self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Encodes lists of texts to little-endian unsigned 32-bit ids, as bytes."""
+
+    def __init__(self, path: str):
+        if path not in _KNOWN:
+            _KNOWN[path] = _Words(_library(path))
+        self.known = _KNOWN[path]
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text; null is empty."""
-        split: list[list[bytes] | None] = []
-        need: set[bytes] = set()
+        known, out = self.known, []
         for t in texts:
             raw = (t or "").encode("utf-8", "surrogatepass").lower()  # lowers A-Z only
-            words = None if b"<|" in raw else raw.split()
-            split.append(words)
-            need.update(words or ())
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.known[b""] = b""
-        if missing := need.difference(self.known):
-            self._learn(missing)
-        known = self.known.__getitem__
-        return [self._library_ids(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
+            if b"<|" in raw:
+                out.append(known.library_ids(t))
+                continue
+            if len(known) > CACHE:
+                known.clear()
+            out.append(b"".join(map(known.__getitem__, raw.split())))
+        return out
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

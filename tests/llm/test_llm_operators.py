@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from resumelake.llm import classlm, graph, idcoder, kdsearch, packing, pieces, pigeonhole, pqdedup, sharding, simhash, surrogates, toxicity
+from resumelake.llm import classlm, graph, idcoder, kdsearch, packing, pieces, pigeonhole, pqdedup, sharding, simhash, surrogates, toxicity, wordpiece
 from resumelake.llm.shared import words_of
 from resumelake.llm.wordpiece import Encoder, vocabulary_path
 
@@ -234,6 +234,29 @@ def test_ids_equal_the_library(docs, odd):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocabulary_path()).encode(texts)] == [x.tolist() for x in library(texts)]
 
 
+def test_words_of_latin_letters_meet_only_the_librarys_model(monkeypatch):
+    """The library's own passes over a text cost most; cut here, words have the same ids without them."""
+    whole = wordpiece._library(vocabulary_path())
+    asked = []
+
+    class Spy:
+        model = whole.model
+        get_vocab_size = staticmethod(whole.get_vocab_size)
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return whole.encode(text, **options)
+
+    texts = ["Don't they'll, 'S i'd v2.0b", "ÉRÉ.*** équetion&&& ciónñra, u\u0308ber Straße²½ª_x", "555-8639 a\x00\x1c\x7f\xadb", "x" * 300]
+    far = ["a\xa0b c\x85d", "İstanbul ŉa", "日本語 ка́к \u212a"]
+    monkeypatch.setattr(wordpiece, "_library", lambda path: Spy())
+    monkeypatch.setattr(wordpiece, "_KNOWN", {})
+    got = Encoder(vocabulary_path()).encode(texts)
+    assert not asked
+    got += Encoder(vocabulary_path()).encode(far)
+    assert asked and got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts + far]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_packing(docs, odd, none, parts, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
