@@ -32,6 +32,8 @@ ORDER_TEXTS, ORDER_SHINGLES = 4_000, 200_000
 MAP_BITS = 4
 #: Up to so many ids (16 bytes each) go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
 SENT = 1_000_000
+#: Up to so many links (16 bytes each) of sets are put together at the driver; more are in the rounds of graph.py.
+FEW = 200_000
 #: Shingles of prefixes that one task holds (expected number).
 TASK = 1 << 20
 #: A shingle that more sets than this share in their prefixes is dealt in blocks of so many sets, a pair of blocks to a task.
@@ -160,8 +162,13 @@ def _shingle_sets(rows: DataFrame, k: int, words: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, s binary")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df, a written table, which goes to all tasks if it has no more than SENT rows."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 def _kept_pairs(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
-    """Those of pairs (src, dst) for which test(src's columns, dst's columns) holds; sides: node and these columns."""
+    """Those of pairs (src, dst; a written table) for which test(src's columns, dst's columns) holds; sides: node and these columns."""
     side = lambda a: sides.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +176,17 @@ def _kept_pairs(pairs: DataFrame, sides: DataFrame, columns: list[str], test) ->
             a, z = (zip(*(b.column(f"{x}_{c}").to_pylist() for c in columns), strict=True) for x in ("src", "dst"))
             yield b.select(["src", "dst"]).filter(pa.array([test(*x, *y) for x, y in zip(a, z, strict=True)], pa.bool_()))
 
-    return pairs.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").mapInArrow(run, "src long, dst long")
+    return _sent(pairs.select("src", "dst")).join(side("src"), "src").join(side("dst"), "dst").mapInArrow(run, "src long, dst long")
+
+
+def _sets_of(some: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int) -> DataFrame:
+    """node, s (_shingle_sets) of the nodes in some (node, repeated or not); of rows repeated with one id, each."""
+    some = settled(some.distinct())
+    ends = settled(_sent(some).join(nodes.select("node", "doc_id", "t"), "node").select("node", F.col("doc_id").alias("_id"), F.col("t").alias("_t")))
+    held = plain(docs, ["doc_id", "text"])
+    one = F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    held = held.join(_sent(ends), one).select("node", "text")
+    return settled(_shingle_sets(held, k, words))
 
 
 def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
@@ -177,12 +194,7 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words:
 
     nodes: node, doc_id, t of a row of each; only the texts at the ends of edges are read into sets. Texts without words are similar to each other.
     """
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    ends = settled(ends.join(nodes.select("node", "doc_id", "t"), "node").select("node", F.col("doc_id").alias("_id"), F.col("t").alias("_t")))
-    held = plain(docs, ["doc_id", "text"])
-    one = F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    held = held.join(F.broadcast(ends) if ends.count() <= SENT else ends, one).select("node", "text")
-    sets = settled(_shingle_sets(held, k, words))  # of rows repeated with one id, each
+    sets = _sets_of(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))), nodes, docs, k, words)
 
     def near(a: bytes, b: bytes) -> bool:
         x, y = _numbers(a, 6), _numbers(b, 6)
@@ -275,32 +287,63 @@ def _met(nodes: DataFrame, parts: int, least: float, all_pairs: bool) -> DataFra
     return nodes.select("node", "c", "n", "prefix").mapInArrow(deal, "part int, keys binary, node binary, c binary, n binary, at binary").groupBy("part").applyInPandas(meet, "kind int, key long, src long, dst long, n long, at long")
 
 
-def _in_crowds(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(src, dst) of the pairs in crowds, of unlike c, that sizes, places and maps allow to be as similar as least; compared in blocks, of which only such pairs come out."""
+def _spanning(c: np.ndarray, probes: np.ndarray, data: np.ndarray, n: np.ndarray, at: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (probe, other) between rows of unlike c whose sets are as similar as least: with them, and rows of one c being connected, all such pairs of probes and data are.
+
+    A set that has a link to one of a group needs none to the rest of it, so there are fewer links than groups.
+    """
+    _, group = np.unique(c, return_inverse=True)
+    maps = [np.frombuffer(_map_of(s.view("<i8")), dtype=np.uint8) for s in sets]
+    size = np.array([len(s) for s in sets])
+    width, place, held, out = np.array([len(m) for m in maps]), np.zeros(len(sets), dtype=np.int64), {}, []
+    for w in np.unique(width[data]):
+        of = data[width[data] == w]
+        place[of], held[int(w)] = np.arange(len(of)), np.stack([maps[d] for d in of])
+
+    def near(p: int, others: np.ndarray) -> np.ndarray:
+        mine, theirs = sets[p], np.concatenate([sets[q] for q in others])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), size[p] - 1)] == theirs
+        both = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
+        return both >= (size[p] + size[others] - both) * least
+
+    for p in probes:
+        d = data[group[data] != group[p]]
+        d = d[_fits(n[p], at[p], n[d], at[d], least)]
+        left = np.concatenate([d[:0], *(of[_alike(size[p], maps[p], size[of], held[int(w)][place[of]], least)] for w in np.unique(width[d]) for of in (d[width[d] == w],))])
+        step = 1  # of each group so many are compared at once, four times as many next
+        while len(left):
+            order = np.argsort(group[left], kind="stable")
+            left = left[order]
+            start = np.flatnonzero(np.append(True, group[left][1:] != group[left][:-1]))
+            nth = np.arange(len(left)) - np.repeat(start, np.diff(np.append(start, len(left))))
+            now = left[nth < step]
+            for q in now[near(p, now)]:
+                if group[q] != group[p]:
+                    out.append((p, q))
+                    group[group == group[q]] = group[p]
+            left = left[nth >= step]
+            left, step = left[group[left] != group[p]], 4 * step
+    return out
+
+
+def _in_crowds(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """Links (src, dst) that connect all pairs in crowds, of unlike c, that are as similar as least.
+
+    Blocks hold the sets themselves, so only similar pairs come out, of each block fewer than it has sets, however many pairs are similar.
+    """
     sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / (8 * CROWD)).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / (8 * CROWD)).cast("int").alias("np"))
     side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
-    rows = crowd.join(sizes, "key").join(nodes.select(F.col("node").alias("src"), "map"), "src")
+    sets = _sets_of(crowd.select(F.col("src").alias("node")), nodes, docs, k, words).groupBy("node").agg(F.first("s").alias("s"))
+    rows = crowd.join(sizes, "key").join(sets.withColumnRenamed("node", "src"), "src")
     data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
     probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
-    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", "map")
+    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", "s")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, c, n, at = (pdf[x].to_numpy() for x in ("src", "c", "n", "at"))
-        is_probe, maps = pdf["probe"].to_numpy(), [np.frombuffer(m, dtype="<u8") for m in pdf["map"]]
-        data, out = np.flatnonzero(~is_probe), []
-        size, place, held = np.array([len(m) for m in maps]), np.zeros(len(maps), dtype=np.int64), {}
-        for w in np.unique(size[data]):
-            of = data[size[data] == w]
-            place[of], held[int(w)] = np.arange(len(of)), np.stack([maps[d] for d in of])
-        for p in np.flatnonzero(is_probe):
-            d = data[c[data] != c[p]]
-            d = d[_fits(n[p], at[p], n[d], at[d], least)]
-            for w in np.unique(size[d]):
-                of = d[size[d] == w]
-                of = node[of[_alike(n[p], maps[p], n[of], held[int(w)][place[of]], least)]]
-                out.append((np.maximum(of, node[p]), np.minimum(of, node[p])))
-        pairs = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in out)]) for k in (0, 1)]
-        return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
+        node, c, n, at, is_probe = (pdf[x].to_numpy() for x in ("src", "c", "n", "at", "probe"))
+        found = _spanning(c, np.flatnonzero(is_probe), np.flatnonzero(~is_probe), n, at, [_numbers(s, 6) for s in pdf["s"]], least)
+        a, b = node[[p for p, _ in found]], node[[q for _, q in found]]
+        return pd.DataFrame({"src": np.maximum(a, b), "dst": np.minimum(a, b)})
 
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
 
@@ -314,14 +357,14 @@ def _rest(nodes: DataFrame, edges: DataFrame, docs: DataFrame, k: int, words: in
     total = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     parts, new = max(total // 8 // TASK, 16), None
     for all_pairs in (False, True):
-        found = settled(components(edges))
-        placed = nodes.join(F.broadcast(found) if found.count() <= SENT else found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        found = settled(components(edges, FEW))
+        placed = nodes.join(_sent(found), "node", "left").withColumn("c", F.coalesce("component", "node"))
         met = settled(_met(placed, parts, least, all_pairs))
         pairs, crowd = met.where("kind = 0").select("src", "dst"), met.where("kind > 0")
-        if crowd.limit(1).count():
-            pairs = pairs.unionByName(_in_crowds(crowd, nodes, least))
-        pairs = settled(_possible(pairs.distinct(), nodes, least))
+        pairs = settled(_possible(settled(pairs.distinct()), nodes, least))
         more = settled(similar(pairs, nodes, docs, k, words, least)) if pairs.limit(1).count() else pairs
+        if crowd.limit(1).count():
+            more = more.unionByName(settled(_in_crowds(crowd, nodes, docs, k, words, least).distinct()))
         new = more if new is None else new.unionByName(more)
         edges = edges.unionByName(more)
     return new
@@ -356,8 +399,8 @@ def near_groups(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, ac
         edges = settled(edges.groupBy(F.greatest("src", "dst").alias("src")).agg(F.min_by(F.least("src", "dst"), F.struct("bits", F.least("src", "dst"))).alias("dst")))
         edges = settled(similar(_possible(edges, nodes, verify), nodes, docs, k, words, verify))
         edges = settled(edges.unionByName(_rest(nodes, edges, docs, k, words, verify)))
-    found = settled(components(edges.select("src", "dst")))
-    linked = settled(nodes.select("node", *key, "rep", "rows").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")))
+    found = settled(components(edges.select("src", "dst"), FEW if whole else 0))
+    linked = settled(nodes.select("node", *key, "rep", "rows").join(_sent(found) if whole else found, "node", "left").withColumn("group", F.coalesce("component", "node")))
     least = linked.where("component is not null").groupBy("group").agg(F.min("rep").alias("least"))
     named = settled(linked.join(least, "group", "left").select(*key, "rows", "group", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")))
     return met_again(prints.select("doc_id", *own, *(["t", *key] if whole else [])), named, key).select("doc_id", *own, "component_id", *(["t", "group"] if whole else []))
@@ -373,9 +416,8 @@ def one_of_each(docs: DataFrame, k: int, words: int, radius: int, accept: int, v
     gone = settled(groups.select("doc_id", "t").join(kept, ["doc_id", "t"], "left_anti"))
     again = settled(groups.where("rows > 1").select("doc_id", "t").join(kept, ["doc_id", "t"], "left_semi"))
     rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
-    sent = lambda df: F.broadcast(df) if df.count() <= SENT else df
-    rows = rows.join(sent(gone), ["doc_id", "t"], "left_anti")
+    rows = rows.join(_sent(gone), ["doc_id", "t"], "left_anti")
     if again.limit(1).count():
-        once = rows.join(sent(again), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.first("d").alias("d")).select("d", "doc_id", "t")
-        rows = rows.join(sent(again), ["doc_id", "t"], "left_anti").select("d", "doc_id", "t").unionByName(once)
+        once = rows.join(_sent(again), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.first("d").alias("d")).select("d", "doc_id", "t")
+        rows = rows.join(_sent(again), ["doc_id", "t"], "left_anti").select("d", "doc_id", "t").unionByName(once)
     return rows.select("d.*")

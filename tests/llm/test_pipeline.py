@@ -68,6 +68,44 @@ def test_crowds_are_compared_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(label)) and 1 < len(set(label)) < 300
 
 
+def test_a_block_of_a_crowd_gives_fewer_links_than_sets(spark, monkeypatch):
+    """All pairs of a large group of near copies are similar: what comes out of a block doesn't grow with its square, and connects as much as all pairs do."""
+    from resumelake.llm import simhash
+
+    rng = np.random.default_rng(8)
+    sets = []
+    for family in range(4):
+        base = rng.integers(0, 1 << 48, 100, dtype=np.uint64)
+        for _ in range(60):
+            own = base.copy()
+            own[rng.choice(100, rng.integers(0, 9), replace=False)] = rng.integers(0, 1 << 48, dtype=np.uint64)
+            sets.append(np.unique(own))
+    rows, n = np.arange(240), np.array([len(s) for s in sets])
+    found = simhash._spanning(rows // 2 * 2, rows[::3], rows, n, np.zeros(240, dtype=np.int64), sets, 0.8)
+    label = rows // 2 * 2
+    want = label.copy()
+    for i in rows[::3]:
+        for j in rows:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (n[i] + n[j] - both):
+                want[want == want[j]] = want[i]
+    for i, j in found:
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert both >= 0.8 * (n[i] + n[j] - both) and label[i] != label[j]
+        label[label == label[j]] = label[i]
+    assert len(found) < 120 and len({*zip(label.tolist(), want.tolist(), strict=True)}) == len(set(label.tolist())) == len(set(want.tolist())) < 120
+
+
+def test_few_links_are_joined_at_the_driver_to_the_same_components(spark):
+    from resumelake.llm import graph
+
+    rng = np.random.default_rng(2)
+    pairs = [*zip(rng.integers(0, 400, 300).tolist(), rng.integers(0, 400, 300).tolist(), strict=True), (7, 7), (None, 3), (3, None), (-5, 2)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = [sorted(map(tuple, graph.components(e, few).collect())) for few in (0, 1000)]
+    assert got[0] == got[1] and len(got[0]) > 200 and graph.components(e.where("false"), 1000).count() == 0
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert p.drop_near_copies(spark, d, "").count() == p.replace_personal_data(spark, d, "").count() == p.pack(spark, d, "").count() == 0
