@@ -26,8 +26,11 @@ from resumelake.llm.shared import met_again, plain, settled, words_of
 
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
-#: Texts (expected number) and shingles by which frequent shingles are put last; on this order the cost depends, not the result.
-ORDER_TEXTS, ORDER_SHINGLES = 4_000, 200_000
+#: Frequent shingles are put last, by counts of shingles that fall on one of so many places, in so many texts (expected number)
+#: or one text in so many, whichever are more; on this order the cost depends, not the result.
+ORDER_PLACES, ORDER_TEXTS, ORDER_SHARE = 1 << 22, 4_000, 4
+#: Places of a row of counts.
+_ROW = 1 << 12
 #: Bits of a set's map for each shingle (up to twice as many), one of which is set if a shingle falls on it.
 MAP_BITS = 4
 #: Up to so many ids (16 bytes each) go to the tasks, so that no text is shuffled for them; more meet the texts in a shuffle.
@@ -112,7 +115,7 @@ def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFram
     ceil(least * n) shingles at least, of either's n: so the prefixes of both have one in common, without exception.
     """
     own = ["t", *(f"f{w}" for w in range(words)), "h0", "h1", "n"]
-    frequent, count = _frequent(docs, k, words)
+    count = _frequent(docs, k, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,10 +124,8 @@ def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFram
                 f, s = _print(text, k, words)
                 s = np.unique(s)
                 maps.append(_map_of(s))
-                at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-                often = np.where(frequent[at] == s, count[at], 0) if len(frequent) else np.zeros(len(s), dtype=np.int64)
                 need = len(s) - math.ceil(least * len(s) - 1e-9) + 1
-                prefixes.append(s[np.lexsort((s, often))[:need]].tobytes())
+                prefixes.append(s[np.lexsort((s, count[s & (len(count) - 1)]))[:need]].tobytes())
                 rows.append((*f, *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"), len(s)))
             numbers = np.array(rows, dtype="<i8").reshape(b.num_rows, words + 3)
             cols = [pa.array(np.ascontiguousarray(x)) for x in numbers.T]
@@ -134,20 +135,29 @@ def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFram
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in own) + ", map binary, prefix binary")
 
 
-def _frequent(docs: DataFrame, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of texts have, in rising order, and how many have them."""
+def _frequent(docs: DataFrame, k: int, words: int) -> np.ndarray:
+    """How many of a share of texts have a shingle on each of ORDER_PLACES places (up to 65,535)."""
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(ORDER_PLACES, dtype=np.int32)
         for b in batches:
             sets = [np.unique(_print(t, k, words)[1]) for t in b.column("text").to_pylist()]
-            s, count = np.unique(np.concatenate([np.zeros(0, dtype="<i8"), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(count)], names=["s", "n"])
+            np.add.at(got, np.concatenate([np.zeros(0, dtype="<i8"), *sets]) & (ORDER_PLACES - 1), 1)
+        rows = got.reshape(-1, _ROW)
+        some = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_planes(x, 4) for x in rows[some]], pa.binary())], names=["row", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n // ORDER_TEXTS, 1))) == 0)
-    counts = some.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
-    return rows["s"].to_numpy(dtype="<i8"), rows["n"].to_numpy(dtype="<i8")
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(_numbers(x, 4).astype(np.int64) for x in t.column("n").to_pylist())
+        return pa.table({"row": t.column("row").slice(0, 1), "n": pa.array([np.minimum(total, 65_535).astype("<u2").tobytes()], pa.binary())})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(min(max(n // ORDER_TEXTS, 1), ORDER_SHARE))) == 0)
+    rows = some.select("text").mapInArrow(run, "row long, n binary").groupBy("row").applyInArrow(add, "row long, n binary").toArrow()  # 2 * ORDER_PLACES bytes at most
+    count = np.zeros((ORDER_PLACES // _ROW, _ROW), dtype="<u2")
+    for row, x in zip(rows.column("row").to_pylist(), rows.column("n").to_pylist(), strict=True):
+        count[row] = np.frombuffer(x, dtype="<u2")
+    return count.ravel()
 
 
 def _shingle_sets(rows: DataFrame, k: int, words: int) -> DataFrame:
@@ -176,7 +186,11 @@ def _kept_pairs(pairs: DataFrame, sides: DataFrame, columns: list[str], test) ->
             a, z = (zip(*(b.column(f"{x}_{c}").to_pylist() for c in columns), strict=True) for x in ("src", "dst"))
             yield b.select(["src", "dst"]).filter(pa.array([test(*x, *y) for x, y in zip(a, z, strict=True)], pa.bool_()))
 
-    return _sent(pairs.select("src", "dst")).join(side("src"), "src").join(side("dst"), "dst").mapInArrow(run, "src long, dst long")
+    pairs, to = pairs.select("src", "dst"), side("dst")
+    if pairs.count() <= SENT:  # of the sides only those of a pair are shuffled
+        to = to.join(F.broadcast(pairs.select("dst").distinct()), "dst", "left_semi")
+        pairs = F.broadcast(pairs)
+    return pairs.join(side("src"), "src").join(to, "dst").mapInArrow(run, "src long, dst long")
 
 
 def _sets_of(some: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int) -> DataFrame:
@@ -287,18 +301,38 @@ def _met(nodes: DataFrame, parts: int, least: float, all_pairs: bool) -> DataFra
     return nodes.select("node", "c", "n", "prefix").mapInArrow(deal, "part int, keys binary, node binary, c binary, n binary, at binary").groupBy("part").applyInPandas(meet, "kind int, key long, src long, dst long, n long, at long")
 
 
+def _by_maps(maps: list[np.ndarray], size: np.ndarray, data: np.ndarray, least: float):
+    """A function from a row and some of data to those of these that sizes and maps allow to be as similar as least to the row."""
+    width, place, held = np.array([len(m) for m in maps], dtype=np.int64), np.zeros(len(maps), dtype=np.int64), {}
+    for w in np.unique(width[data]):
+        of = data[width[data] == w]
+        place[of], held[int(w)] = np.arange(len(of)), np.stack([maps[d] for d in of])
+
+    def allowed(p: int, d: np.ndarray) -> np.ndarray:
+        return np.concatenate([d[:0], *(of[_alike(size[p], maps[p], size[of], held[int(w)][place[of]], least)] for w in np.unique(width[d]) for of in (d[width[d] == w],))])
+
+    return allowed
+
+
+def _with_partner(c: np.ndarray, probes: np.ndarray, data: np.ndarray, n: np.ndarray, at: np.ndarray, maps: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether places, sizes and maps allow that a row is as similar as least to one of unlike c, of probes and data: no row that is as similar is left out."""
+    allowed, found = _by_maps(maps, n, data, least), np.zeros(len(c), dtype=bool)
+    for p in probes:
+        d = data[c[data] != c[p]]
+        d = allowed(p, d[_fits(n[p], at[p], n[d], at[d], least)])
+        found[d] = True
+        found[p] |= len(d) > 0
+    return found
+
+
 def _spanning(c: np.ndarray, probes: np.ndarray, data: np.ndarray, n: np.ndarray, at: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links (probe, other) between rows of unlike c whose sets are as similar as least: with them, and rows of one c being connected, all such pairs of probes and data are.
 
     A set that has a link to one of a group needs none to the rest of it, so there are fewer links than groups.
     """
     _, group = np.unique(c, return_inverse=True)
-    maps = [np.frombuffer(_map_of(s.view("<i8")), dtype=np.uint8) for s in sets]
-    size = np.array([len(s) for s in sets])
-    width, place, held, out = np.array([len(m) for m in maps]), np.zeros(len(sets), dtype=np.int64), {}, []
-    for w in np.unique(width[data]):
-        of = data[width[data] == w]
-        place[of], held[int(w)] = np.arange(len(of)), np.stack([maps[d] for d in of])
+    size, out = np.array([len(s) for s in sets]), []
+    allowed = _by_maps([np.frombuffer(_map_of(s.view("<i8")), dtype="<u8") for s in sets], size, data, least)
 
     def near(p: int, others: np.ndarray) -> np.ndarray:
         mine, theirs = sets[p], np.concatenate([sets[q] for q in others])
@@ -308,8 +342,7 @@ def _spanning(c: np.ndarray, probes: np.ndarray, data: np.ndarray, n: np.ndarray
 
     for p in probes:
         d = data[group[data] != group[p]]
-        d = d[_fits(n[p], at[p], n[d], at[d], least)]
-        left = np.concatenate([d[:0], *(of[_alike(size[p], maps[p], size[of], held[int(w)][place[of]], least)] for w in np.unique(width[d]) for of in (d[width[d] == w],))])
+        left = allowed(p, d[_fits(n[p], at[p], n[d], at[d], least)])
         step = 1  # of each group so many are compared at once, four times as many next
         while len(left):
             order = np.argsort(group[left], kind="stable")
@@ -326,26 +359,41 @@ def _spanning(c: np.ndarray, probes: np.ndarray, data: np.ndarray, n: np.ndarray
     return out
 
 
+def _dealt(crowd: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """key, i, j, probe, src, c, n, at, x: the members of each crowd with their x (held: src, x), a pair of blocks of about `block` members for each i, j."""
+    sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / block).cast("int").alias("np"))
+    side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
+    rows = crowd.join(sizes, "key").where("np > 0").join(held, "src")
+    data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
+    probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
+    return data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", "x")
+
+
 def _in_crowds(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:
     """Links (src, dst) that connect all pairs in crowds, of unlike c, that are as similar as least.
 
+    Blocks of maps tell which members can have a partner at all; the sets of these alone are dealt then, as they are many times longer.
     Blocks hold the sets themselves, so only similar pairs come out, of each block fewer than it has sets, however many pairs are similar.
     """
-    sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / (8 * CROWD)).cast("int").alias("nd"), F.ceil(F.count_if(F.col("kind") == 2) / (8 * CROWD)).cast("int").alias("np"))
-    side, spread = (lambda c: F.pmod(F.xxhash64("src"), F.col(c)).cast("int")), (lambda c: F.sequence(F.lit(0), F.col(c) - 1))
-    sets = _sets_of(crowd.select(F.col("src").alias("node")), nodes, docs, k, words).groupBy("node").agg(F.first("s").alias("s"))
-    rows = crowd.join(sizes, "key").join(sets.withColumnRenamed("node", "src"), "src")
-    data = rows.withColumn("i", side("nd")).withColumn("j", F.explode(spread("np"))).withColumn("probe", F.lit(False))
-    probes = rows.where("kind = 2").withColumn("j", side("np")).withColumn("i", F.explode(spread("nd"))).withColumn("probe", F.lit(True))
-    dealt = data.unionByName(probes).select("key", "i", "j", "probe", "src", F.col("dst").alias("c"), "n", "at", "s")
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, c, n, at, is_probe = (pdf[x].to_numpy() for x in ("src", "c", "n", "at", "probe"))
+        found = _with_partner(c, np.flatnonzero(is_probe), np.flatnonzero(~is_probe), n, at, [np.frombuffer(m, dtype="<u8") for m in pdf["x"]], least)
+        node = np.unique(node[found])
+        return pd.DataFrame({"key": np.full(len(node), pdf["key"].iloc[0]), "src": node})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, c, n, at, is_probe = (pdf[x].to_numpy() for x in ("src", "c", "n", "at", "probe"))
-        found = _spanning(c, np.flatnonzero(is_probe), np.flatnonzero(~is_probe), n, at, [_numbers(s, 6) for s in pdf["s"]], least)
+        found = _spanning(c, np.flatnonzero(is_probe), np.flatnonzero(~is_probe), n, at, [_numbers(s, 6) for s in pdf["x"]], least)
         a, b = node[[p for p, _ in found]], node[[q for _, q in found]]
         return pd.DataFrame({"src": np.maximum(a, b), "dst": np.minimum(a, b)})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
+    ends = settled(crowd.select(F.col("src").alias("node")).distinct())
+    maps = nodes.select("node", "map").join(_sent(ends), "node", "left_semi").select(F.col("node").alias("src"), F.col("map").alias("x"))
+    able = _dealt(crowd, maps, 32 * CROWD).groupBy("key", "i", "j").applyInPandas(some, "key long, src long")
+    crowd = settled(crowd.join(able.distinct(), ["key", "src"], "left_semi"))
+    sets = _sets_of(crowd.select(F.col("src").alias("node")), nodes, docs, k, words).groupBy("node").agg(F.first("s").alias("x"))
+    return _dealt(crowd, sets.withColumnRenamed("node", "src"), 8 * CROWD).groupBy("key", "i", "j").applyInPandas(compare, "src long, dst long")
 
 
 def _rest(nodes: DataFrame, edges: DataFrame, docs: DataFrame, k: int, words: int, least: float) -> DataFrame:

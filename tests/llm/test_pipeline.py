@@ -161,3 +161,35 @@ def test_near_copies_in_a_crowd_of_less_similar_texts_are_found(spark, monkeypat
     assert similar == {(2 * n, 2 * n + 1) for n in range(100)}
     got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), p.SHINGLE, p.WORDS, p.GUARANTEED, p.SIMILAR, p.JACCARD).collect()}
     assert got == {i: i - i % 2 for i in sets}
+
+
+def test_of_a_crowd_only_sets_that_can_have_a_partner_are_read(spark, monkeypatch):
+    """Texts that share a passage, and so a crowd, but aren't similar: their maps tell, and their sets, many times longer, aren't dealt."""
+    from resumelake.llm import simhash
+
+    rows = [(n, " ".join([f"t{k}" for k in range(60)] + [f"o{n}x{k}" for k in range(40)])) for n in range(80)]
+    rows += [(80 + n, f"{rows[n][1]} end") for n in range(2)]
+    asked, sets_of = [], simhash._sets_of
+
+    def spy(some, *others):
+        asked.append(some.distinct().count())
+        return sets_of(some, *others)
+
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "_frequent", lambda *_: np.zeros(1, dtype="<u2"))
+    monkeypatch.setattr(simhash, "_sets_of", spy)
+    monkeypatch.setattr(simhash, "links", lambda nodes, *_: nodes.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")).where("false"))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2, 2, 28, 0.8).collect()}
+    assert got == {n: n % 80 for n in range(82)} and asked and max(asked) <= 4
+
+
+def test_shingles_of_a_passage_come_last_though_few_texts_have_it(spark, monkeypatch):
+    """One text in ten has the passage: a sample that doesn't grow with the table would hardly meet it."""
+    from resumelake.llm import simhash
+
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 1)
+    passage = [f"p{k}" for k in range(12)]
+    rows = [(n, " ".join([f"o{n}x{k}" for k in range(60)] + passage * (n % 10 == 0))) for n in range(400)]
+    common = {int(x) for x in simhash._print(" ".join(passage), 5, 2)[1]}
+    prints = simhash._whole_prints(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2, 0.8).collect()
+    assert len(prints) == 400 and all(len(r.prefix) > 80 and common.isdisjoint(np.frombuffer(r.prefix, "<i8").tolist()) for r in prints)
