@@ -6,8 +6,9 @@ Every training word has a count and a class. The UNITS most frequent words, and
 groups by a hash of the last letters), are clustered by the exchange algorithm: a unit moves to the class that raises
 the likelihood of the class bigrams most, by the counts of its neighbours alone, until no unit moves or PASSES are done.
 The other known words - with a share of at least 1 / KNOWN_SHARE of the tokens, KNOWN_SHARE at most - start in the class
-of their ending and are moved, each by the counts of its own neighbours' classes, in MOVERS tasks. A word seen fewer than SEEN
-times stays with its ending. Known words (a few MB) go to the tasks with their counts; rarer ones meet theirs in a join on the word, and have the class of their ending.
+of their ending and are moved, each by the counts of its own neighbours' classes, in MOVERS tasks. Known words (a few MB) go to
+the tasks with their counts; rarer ones, however many, are moved in the same way in tables, and meet their counts and classes in a
+join on the word. A word seen fewer than SEEN times stays with its ending: its neighbours tell too little.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ from resumelake.llm.shared import crc_of_id, plain, settled, words_of
 UNITS, KNOWN_SHARE, BUCKETS, CLASSES, PASSES, MOVERS, SEEN = 4_096, 250_000, 512, 64, 12, 32, 10
 #: Added to a word's count in its class; weight of the class's own share against its share after a class.
 EMIT, BACK = 1.0, 16.0
+#: Bits that tell which of the words that aren't known may have a class of their own; words moved in a task have so many tokens (expected number).
+MARKS, TASK = 1 << 24, 1 << 20
+#: Up to so many classes of such words are looked up at the driver at once, by Model.class_of alone.
+LOOKED_UP = 1_000_000
 #: Words that a task counts before it hands the counts on.
 FLUSH = 600_000
 END = b""  # the token that ends a text; words are never empty
@@ -136,9 +143,9 @@ def _codes(known: dict[bytes, int]):
     """A function from a text to its words' numbers, -1 - bucket for a word that isn't known, an end before and after."""
     get, end, seen = known.get, known[END], {}
 
-    def codes(text: str | None) -> np.ndarray:
+    def codes(text: str | None, words: list[bytes] | None = None) -> np.ndarray:
         seq = [end]
-        for w in words_of(text):
+        for w in words_of(text) if words is None else words:
             k = get(w)
             if k is None:
                 s = w[-_SUFFIX:]
@@ -226,16 +233,77 @@ def _moved_words(train: DataFrame, known: dict[bytes, int], units: int, own: int
     return out, np.maximum(joint, 0)
 
 
+def _marks(rest: DataFrame) -> bytes:
+    """MARKS bits, of which those of the words of rest (word) are set."""
+    bit = F.crc32("word") % MARKS
+    rows = rest.select(F.floor(bit / 32768).alias("row"), (bit % 32768).alias("at")).groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # MARKS / 8 bytes at most
+    out = bytearray(MARKS // 8)
+    for r in rows:
+        out[r["row"] * 4096 : (r["row"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def _marked(marks: bytes, word: bytes) -> int:
+    at = zlib.crc32(word) % MARKS
+    return marks[at >> 3] >> (at & 7) & 1
+
+
+def _moved_rest(train: DataFrame, rest: DataFrame, tokens: int, marks: bytes, known: dict[bytes, int], cls: np.ndarray, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """word, n, cls of the words of rest (word, n), which have `tokens` tokens, and the counts of class pairs: _moved_words for words that are too many to be sent to all tasks."""
+    spark, base = train.sparkSession, len(known)
+    shared = spark.sparkContext.broadcast((known, marks))  # KNOWN_SHARE words at most
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, marks = shared.value
+        codes = _codes(known)
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                word, sides = [], [np.zeros((0, 2), dtype=np.int64)]
+                for text in b.column("text").to_pylist():
+                    words = words_of(text)
+                    code = codes(text, words)
+                    here = [i for i in np.flatnonzero(code < 0).tolist() if _marked(marks, words[i - 1])]
+                    if here:
+                        c, at = cls[np.where(code < 0, base - 1 - code, code)], np.array(here)
+                        word += [words[i - 1] for i in here]
+                        sides.append(np.stack([c[at - 1], c[at + 1]], axis=1))
+                left, right = np.concatenate(sides).T
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["word", "l", "r"])
+
+    def move(t: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("n", "descending"), ("word", "ascending")])
+        words = own.column("word").combine_chunks()
+        at = pc.index_in(t.column("word"), value_set=words)
+        there = at.is_valid().to_numpy()
+        at, size = at.drop_null().to_numpy().astype(np.int64) * CLASSES, len(words) * CLASSES
+        left, right = (np.bincount(at + t.column(x).to_numpy()[there], minlength=size).reshape(-1, CLASSES).astype(np.int32) for x in ("l", "r"))
+        state, bucket = _Classes(joint.copy()), cls[base:]
+        new = [state.moved(int(bucket[bucket_of(w)]), l.astype(float), r.astype(float), 0.0) for w, l, r in zip(words.to_pylist(), left, right, strict=True)]
+        change = (state.joint - joint).tobytes()
+        return pa.table({"word": pa.array([*words.to_pylist(), None], pa.binary()), "n": pa.array([*own.column("n").to_pylist(), 0], pa.int64()), "cls": pa.array([*new, -1], pa.int32()), "change": pa.array([None] * len(new) + [change], pa.binary())})
+
+    mover = F.pmod(F.xxhash64("word"), F.lit(max(MOVERS, tokens // TASK))).alias("mover")
+    met = train.mapInArrow(meet, "word binary, l short, r short").select("*", mover).groupBy("mover")
+    got = settled(met.cogroup(rest.select("word", "n", mover).groupBy("mover")).applyInArrow(move, "word binary, n long, cls int, change binary"))
+    for r in got.where("word is null").select("change").toLocalIterator():  # a row for each task
+        joint = joint + np.frombuffer(r["change"]).reshape(CLASSES, CLASSES)
+    return got.where("word is not null").select("word", "n", "cls"), np.maximum(joint, 0)
+
+
 def _placed(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """For each text a row with what the known words and classes give, and a row for each of its rare words."""
+    """For each text a row with what the known words and classes give, and a row for each of its rare words, which have the classes of their endings so far.
+
+    With marks, rows of marked words have their places in the text, and texts with any have all classes.
+    """
     known, cls, emit, base = model["known"], model["cls"], model["emit"], model["base"]
     bucket_cls, step, end_cls = model["bucket_cls"], model["step"], model["end_cls"]
     end_emit, end_base = model["end"]
+    marks = model["marks"]
     serial = TaskContext.get().partitionId() << 33
     get, seen = known.get, {}
     for whole in batches:
         for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-            key, rid, tf, doc, held, tokens, n_known, low, high = ([] for _ in range(9))
+            key, rid, tf, doc, held, tokens, n_known, low, high, places, classes = ([] for _ in range(11))
             for text, doc_id, out_ in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), strict=True):
                 words = words_of(text)
                 seq, rare = [], []
@@ -260,25 +328,64 @@ def _placed(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Recor
                 n_known.append(len(heavy) + model["end_known"])
                 low.append(float(base[heavy].sum() + end_base))
                 high.append(float(step[chain[:-1], chain[1:]].sum() + emit[heavy].sum() + end_emit))
-                for w, n in Counter(rare).items():
+                found = Counter(rare)
+                spots = {w: b"" for w in found if _marked(marks, w)} if marks else {}
+                if spots:
+                    raw = (np.flatnonzero(at < 0) + 1).astype("<i4").tobytes()
+                    for i, w in enumerate(rare):
+                        if w in spots:
+                            spots[w] += raw[4 * i : 4 * i + 4]
+                places.append(None)
+                classes.append(chain.astype(np.uint8).tobytes() if spots else None)
+                for w, n in found.items():
                     key.append(w)
                     rid.append(serial)
                     tf.append(n)
+                    places.append(spots.get(w))
                 doc += [None] * (len(key) - len(doc))
                 serial += 1
-                for column in (held, tokens, n_known, low, high):
+                for column in (held, tokens, n_known, low, high, classes):
                     column += [None] * (len(key) - len(column))
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, rid, tf, doc, held, tokens, n_known, low, high), kinds, strict=True)], names=PLACED_NAMES)
-
-
-PLACED = "word binary, rid long, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, low double, high double"
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, rid, tf, doc, held, tokens, n_known, low, high, places, classes), kinds, strict=True)], names=PLACED_NAMES)
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after another (null: none), and where each row's begin, and the end."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=np.uint8), at
+
+
+def _with_moved(batches: Iterator[pa.RecordBatch], step: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """score follows from the classes of moved words (moved: places and cls of each) in the place of their endings' (classes)."""
+    for b in batches:
+        was, start = _joined(b.column("classes"))
+        moved = b.column("moved")
+        values = moved.flatten()
+        places, at = _joined(values.field("places"))
+        times = np.diff(at) // 4
+        row = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(moved).to_numpy()), times)
+        now = was.copy()
+        now[start[row] + places.view("<i4")] = np.repeat(values.field("cls").to_numpy(), times)
+        change = np.concatenate([[0.0], np.cumsum(step[now[:-1], now[1:]] - step[was[:-1], was[1:]])])
+        first, last = start[:-1], np.maximum(start[1:] - 1, start[:-1])
+        there = last > first
+        more = np.zeros(b.num_rows)
+        more[there] = change[last[there]] - change[first[there]]
+        score = b.column("score").to_numpy() + more
+        yield b.set_column(b.schema.names.index("score"), "score", pa.array(score)).drop_columns(["classes", "moved"])
+
+
+PLACED = "word binary, rid long, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, low double, high double, places binary, classes binary"
 PLACED_NAMES = [c.split()[0] for c in PLACED.split(", ")]
 
 
 @dataclass
 class Model:
-    """known: words by number, the end first; cls, count: of the known words; bucket_cls: of endings; step: log10 chances of a class after a class; below: what a class's counts are divided by; n, v: tokens, distinct."""
+    """known: words by number, the end first; cls, count: of the known words; bucket_cls: of endings; step: log10 chances of a class after a class; below: what a class's counts are divided by; n, v: tokens, distinct.
+
+    rest: word, n, cls of the other words that have a class of their own, whose bits are set in marks; None if there are none.
+    """
 
     known: dict[bytes, int]
     cls: np.ndarray
@@ -288,14 +395,29 @@ class Model:
     below: np.ndarray
     n: int
     v: int
+    rest: DataFrame | None = None
+    marks: bytes | None = None
+
+    @cached_property
+    def _few(self) -> dict[bytes, int] | None:
+        rows = self.rest.select("word", "cls").limit(LOOKED_UP + 1).collect()
+        return {bytes(r["word"]): r["cls"] for r in rows} if len(rows) <= LOOKED_UP else None
 
     def class_of(self, word: bytes) -> int:
         k = self.known.get(word)
-        return int(self.bucket_cls[bucket_of(word)] if k is None else self.cls[k])
+        if k is not None:
+            return int(self.cls[k])
+        own = None
+        if self.marks and _marked(self.marks, word):
+            if self._few is not None:
+                own = self._few.get(word)
+            elif r := self.rest.where(F.col("word") == F.lit(word)).first():
+                own = r["cls"]
+        return int(self.bucket_cls[bucket_of(word)] if own is None else own)
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts of train (text), and word, n of all its words, in the shared folder."""
+    """The model of the texts of train (text), and word, n, cls of all its words, in the shared folder (cls is null for known words, and for those that have their ending's)."""
     counts = _counted(train)
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
@@ -313,15 +435,26 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         moved, joint = _moved_words(train, known, units, own, np.concatenate([cls, bucket_cls]), joint)
         cls = moved[: len(known)]
 
-    rare = counts.where((F.col("n") * KNOWN_SHARE < n) & (F.col("word") != END))
+    rare, often = counts.where((F.col("n") * KNOWN_SHARE < n) & (F.col("word") != END)), F.col("n") >= SEEN
+    rest = marks = None
+    tokens = rare.where(often).agg(F.sum("n")).first()[0]
+    if tokens:
+        marks = _marks(rare.where(often))
+        rest, joint = _moved_rest(train, rare.where(often), tokens, marks, known, np.concatenate([cls, bucket_cls]), joint)
     by_bucket = np.zeros((2, BUCKETS))  # kinds and tokens of rare words
-    for r in rare.groupBy(_bucket("word").alias("b")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():
+    for r in (rare.where(~often) if rest else rare).groupBy(_bucket("word").alias("b")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():
         by_bucket[:, r["b"]] = r["kinds"], r["n"]
     kinds = np.bincount(cls, count > 0, CLASSES) + np.bincount(bucket_cls, by_bucket[0], CLASSES)
     total = np.bincount(cls, count, CLASSES) + np.bincount(bucket_cls, by_bucket[1], CLASSES)
+    if rest:
+        for r in rest.groupBy("cls").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():
+            kinds[r["cls"]] += r["kinds"]
+            total[r["cls"]] += r["n"]
     share = (total + 1) / (total.sum() + CLASSES)
     step = np.log10((joint + BACK * share[None]) / (joint.sum(1, keepdims=True) + BACK))
-    return Model(known, cls, count, bucket_cls, step, total + EMIT * (kinds + 1), n, v), counts
+    others = counts.where(~often | (F.col("n") * KNOWN_SHARE >= n) | (F.col("word") == END)) if rest else counts
+    classed = others.withColumn("cls", F.lit(None).cast("int"))
+    return Model(known, cls, count, bucket_cls, step, total + EMIT * (kinds + 1), n, v, rest, marks), classed.unionByName(rest) if rest else classed
 
 
 def scored(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
@@ -337,7 +470,7 @@ def scored(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
     n, v, bucket_cls, below = m.n, m.v, m.bucket_cls, m.below
     emit, base = np.log10((m.count + EMIT) / below[m.cls]), np.log10((m.count + 1) / (n + v + 1))
     known = {w: k for w, k in m.known.items() if k}
-    model = {"known": known, "cls": m.cls, "emit": emit, "base": base, "bucket_cls": bucket_cls, "step": m.step, "end_cls": int(m.cls[0]), "end": (float(emit[0]), float(base[0])), "end_known": int(m.count[0] > 0)}
+    model = {"known": known, "cls": m.cls, "emit": emit, "base": base, "bucket_cls": bucket_cls, "step": m.step, "end_cls": int(m.cls[0]), "end": (float(emit[0]), float(base[0])), "end_known": int(m.count[0] > 0), "marks": m.marks}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KNOWN_SHARE words at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +479,21 @@ def scored(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
     rows = docs.mapInArrow(place, PLACED)
     met = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
     rare, c = F.col("tf") > 0, F.coalesce("c", F.lit(0))
-    under = F.element_at(F.array(*[F.lit(float(below[k])) for k in bucket_cls]), _bucket("word").cast("int") + 1)
+    of_ending = F.element_at(F.array(*[F.lit(int(k)) for k in bucket_cls]), _bucket("word").cast("int") + 1)
+    own = F.coalesce("cls", of_ending)
+    under = F.element_at(F.array(*[F.lit(float(x)) for x in below]), own + 1)
     met = met.select(
         "rid", "doc_id", "held_out", "n_tokens",
         F.when(rare, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known")).cast("long").alias("n_known"),
         F.when(rare, F.col("tf") * F.log10((c + 1) / F.lit(float(n + v + 1)))).otherwise(F.col("low")).alias("low"),
         F.when(rare, F.col("tf") * F.log10((c + EMIT) / under)).otherwise(F.col("high")).alias("high"),
+        "classes", F.when(F.col("cls") != of_ending, F.struct("places", "cls")).alias("moved"),
     )
-    out = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("low").alias("base_score"), F.sum("high").alias("score"))
+    sums = [F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("low").alias("base_score"), F.sum("high").alias("score")]
+    if m.rest is None:
+        out = met.groupBy("rid").agg(*sums)
+    else:
+        step = m.step
+        out = met.groupBy("rid").agg(*sums, F.max("classes").alias("classes"), F.collect_list("moved").alias("moved")).drop("rid")
+        out = out.mapInArrow(lambda batches: _with_moved(batches, step), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -184,6 +184,36 @@ def test_lm_chances_sum_to_one_and_scores_follow(spark, docs, monkeypatch):
         assert r.score == pytest.approx(want) and r.perplexity == pytest.approx(10 ** (-want / len(words)))
 
 
+def test_words_too_many_to_be_known_are_moved_in_tables(spark, monkeypatch):
+    """Two languages whose words have no endings in common with their class: those under the share of known words are moved as well, and scored by it."""
+    monkeypatch.setattr(classlm, "KNOWN_SHARE", 60)
+    monkeypatch.setattr(classlm, "UNITS", 12)
+    monkeypatch.setattr(classlm, "SEEN", 4)
+    random.seed(3)
+    often, seldom = [[f"{side}{k}" for k in range(6)] for side in "ab"], [[f"{side}rare{k}{side}" for k in range(40)] for side in "xy"]
+    rows = []
+    for doc in range(300):
+        half = doc % 2
+        rows.append((doc, " ".join(random.choice(seldom[half] if k % 4 == 3 else often[half]) for k in range(24))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m, counts = classlm.fit(df.select("text"))
+    words = {w.encode() for side in seldom for w in side}
+    assert words.isdisjoint(m.known)
+    own = {bytes(r.word): r.cls for r in counts.where("cls is not null").collect()}
+    assert set(own) == words and all(m.class_of(w) == c for w, c in own.items())
+    # Each is where the likelihood of its neighbours is best; so no class has words of both languages.
+    assert {own[w.encode()] for w in seldom[0]}.isdisjoint({own[w.encode()] for w in seldom[1]})
+    assert any(own[w] != m.bucket_cls[classlm.bucket_of(w)] for w in own)
+    assert m.class_of(b"neverseen") == m.bucket_cls[classlm.bucket_of(b"neverseen")]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    m, _ = classlm.fit(df.where(F.col("doc_id").isin([d for d, _ in rows if not held(d)])).select("text"))
+    c = Counter(w for d, t in rows if not held(d) for w in [*words_of(t), b""])
+    for r in classlm.scored(df).collect():
+        seq = [*words_of(dict(rows)[r.doc_id]), b""]
+        chain = [m.class_of(b""), *map(m.class_of, seq)]
+        assert r.score == pytest.approx(sum(m.step[a, b] + math.log10((c[w] + classlm.EMIT) / m.below[b]) for w, a, b in zip(seq, chain, chain[1:], strict=False)))
+
+
 def test_exchange_separates_two_languages():
     random.seed(1)
     pairs = Counter()
