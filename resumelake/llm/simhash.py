@@ -28,7 +28,7 @@ from resumelake.llm.shared import met_again, plain, settled, words_of
 CHUNK = 1 << 15
 #: Frequent shingles are put last, by counts of shingles that fall on one of so many places, in so many texts (expected number)
 #: or one text in so many, whichever are more; on this order the cost depends, not the result.
-ORDER_PLACES, ORDER_TEXTS, ORDER_SHARE = 1 << 22, 4_000, 4
+ORDER_PLACES, ORDER_TEXTS, ORDER_SHARE = 1 << 20, 4_000, 4
 #: Places of a row of counts.
 _ROW = 1 << 12
 #: Bits of a set's map for each shingle (up to twice as many), one of which is set if a shingle falls on it.
@@ -136,7 +136,7 @@ def _whole_prints(docs: DataFrame, k: int, words: int, least: float) -> DataFram
 
 
 def _frequent(docs: DataFrame, k: int, words: int) -> np.ndarray:
-    """How many of a share of texts have a shingle on each of ORDER_PLACES places (up to 65,535)."""
+    """How many of a share of texts have a shingle on each of ORDER_PLACES places (up to 65,535; 2 MB in all, so that the driver holds little)."""
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
