@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MARKS, TASK = 1 << 24, 1 << 20
 LOOKED_UP = 1_000_000
 #: Words that a task counts before it hands the counts on.
 FLUSH = 600_000
+#: Texts whose words are numbered at once.
+GROUP = 32
 END = b""  # the token that ends a text; words are never empty
 _SUFFIX = 3
 
@@ -58,30 +61,37 @@ class _Classes:
     """Counts of class pairs, and the moves of units between classes."""
 
     def __init__(self, joint: np.ndarray):
-        self.joint, self.d = joint, np.arange(len(joint))
-
-    def _put(self, at: int, left: np.ndarray, right: np.ndarray, own: float, sign: int) -> None:
-        self.joint[:, at] += sign * left
-        self.joint[at] += sign * right
-        self.joint[at, at] += sign * own
+        size = len(joint)
+        self.size, self.d = size, np.arange(size)
+        self.both = np.concatenate([joint, joint.T])  # by the class before, then by the class after
+        self.joint, self.after = self.both[:size], self.both[size:]
+        self.f = _f(self.both)
+
+    def _put(self, at: int, left: np.ndarray, right: np.ndarray, own: float) -> None:
+        size, f, lines = self.size, self.f, (self.joint[at], self.after[at])
+        lines[0][:] += right
+        lines[1][:] += left
+        lines[0][at] = lines[1][at] = lines[0][at] + left[at] + own
+        self.joint[:, at], self.after[:, at] = lines[1], lines[0]
+        f[at], f[size + at] = _f(np.stack(lines))
+        f[:size, at], f[size:, at] = f[size + at], f[at]
 
     def moved(self, a: int, left: np.ndarray, right: np.ndarray, own: float) -> int:
         """The best class of a unit of class a, which it is moved to; left, right: how often units of each class stand before and after it, own: how often it does itself."""
-        self._put(a, left, right, own, -1)
-        joint, d = self.joint, self.d
-        i, j = np.flatnonzero(left), np.flatnonzero(right)
-        before, after = joint[i], joint[:, j]
-        col, row = _f(before + left[i, None]) - _f(before), _f(after + right[None, j]) - _f(after)
-        gain = col.sum(0) + row.sum(1)
-        gain[i] -= col[np.arange(len(i)), i]
-        gain[j] -= row[j, np.arange(len(j))]
-        rows, cols = joint.sum(1) + left, joint.sum(0) + right  # the neighbours' sums, wherever the unit goes
-        gain += _f(joint[d, d] + left + right + own) - _f(joint[d, d])
-        gain += _f(rows) - _f(rows + right.sum() + own) + _f(cols) - _f(cols + left.sum() + own)
+        self._put(a, -left, -right, -own)
+        size, d, sides = self.size, self.d, np.concatenate([left, right])
+        i = np.flatnonzero(sides)
+        cls = i % size
+        more = _f(self.both[i] + sides[i, None]) - self.f[i]
+        gain = more.sum(0) - np.bincount(cls, more[np.arange(len(i)), cls], size)
+        sums = self.both.sum(1) + sides  # the neighbours' sums, wherever the unit goes
+        own_pair = self.joint[d, d]
+        f = _f(np.stack([own_pair + left + right + own, sums[:size], sums[:size] + (right.sum() + own), sums[size:], sums[size:] + (left.sum() + own)]))
+        gain += f[0] - self.f[d, d] + f[1] - f[2] + f[3] - f[4]
         b = int(gain.argmax())
         if gain[b] <= gain[a] + 1e-9:
             b = a
-        self._put(b, left, right, own, 1)
+        self._put(b, left, right, own)
         return b
 
 
@@ -139,41 +149,50 @@ def _counted(train: DataFrame) -> DataFrame:
     return settled(train.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _codes(known: dict[bytes, int]):
-    """A function from a text to its words' numbers, -1 - bucket for a word that isn't known, an end before and after."""
-    get, end, seen = known.get, known[END], {}
+def _flat(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts one after another, an end before, between and after them, and the places of the ends."""
+    words, ends = [END], [0]
+    for text in texts:
+        words += words_of(text)
+        ends.append(len(words))
+        words.append(END)
+    return words, np.array(ends)
+
+
+def _codes(known: dict[bytes, int], words: list[bytes], ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The numbers of _flat's words, -1 - bucket for a word that isn't known, `end` for an end; and the places of words that aren't known, and these words."""
+    code = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+    code[ends] = end
+    at = np.flatnonzero(code < 0)
+    rare = [words[i] for i in at.tolist()]
+    code[at] = -1 - _crc([w[-_SUFFIX:] for w in rare]) % BUCKETS
+    return code, at, rare
+
+
+def _crc(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
-    def codes(text: str | None, words: list[bytes] | None = None) -> np.ndarray:
-        seq = [end]
-        for w in words_of(text) if words is None else words:
-            k = get(w)
-            if k is None:
-                s = w[-_SUFFIX:]
-                k = seen.get(s)
-                if k is None:
-                    k = seen[s] = -1 - zlib.crc32(s) % BUCKETS
-            seq.append(k)
-        seq.append(end)
-        return np.array(seq, dtype=np.int64)
 
-    return codes
+def _groups(column: pa.Array) -> Iterator[list[str | None]]:
+    for i in range(0, len(column), GROUP):
+        yield column.slice(i, GROUP).to_pylist()
 
 
 def _summed(train: DataFrame, known: dict[bytes, int], pairs) -> DataFrame:
-    """at, n: how often pairs(codes of a text) gives each number, over all texts; summed before anything is shuffled."""
+    """at, n: how often pairs(codes of some texts, ends around each) gives each number, over all texts; summed before anything is shuffled."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(known)  # KNOWN_SHARE words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, waiting = _codes(shared.value), [], 0
+        known, held, waiting = shared.value, [], 0
 
         def out() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(pairs(codes(text)))
+            for texts in _groups(b.column("text")):
+                held.append(pairs(_codes(known, *_flat(texts), known[END])[0]))
                 waiting += len(held[-1])
                 if waiting > 8 * FLUSH:
                     yield out()
@@ -243,9 +262,10 @@ def _marks(rest: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _marked(marks: bytes, word: bytes) -> int:
-    at = zlib.crc32(word) % MARKS
-    return marks[at >> 3] >> (at & 7) & 1
+def _marked(marks: bytes, words: list[bytes]) -> np.ndarray:
+    """Whether each word's bit is set."""
+    at = _crc(words) % MARKS
+    return (np.frombuffer(marks, dtype=np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
 def _moved_rest(train: DataFrame, rest: DataFrame, tokens: int, marks: bytes, known: dict[bytes, int], cls: np.ndarray, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -255,20 +275,14 @@ def _moved_rest(train: DataFrame, rest: DataFrame, tokens: int, marks: bytes, kn
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marks = shared.value
-        codes = _codes(known)
-        for whole in batches:
-            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                word, sides = [], [np.zeros((0, 2), dtype=np.int64)]
-                for text in b.column("text").to_pylist():
-                    words = words_of(text)
-                    code = codes(text, words)
-                    here = [i for i in np.flatnonzero(code < 0).tolist() if _marked(marks, words[i - 1])]
-                    if here:
-                        c, at = cls[np.where(code < 0, base - 1 - code, code)], np.array(here)
-                        word += [words[i - 1] for i in here]
-                        sides.append(np.stack([c[at - 1], c[at + 1]], axis=1))
-                left, right = np.concatenate(sides).T
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["word", "l", "r"])
+        for b in batches:
+            for texts in _groups(b.column("text")):
+                words, ends = _flat(texts)
+                code, at, rare = _codes(known, words, ends, known[END])
+                c = cls[np.where(code < 0, base - 1 - code, code)].astype(np.int16)
+                there = _marked(marks, rare)
+                at = at[there]
+                yield pa.RecordBatch.from_arrays([pa.array(list(compress(rare, there)), pa.binary()), pa.array(c[at - 1]), pa.array(c[at + 1])], names=["word", "l", "r"])
 
     def move(t: pa.Table, own: pa.Table) -> pa.Table:
         own = own.sort_by([("n", "descending"), ("word", "ascending")])
@@ -296,58 +310,47 @@ def _placed(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Recor
     With marks, rows of marked words have their places in the text, and texts with any have all classes.
     """
     known, cls, emit, base = model["known"], model["cls"], model["emit"], model["base"]
-    bucket_cls, step, end_cls = model["bucket_cls"], model["step"], model["end_cls"]
-    end_emit, end_base = model["end"]
-    marks = model["marks"]
+    step, end_known, marks = model["step"], model["end_known"], model["marks"]
+    of_code = np.concatenate([cls, model["bucket_cls"][::-1]])  # a number below zero counts from the end
+    emit, base = (np.concatenate([x, np.zeros(BUCKETS)]) for x in (emit, base))
     serial = TaskContext.get().partitionId() << 33
-    get, seen = known.get, {}
-    for whole in batches:
-        for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-            key, rid, tf, doc, held, tokens, n_known, low, high, places, classes = ([] for _ in range(11))
-            for text, doc_id, out_ in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), strict=True):
-                words = words_of(text)
-                seq, rare = [], []
-                for w in words:
-                    k = get(w)
-                    if k is None:
-                        s = w[-_SUFFIX:]
-                        k = seen.get(s)
-                        if k is None:
-                            k = seen[s] = -1 - zlib.crc32(s) % BUCKETS
-                        rare.append(w)
-                    seq.append(k)
-                at = np.array(seq, dtype=np.int64)
-                heavy = at[at >= 0]
-                chain = np.concatenate([[end_cls], np.where(at >= 0, cls[np.maximum(at, 0)], bucket_cls[np.maximum(-at - 1, 0)]), [end_cls]])
-                key.append(b" " + serial.to_bytes(8, "big"))  # no word holds a space
-                rid.append(serial)
-                tf.append(0)
-                doc.append(doc_id)
-                held.append(out_)
-                tokens.append(len(words) + 1)
-                n_known.append(len(heavy) + model["end_known"])
-                low.append(float(base[heavy].sum() + end_base))
-                high.append(float(step[chain[:-1], chain[1:]].sum() + emit[heavy].sum() + end_emit))
-                found = Counter(rare)
-                spots = {w: b"" for w in found if _marked(marks, w)} if marks else {}
-                if spots:
-                    raw = (np.flatnonzero(at < 0) + 1).astype("<i4").tobytes()
-                    for i, w in enumerate(rare):
-                        if w in spots:
-                            spots[w] += raw[4 * i : 4 * i + 4]
-                places.append(None)
-                classes.append(chain.astype(np.uint8).tobytes() if spots else None)
-                for w, n in found.items():
-                    key.append(w)
-                    rid.append(serial)
-                    tf.append(n)
-                    places.append(spots.get(w))
-                doc += [None] * (len(key) - len(doc))
-                serial += 1
-                for column in (held, tokens, n_known, low, high, classes):
-                    column += [None] * (len(key) - len(column))
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, rid, tf, doc, held, tokens, n_known, low, high, places, classes), kinds, strict=True)], names=PLACED_NAMES)
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    for b in batches:
+        for first in range(0, b.num_rows, GROUP):
+            docs = b.slice(first, GROUP)
+            words, ends = _flat(docs.column("text").to_pylist())
+            code, at, rare = _codes(known, words, ends, 0)
+            size, chain, starts = docs.num_rows, of_code[code], ends[:-1]
+            doc = np.searchsorted(ends, at) - 1
+            # Each text's distinct rare words, and which of them each place has.
+            key: list[bytes] = []
+            of, cut = np.empty(len(at), np.int64), np.searchsorted(at, ends).tolist()
+            for i, j in zip(cut, cut[1:], strict=False):
+                found: dict[bytes, int] = {}
+                of[i:j] = np.array([found.setdefault(w, len(found)) for w in rare[i:j]], np.int64) + len(key)
+                key += found
+            tf = np.bincount(of, minlength=len(key))
+            owner = np.zeros(len(key), np.int64)
+            owner[of] = doc
+            spots = _marked(marks, key) if marks else np.zeros(len(key), bool)
+            order = np.argsort(of, kind="stable")
+            order = order[spots[of[order]]]
+            bounds = np.concatenate([[0], np.cumsum(np.where(spots, tf, 0))]).astype("<i4") * 4
+            places = pa.BinaryArray.from_buffers(pa.binary(), len(key), [pa.py_buffer(np.packbits(spots, bitorder="little").tobytes()), pa.py_buffer(bounds.tobytes()), pa.py_buffer((at - ends[doc])[order].astype("<i4").tobytes())])
+            raw, has = chain.astype(np.uint8).tobytes(), np.bincount(owner[spots], minlength=size) > 0
+            classes = [raw[i : j + 1] if x else None for i, j, x in zip(ends.tolist(), ends[1:].tolist(), has.tolist(), strict=False)]
+            rid = serial + np.arange(size)
+            serial += size
+            heads = [
+                [b" " + r.to_bytes(8, "big") for r in rid.tolist()], rid, np.zeros(size, np.int32), docs.column("doc_id"), docs.column("held_out"),  # no word holds a space
+                np.diff(ends), np.diff(ends) - 1 - np.diff(cut) + end_known,
+                np.add.reduceat(base[code[:-1]], starts), np.add.reduceat(emit[code[:-1]], starts) + np.add.reduceat(step[chain[:-1], chain[1:]], starts),
+                None, classes,
+            ]
+            rows = {0: pa.array(key, pa.binary()), 1: rid[owner], 2: tf.astype(np.int32), 9: places}
+            column = lambda x, kind, n: x if isinstance(x, pa.Array) else pa.nulls(n, kind) if x is None else pa.array(x, kind)
+            both = [pa.concat_arrays([column(x, kind, size), column(rows.get(k), kind, len(key))]) for k, (x, kind) in enumerate(zip(heads, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(both, names=PLACED_NAMES)
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -408,7 +411,7 @@ class Model:
         if k is not None:
             return int(self.cls[k])
         own = None
-        if self.marks and _marked(self.marks, word):
+        if self.marks and _marked(self.marks, [word])[0]:
             if self._few is not None:
                 own = self._few.get(word)
             elif r := self.rest.where(F.col("word") == F.lit(word)).first():
@@ -470,7 +473,7 @@ def scored(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
     n, v, bucket_cls, below = m.n, m.v, m.bucket_cls, m.below
     emit, base = np.log10((m.count + EMIT) / below[m.cls]), np.log10((m.count + 1) / (n + v + 1))
     known = {w: k for w, k in m.known.items() if k}
-    model = {"known": known, "cls": m.cls, "emit": emit, "base": base, "bucket_cls": bucket_cls, "step": m.step, "end_cls": int(m.cls[0]), "end": (float(emit[0]), float(base[0])), "end_known": int(m.count[0] > 0), "marks": m.marks}
+    model = {"known": known, "cls": m.cls, "emit": emit, "base": base, "bucket_cls": bucket_cls, "step": m.step, "end_known": int(m.count[0] > 0), "marks": m.marks}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KNOWN_SHARE words at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,30 @@ def test_moves_raise_the_likelihood():
         assert np.allclose(state.joint, joint(cls))
 
 
+def test_moves_take_logarithms_of_what_changes(monkeypatch):
+    """The logarithms of class pairs are kept from move to move; a unit's cost is its neighbours' classes, once."""
+    rng = np.random.default_rng(4)
+    state = classlm._Classes(rng.poisson(50, (64, 64)).astype(float))
+    plain, taken = classlm._f, []
+    monkeypatch.setattr(classlm, "_f", lambda x: taken.append(x.size) or plain(x))
+    left, right = (np.bincount(rng.integers(0, 64, 30), minlength=64).astype(float) for _ in "lr")
+    state.moved(3, left, right, 0.0)
+    assert sum(taken) <= 64 * (np.count_nonzero(left) + np.count_nonzero(right) + 4 + 5)
+    assert np.array_equal(state.f, plain(state.both)) and np.array_equal(state.after, state.joint.T)
+
+
+def test_words_of_several_texts_are_numbered_at_once(monkeypatch):
+    """Groups of texts, empty ones too, give the rows that each text gives by itself."""
+    texts = ["a b a zz", None, "", "zz q a zz b", " \n", "q"]
+    known, end = {b"": 0, b"a": 1, b"b": 2}, 0
+    words, ends = classlm._flat(texts)
+    code, at, rare = classlm._codes(known, words, ends, end)
+    want = [end]
+    for t in texts:
+        want += [known.get(w, -1 - classlm.bucket_of(w)) for w in words_of(t)] + [end]
+    assert code.tolist() == want and rare == [words[i] for i in at] == [b"zz", b"zz", b"q", b"zz", b"q"]
+
+
 # 3
 
 
