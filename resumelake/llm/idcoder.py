@@ -59,7 +59,7 @@ class _Models:
         start = np.concatenate([[2, 2], np.maximum(1, (zipf / zipf.sum() * 200).astype(np.int64))])
         self.count = np.tile(start, (lanes, 9, 1)).astype(np.int32)
         self.all = np.tile(start, (lanes, 1)).astype(np.int32)
-        self.cum = np.zeros((lanes * 9, self.symbols + 1), dtype=np.int32)
+        self.cum = np.zeros((lanes * 9, self.symbols + 1), dtype=np.uint16)
         self.table1 = np.zeros(lanes * SLOTS, dtype=np.uint32)  # rank << 4 | confidence; 0: none
         self.table2 = np.zeros(lanes * SLOTS, dtype=np.uint32)
         self.lane = np.arange(lanes, dtype=np.int64)
@@ -68,12 +68,12 @@ class _Models:
         self.level = np.array([0, 1, 1, *[2] * 13], dtype=np.int64)
         self.room = (1 << BITS) - self.symbols
         self.rank_of = np.repeat(np.arange(len(self.width)), self.width)
-        self.order = np.arange(1, self.symbols + 1, dtype=np.int32)
+        self.order = np.arange(1, self.symbols + 1)
         self.wins, self.since = np.zeros((2, lanes), dtype=np.int64), []
         self.follow()
 
     def follow(self) -> None:
-        """Chances from the counts: those in the context and the block's own, weighed by which of them did better before. Whole numbers: the same on any machine."""
+        """Chances from the counts: those in the context and the block's own, weighed by which of them did better before. Whole numbers, under 2 ** 47 before a division, so floors of quotients in double precision are exact: the same on any machine."""
         if self.since:
             at, symbol = (np.concatenate(x) for x in zip(*self.since, strict=True))
             better = (self.own.reshape(-1)[at] > self.general.reshape(-1)[symbol]).reshape(len(self.since), -1).sum(0)
@@ -82,24 +82,25 @@ class _Models:
             self.since = []
         weight = np.clip((self.wins[0] * WEIGHTS + (self.wins[1] >> 1)) // np.maximum(self.wins[1], 1), 1, WEIGHTS - 1)
         weight[self.wins[1] == 0] = WEIGHTS * 3 // 4
-        self.own = (self.count.astype(np.int64) << FINE) // self.count.sum(2, dtype=np.int64)[:, :, None]
-        self.general = (self.all.astype(np.int64) << FINE) // self.all.sum(1, dtype=np.int64)[:, None]
+        self.own, self.general = (np.floor(x * float(1 << FINE) / x.sum(-1, dtype=np.int64)[..., None]) for x in (self.count, self.all))
         mixed = self.own * weight[:, None, None] + (self.general * (WEIGHTS - weight)[:, None])[:, None]
         total = np.cumsum(mixed.reshape(-1, self.symbols), axis=1)
-        self.cum[:, 1:] = (total * self.room // total[:, -1:]).astype(np.int32) + self.order
+        total *= self.room
+        total /= total[:, -1:] / self.room
+        self.cum[:, 1:] = np.floor(total) + self.order
 
     def predict(self) -> None:
         one, two = self.before
         self.at1 = self.base + (one & (SLOTS - 1))
         self.at2 = self.base + ((one * 0x9E5 + two * 0x3B1 + 1) & (SLOTS - 1))
-        self.seen1, self.seen2 = self.table1[self.at1].astype(np.int64), self.table2[self.at2].astype(np.int64)
-        self.context = self.lane * 9 + self.level[self.seen2 & 15] * 3 + self.level[self.seen1 & 15]
+        self.seen1, self.seen2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
+        self.context = self.lane * 9 + self.level.take(self.seen2 & 15) * 3 + self.level.take(self.seen1 & 15)
         self.guess1, self.guess2 = self.seen1 >> 4, self.seen2 >> 4
 
     def symbol_of(self, rank: np.ndarray) -> np.ndarray:
         hit2 = (self.guess2 == rank) & (self.seen2 > 0)
         hit1 = (self.guess1 == rank) & (self.seen1 > 0)
-        return np.where(hit2, 0, np.where(hit1, 1, self.rank_of[rank] + 2))
+        return np.where(hit2, 0, np.where(hit1, 1, self.rank_of.take(rank) + 2))
 
     def learn(self, rank: np.ndarray, symbol: np.ndarray, step: int) -> None:
         own, general = self.context * self.symbols + symbol, self.lane * self.symbols + symbol
@@ -142,10 +143,10 @@ def code(ranks: np.ndarray, size: int) -> list[bytes]:
         models.predict()
         symbol = models.symbol_of(rank)
         at = models.context * width + symbol
-        start = flat[at]
+        start = flat.take(at)
         r = span >> _U(BITS)
         low += start.astype(_U) * r
-        span = (flat[at + 1] - start).astype(_U) * r
+        span = (flat.take(at + 1) - start).astype(_U) * r
         b = np.maximum(symbol - 2, 0)
         wide = np.where(symbol > 1, models.width[b], 1)
         r = span // wide.astype(_U)
@@ -180,7 +181,7 @@ def decode(blocks: list[bytes], size: int, steps: int) -> np.ndarray:
     for step in range(steps):
         models.predict()
         r = span >> _U(BITS)
-        v = np.minimum((value - low) // r, most).astype(np.int32)
+        v = np.minimum((value - low) // r, most).astype(np.uint16)
         rows = models.cum.take(models.context, axis=0)
         symbol = (rows[:, 1:] > v[:, None]).argmax(1)
         at = models.lane * width + symbol

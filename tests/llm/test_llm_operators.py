@@ -351,6 +351,21 @@ def test_id_files(spark, docs, odd, none):
     assert idcoder.round_trip(none).count() == 0
 
 
+def test_chances_in_double_precision_are_whole_number_quotients():
+    """Tables of 16 bits, by divisions in double precision, equal floors of quotients of whole numbers."""
+    rng = np.random.default_rng(6)
+    models = idcoder._Models(5, 40_000)
+    models.count += rng.integers(0, 3_000_000, models.count.shape).astype(np.int32)
+    models.all += rng.integers(0, 30_000_000, models.all.shape).astype(np.int32)
+    models.follow()
+    own = (models.count.astype(np.int64) << idcoder.FINE) // models.count.sum(2, dtype=np.int64)[:, :, None]
+    general = (models.all.astype(np.int64) << idcoder.FINE) // models.all.sum(1, dtype=np.int64)[:, None]
+    weight = idcoder.WEIGHTS * 3 // 4
+    total = np.cumsum((own * weight + (general * (idcoder.WEIGHTS - weight))[:, None]).reshape(-1, models.symbols), axis=1)
+    assert models.cum.dtype == np.uint16
+    assert np.array_equal(models.cum[:, 1:], total * models.room // total[:, -1:] + np.arange(1, models.symbols + 1))
+
+
 def test_id_blocks(monkeypatch):
     monkeypatch.setattr(idcoder, "BLOCK", 64)
     rng = np.random.default_rng(4)
