@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names in English and German, with short forms, umlauts written out.
+from resumelake.functions.text import bound
+
+# Month names in English and German, with short forms.
 MONTHS = {
-    "january": 1, "jan": 1, "januar": 1, "february": 2, "feb": 2, "februar": 2, "march": 3, "mar": 3, "maerz": 3, "mrz": 3, "april": 4, "apr": 4, "may": 5, "mai": 5,
+    "january": 1, "jan": 1, "januar": 1, "february": 2, "feb": 2, "februar": 2, "march": 3, "mar": 3, "maerz": 3, "märz": 3, "mrz": 3, "april": 4, "apr": 4, "may": 5, "mai": 5,
     "june": 6, "jun": 6, "juni": 6, "july": 7, "jul": 7, "juli": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "oktober": 10, "okt": 10,
     "november": 11, "nov": 11, "december": 12, "dec": 12, "dezember": 12, "dez": 12,
 }
@@ -56,15 +58,17 @@ def months_exclusive(start: Column, end: Column, asof: str) -> Column:
 def date_token(x: Column) -> Column:
     """YYYY-MM of MM/YYYY, MM.YYYY, YYYY-MM, a month's name with a year, or a year (its January); else null."""
     t = F.trim(F.regexp_replace(F.replace(F.lower(F.trim(x)), F.lit(","), F.lit(" ")), r"\s{2,}", " "))
-    two = lambda m: F.lpad(m, 2, "0")
-    numeric = F.concat(F.regexp_extract(t, "([0-9]{4})$", 1), F.lit("-"), two(F.regexp_extract(t, "^([0-9]{1,2})", 1)))
-    iso = F.concat(F.substring(t, 1, 4), F.lit("-"), two(F.regexp_extract(t, "-([0-9]{1,2})$", 1)))
-    name = F.regexp_extract(t, r"^([a-zäöüß]+)\s", 1)
-    name = F.replace(F.replace(F.replace(name, F.lit("ä"), F.lit("ae")), F.lit("ö"), F.lit("oe")), F.lit("ü"), F.lit("ue"))
     months = F.create_map(*[F.lit(v) for kv in MONTHS.items() for v in kv])
-    month = F.try_element_at(months, name)
-    named = F.concat(F.regexp_extract(t, "([0-9]{4})$", 1), F.lit("-"), two(month.cast("string")))
-    return F.when(t.rlike(f"^{MONTH}[./]{YEAR}$"), numeric).when(t.rlike(f"^{YEAR}-{MONTH}$"), iso).when(t.rlike(rf"^[a-zäöüß]+\s+{YEAR}$"), named).when(t.rlike(f"^{YEAR}$"), F.concat(t, F.lit("-01")))
+
+    def of(t: Column) -> Column:
+        # one test of all shapes; what a shape holds stands at fixed places
+        year, n = F.right(t, F.lit(4)), F.length(t)
+        month = F.when(F.substring(t, 5, 1) == "-", F.substring(t, 6, 2)).when(F.substring(t, 1, 1) < ":", t.substr(F.lit(1), n - 5)).otherwise(F.try_element_at(months, t.substr(F.lit(1), n - 5)).cast("string"))
+        year = F.when(F.substring(t, 5, 1) == "-", F.substring(t, 1, 4)).otherwise(year)
+        full = F.when(n == 4, F.concat(t, F.lit("-01"))).otherwise(F.concat(year, F.lit("-"), F.lpad(month, 2, "0")))
+        return F.when(t.rlike(rf"^(?:{MONTH}[./]{YEAR}|{YEAR}(?:-{MONTH})?|[a-zäöüß]+\s{YEAR})\z"), full)
+
+    return bound(F.rtrim(t, F.lit("\n\r\u0085\u2028\u2029")), of)
 
 
 def _pair(start: Column, end: Column) -> Column:
@@ -73,37 +77,45 @@ def _pair(start: Column, end: Column) -> Column:
 
 def date_range(x: Column, asof: str | None = None) -> Column:
     """struct<start, end> of since/seit/ab a date, a date to now, or two dates; the words between are found anywhere, also inside a month's name."""
-    s = F.trim(x)
-    parts = F.split(s, f"(?i){GLUE}")
-    read = F.transform(F.array(F.regexp_replace(s, SINCE, ""), F.element_at(F.split(s, f"(?i){GLUE}", 2), 1), F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))), date_token)
-    since, head, first, second = (F.element_at(read, k) for k in (1, 2, 3, 4))
     now = lambda d: F.lit(asof) if asof else d
-    return F.coalesce(F.when(s.rlike(SINCE), _pair(since, now(since))), F.when(s.rlike(PRESENT), _pair(head, now(head))), _pair(first, second))
+    parts = rf"(?is)^(.*?){GLUE}(.*?)(?:{GLUE}|\z)"
+
+    def of(s: Column) -> Column:
+        texts = F.array(F.when(s.rlike(SINCE), F.regexp_replace(s, SINCE, "")), F.regexp_extract(s, parts, 1), F.regexp_extract(s, parts, 2))
+        pairs = lambda r: F.coalesce(_pair(r[0], now(r[0])), F.when(s.rlike(PRESENT), _pair(r[1], now(r[1]))), _pair(r[1], r[2]))
+        return bound(F.transform(texts, date_token), pairs)
+
+    return bound(F.trim(x), of)
 
 
 def date_anchor(x: Column) -> Column:
     """struct<start, end, end_missing> of the first kind of date in a line: month range, year range, (year), one month, a year alone."""
-    s, two = F.trim(x), lambda m: F.lpad(m, 2, "0")
+    two = lambda m: F.lpad(m, 2, "0")
     months = rf"(?i)\b({MONTH})[./]({YEAR}){GLUE_IN_LINE}({MONTH})[./]({YEAR})\b"
     years, alone, one = rf"(?i)\b({YEAR}){GLUE_IN_LINE}({YEAR})\b", rf"\(({YEAR})\)", rf"\b({MONTH})[./]({YEAR})\b"
-    g = lambda p, k: F.regexp_extract(s, p, k)
     ym = lambda y, m: F.concat(y, F.lit("-"), m)
     out = lambda a, b, missing: F.struct(a.alias("start"), b.alias("end"), F.lit(missing).alias("end_missing"))
-    single = ym(g(one, 2), two(g(one, 1)))
-    return (
-        F.when(s.rlike(months), out(ym(g(months, 2), two(g(months, 1))), ym(g(months, 4), two(g(months, 3))), False))
-        .when(s.rlike(years), out(ym(g(years, 1), F.lit("01")), ym(g(years, 2), F.lit("12")), False))
-        .when(s.rlike(alone), out(ym(g(alone, 1), F.lit("01")), ym(g(alone, 1), F.lit("12")), False))
-        .when(s.rlike(one), out(single, single, True))
-        .when(s.rlike(f"^{YEAR}$"), out(ym(s, F.lit("01")), ym(s, F.lit("01")), True))
-    )
+
+    def of(s: Column) -> Column:
+        g = lambda p, k: F.regexp_extract(s, p, k)
+        return (
+            F.when(s.rlike(months), out(ym(g(months, 2), two(g(months, 1))), ym(g(months, 4), two(g(months, 3))), False))
+            .when(s.rlike(years), out(ym(g(years, 1), F.lit("01")), ym(g(years, 2), F.lit("12")), False))
+            .when(s.rlike(alone), bound(g(alone, 1), lambda y: out(ym(y, F.lit("01")), ym(y, F.lit("12")), False)))
+            .when(s.rlike(one), bound(ym(g(one, 2), two(g(one, 1))), lambda d: out(d, d, True)))
+            .when(s.rlike(f"^{YEAR}$"), out(ym(s, F.lit("01")), ym(s, F.lit("01")), True))
+        )
+
+    return bound(F.trim(x), lambda s: F.when(s.rlike(YEAR), of(s)))
 
 
 def range_start(x: Column) -> Column:
     """struct<start, open> of a line that begins a range (07/2024 bis, seit 03/2020)."""
-    s = F.trim(x)
     p = r"(?i)^(.+?)\s+(?:bis|to|until|–|-|—)\s*(.*)$"
-    read = F.transform(F.array(F.regexp_replace(s, SINCE, ""), F.regexp_extract(s, p, 1)), date_token)
-    since, left = F.element_at(read, 1), F.element_at(read, 2)
-    out = lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("start"), b.alias("open")))
-    return F.when(s.rlike(SINCE), out(since, F.lit(True))).otherwise(F.when(s.rlike(p), out(left, F.regexp_extract(s, p, 2).rlike(PRESENT))))
+
+    def of(s: Column) -> Column:
+        since = s.rlike(SINCE)
+        start = date_token(F.when(since, F.regexp_replace(s, SINCE, "")).otherwise(F.regexp_extract(s, p, 1)))
+        return bound(start, lambda d: F.when(d.isNotNull(), F.struct(d.alias("start"), (since | F.regexp_extract(s, p, 2).rlike(PRESENT)).alias("open"))))
+
+    return bound(F.trim(x), of)

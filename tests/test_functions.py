@@ -52,6 +52,15 @@ def test_anchors(spark):
     assert got[0] is None and (got[1].start, got[1].end) == ("2020-03", "2024-01") and (got[2].start, got[2].end) == ("2019-01", "2024-01")
 
 
+def test_dates_are_read_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["date_range_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("since|seit|ab") <= 2  # one test, one replacement; not for each column and condition
+    got = values(spark, ["1999\u2028", "seit 2001\u2028", "12.2019 – 1.2020 – 3.2020", "2020 -", "a, 2020", "mar, 2020", "20 -2020"], dates.date_range(F.concat(F.col("x"), F.lit(" to 3.2021"))))
+    assert [g and (g.start, g.end) for g in got] == [("1999-01", "2021-03"), None, ("2019-12", "2020-01"), None, None, ("2020-03", "2021-03"), None]
+
+
 def test_found_positions_equal_finditer(spark):
     random.seed(3)
     pattern = r"[0-9]{2,4}"
