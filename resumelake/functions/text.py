@@ -49,11 +49,11 @@ def page_signature(x: Column) -> Column:
 
 def timeline_text(x: Column) -> Column:
     """Line ends, private-use glyphs, hyphenation (dropped at line ends and before white space), bullets, blanks."""
-    x = F.regexp_replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    x = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     x = F.regexp_replace(x, r"[\x{F000}-\x{F8FF}]", "")
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)(\w)-\n(\w)", "$1$2"), r"(?U)(\w)-\s+(\w)", "$1$2")
     x = F.regexp_replace(x, r"(?m)^[ \t]*[•·▪●‣∙]\s*", "- ")
-    return trimmed(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{4,}", "\n\n\n"))
+    return trimmed(F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}|\t", " "), r"\n{4,}", "\n\n\n"))
 
 
 def extracted_text(x: Column) -> Column:
@@ -104,7 +104,7 @@ def technology_name(x: Column) -> Column:
     y = F.rtrim(F.regexp_replace(y, r"\s{2,}", " "))
     y = F.regexp_replace(y, r"[.,:]+$", "")
     names = F.create_map(*[F.lit(v) for kv in ALIASES.items() for v in kv])
-    return F.coalesce(F.try_element_at(names, F.regexp_replace(F.lower(y), r"[^a-z0-9+.#-]", "")), y)
+    return bound(y, lambda y: F.coalesce(F.try_element_at(names, F.regexp_replace(F.lower(y), r"[^a-z0-9+.#-]", "")), y))
 
 
 def snippet(x: Column, n: int = 150) -> Column:

@@ -20,7 +20,7 @@ LEGAL = r"\b(?:GmbH|AG|SE|KG|UG|Inc|Ltd|LLC)\b"
 PLACE = r"(?U)^[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-]{2,40}$"
 #: What the fold carries: where the open chunk's lines begin, and the chunks before it as ranges of lines.
 RANGE = "struct<start:string,end:string,page:int,from:int,to:int>"
-STATE = f"struct<at:int,mode:int,page:int,open:{RANGE},closed:array<{RANGE}>>"
+STATE = f"struct<mode:int,page:int,open:{RANGE},closed:array<{RANGE}>>"
 LEAST = 20
 
 
@@ -33,64 +33,68 @@ def is_company(s: Column) -> Column:
     return ~s.rlike(PLACE) & (s.rlike(LEGAL) | short)
 
 
-def is_garbage(s: Column) -> Column:
-    return s.rlike(r"^[-•·▪–—−\s]*$")
+def is_skipped(s: Column) -> Column:
+    """Lines of dashes and bullets alone, and of one word that may be a place."""
+    return s.rlike(r"(?U)^(?:[-•·▪–—− \t\n\x0B\f\r]*|[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-]{2,40})$")
 
 
 def lines_of(x: Column, asof: str | None) -> Column:
-    """The lines of a text with what the fold needs to know of each. Each step binds its struct, so that nothing is parsed twice."""
+    """The lines of a text with what the fold needs to know of each: its place, marks, and what it says of dates. Patterns are tried only on lines that can match."""
 
-    def cleaned(raw: Column) -> Column:
-        s = F.trim(F.regexp_replace(raw, r"^\[(?:LEFT_COLUMN|RIGHT_COLUMN|HEADER_AREA)\]\s*", ""))
-        page = F.when(raw.rlike(r"(?i)^---\s*Page\s+[0-9]+\s*---\s*$"), F.regexp_extract(raw, "([0-9]+)", 1).cast("int"))
-        return F.struct(s.alias("s"), raw.startswith("[RIGHT_COLUMN]").alias("right"), page.alias("page"))
+    def dated(s: Column) -> Column:
+        out = lambda start, end, missing, until: F.struct(start.alias("start"), end.alias("end"), missing.alias("missing"), until.alias("until"))
+        none = F.lit(None).cast("string")
 
-    def dated(a: Column) -> Column:
-        s = F.when(a["s"].rlike("[0-9]"), a["s"])  # no digit, no date: nothing more is tried
-        stop = F.coalesce(dates.date_token(s), F.when(a["s"].rlike(dates.PRESENT), F.lit(asof)))
-        return F.struct(a.alias("a"), dates.date_anchor(s).alias("found"), dates.date_range(s, asof).alias("span"), dates.range_start(s).alias("begin"), stop.alias("until"))
+        def otherwise(d: Column) -> Column:
+            span, begin = d["span"], d["begin"]
+            end = F.coalesce(span["end"], F.when(begin["open"], F.lit(asof)), begin["start"])
+            return out(F.coalesce(span["start"], begin["start"]), end, F.when(span.isNotNull(), F.lit(False)).when(begin.isNotNull(), ~begin["open"]), d["until"])
 
-    def known(d: Column) -> Column:
-        a, found, span, begin = d["a"], d["found"], d["span"], d["begin"]
-        start = F.coalesce(found["start"], span["start"], begin["start"])
-        end = F.coalesce(found["end"], span["end"], F.when(begin["open"], F.lit(asof)), begin["start"])
-        missing = F.when(found.isNotNull(), found["end_missing"]).when(span.isNotNull(), F.lit(False)).when(begin.isNotNull(), ~begin["open"])
-        skip = is_garbage(a["s"]) | a["s"].rlike(PLACE)
-        return F.struct(a["s"].alias("s"), a["right"].alias("right"), a["page"].alias("page"), a["s"].rlike(BREAK).alias("stop"), start.alias("start"), end.alias("end"), missing.alias("missing"), d["until"].alias("until"), skip.alias("skip"))
+        more = F.struct(dates.date_range(s, asof).alias("span"), dates.range_start(s).alias("begin"), dates.date_token(s).alias("until"))
+        return spans.bound(dates.date_anchor(s), lambda f: F.when(f.isNotNull(), out(f["start"], f["end"], f["end_missing"], none)).otherwise(spans.bound(more, otherwise)))
 
-    return F.transform(F.transform(F.transform(F.split(text.timeline_text(x), "\n"), cleaned), dated), known)
+    def line(raw: Column, i: Column) -> Column:
+        s = F.when(raw.startswith("["), F.trim(F.regexp_replace(raw, r"^\[(?:LEFT_COLUMN|RIGHT_COLUMN|HEADER_AREA)\]\s*", ""))).otherwise(F.trim(raw))
+        page = F.when(raw.startswith("---") & raw.rlike(r"(?i)^---\s*Page\s+[0-9]+\s*---\s*$"), F.regexp_extract(raw, "([0-9]+)", 1).cast("int"))
+        has_year = (raw.contains("19") | raw.contains("20")) & raw.rlike(dates.YEAR)
+        return F.struct(i.alias("i"), s.alias("s"), raw.startswith("[RIGHT_COLUMN]").alias("right"), page.alias("page"), F.when(has_year, spans.bound(s, dated)).alias("date"))
+
+    return F.transform(F.split(text.timeline_text(x), "\n"), line)
 
 
 def _state(a: Column, **new: Column) -> Column:
-    return F.struct((a["at"] + 1).alias("at"), *[new.get(f, a[f]).alias(f) for f in ("mode", "page", "open", "closed")])
+    return F.struct(*[new.get(f, a[f]).alias(f) for f in ("mode", "page", "open", "closed")])
 
 
 def chunks_of(x: Column, asof: str | None = None) -> Column:
     """array of chunks of a text. Modes: 0 seeking, 1 waiting for an end date, 2 collecting, 3 done.
 
-    The fold carries ranges of lines only, so that it is linear in them; each chunk's lines are cut out afterwards.
+    The fold carries ranges of lines only, so that it is linear in them, and most lines leave its state as it is; each chunk's lines are cut out afterwards.
     """
     seek, wait, collect, done = (F.lit(k) for k in range(4))
 
-    def closed(a: Column) -> Column:
-        return F.when(a["mode"] == 2, F.concat(a["closed"], F.array(a["open"].withField("to", a["at"])))).otherwise(a["closed"])
+    def closed(a: Column, at: Column) -> Column:
+        return F.when(a["mode"] == 2, F.concat(a["closed"], F.array(a["open"].withField("to", at)))).otherwise(a["closed"])
 
     def step(a: Column, ln: Column) -> Column:
-        new = F.struct(ln["start"].alias("start"), ln["end"].alias("end"), a["page"].alias("page"), (a["at"] + 1).alias("from"), F.lit(0).alias("to"))
+        date, at = ln["date"], ln["i"]
+        new = F.struct(date["start"].alias("start"), date["end"].alias("end"), a["page"].alias("page"), (at + 1).alias("from"), F.lit(0).alias("to"))
+        until = F.coalesce(date["until"], F.when(ln["s"].rlike(dates.PRESENT), F.lit(asof)))
+        ends = lambda u: F.when(u.isNotNull(), _state(a, mode=collect, open=a["open"].withField("end", u).withField("from", at + 1))).otherwise(a)
         return (
             F.when(a["mode"] == 3, a)
             .when(ln["page"].isNotNull(), _state(a, page=F.when(a["mode"] == 1, a["page"]).otherwise(ln["page"])))
-            .when(ln["right"] & (a["mode"] < 2), _state(a))
-            .when(ln["stop"], _state(a, mode=done, closed=closed(a)))
-            .when(ln["start"].isNotNull() & ln["right"], _state(a, mode=seek, closed=closed(a)))
-            .when(ln["start"].isNotNull(), _state(a, mode=F.when(ln["missing"], wait).otherwise(collect), open=new, closed=closed(a)))
-            .when((a["mode"] == 1) & ln["until"].isNotNull(), _state(a, mode=collect, open=a["open"].withField("end", ln["until"]).withField("from", a["at"] + 1)))
-            .otherwise(_state(a))
+            .when(ln["right"] & (a["mode"] < 2), a)
+            .when(ln["s"].rlike(BREAK), _state(a, mode=done, closed=closed(a, at)))
+            .when(date["start"].isNotNull() & ln["right"], _state(a, mode=seek, closed=closed(a, at)))
+            .when(date["start"].isNotNull(), _state(a, mode=F.when(date["missing"], wait).otherwise(collect), open=new, closed=closed(a, at)))
+            .when(a["mode"] == 1, spans.bound(until, ends))
+            .otherwise(a)
         )
 
     def chunk(lines: Column, r: Column) -> Column:
         def of(part: Column) -> Column:
-            own = F.transform(F.filter(part, lambda ln: ln["page"].isNull() & ~ln["right"] & ~ln["skip"]), lambda ln: ln["s"])
+            own = F.transform(F.filter(part, lambda ln: ln["page"].isNull() & ~ln["right"] & ~is_skipped(ln["s"])), lambda ln: ln["s"])
             first = F.when(r["page"] > 0, F.array(r["page"])).otherwise(F.array().cast("array<int>"))
             pages = F.array_distinct(F.concat(first, F.filter(F.transform(part, lambda ln: ln["page"]), lambda p: p.isNotNull())))
             return F.struct(r["start"].alias("start_date"), r["end"].alias("end_date"), own.alias("lines"), pages.alias("pages"))
@@ -98,9 +102,9 @@ def chunks_of(x: Column, asof: str | None = None) -> Column:
         return spans.bound(F.slice(lines, r["from"] + 1, F.greatest(r["to"] - r["from"], F.lit(0))), of)
 
     def whole(lines: Column) -> Column:
-        start = F.from_json(F.lit('{"at":0,"mode":0,"page":0,"open":{"page":0,"from":0,"to":0},"closed":[]}'), STATE)
+        start = F.from_json(F.lit('{"mode":0,"page":0,"open":{"page":0,"from":0,"to":0},"closed":[]}'), STATE)
         full = lambda c: F.aggregate(c["lines"], F.lit(0), lambda n, s: n + F.length(s)) >= LEAST
-        return F.filter(F.transform(F.aggregate(lines, start, step, closed), lambda r: chunk(lines, r)), full)
+        return F.filter(F.transform(F.aggregate(lines, start, step, lambda a: closed(a, F.size(lines))), lambda r: chunk(lines, r)), full)
 
     return spans.bound(lines_of(x, asof), whole)
 
@@ -128,13 +132,15 @@ def technologies_of(lines: Column) -> Column:
 
     def step(a: Column, s: Column) -> Column:
         commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
-        opens = s.rlike(TECH_HEAD + r":") | s.rlike(TECH_HEAD + r"$") | (~s.startswith("-") & (commas >= 3) & s.rlike(TECH_WORDS))
-        goes = a["on"] & (s != "") & ~s.rlike(TECH_STOP) & dates.range_start(F.when(s.rlike("[0-9]"), s)).isNull()
+        opens = s.rlike(TECH_HEAD + r"(?::|$)") | (~s.startswith("-") & (commas >= 3) & s.rlike(TECH_WORDS))
+        goes = a["on"] & (s != "") & ~s.rlike(TECH_STOP) & dates.range_start(F.when(s.rlike(dates.YEAR), s)).isNull()
         rest = F.regexp_replace(s, TECH_HEAD + r":?\s*", "")
-        return F.struct((opens | goes).alias("on"), F.when(goes & ~opens, F.concat(a["got"], F.array(s))).when(opens, F.concat(a["got"], F.array(rest))).otherwise(a["got"]).alias("got"))
+        more = lambda k: F.when(k == 2, F.concat(a["got"], F.array(rest))).when(k == 1, F.concat(a["got"], F.array(s))).otherwise(a["got"])
+        return spans.bound(F.when(opens, 2).when(goes, 1).otherwise(0), lambda k: F.struct((k > 0).alias("on"), more(k).alias("got")))
 
     blocks = F.aggregate(lines, F.struct(F.lit(False).alias("on"), none.alias("got")), step, lambda a: a["got"])
-    listed = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, r"\s*[,;|/]\s*"), text.technology_name)))
+    # by one plain sign, for which nothing is compiled row by row
+    listed = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(F.regexp_replace(b, r"\s*[,;|/]\s*", ","), ","), text.technology_name)))
     listed = F.filter(listed, lambda t: t.rlike(r"^[A-Za-z0-9][A-Za-z0-9+.#()\-\s]{1,80}$") & ~F.lower(t).rlike("|".join(REJECTED)))
     named = F.transform(F.regexp_extract_all(F.array_join(lines, " "), F.lit(INLINE), F.lit(0)), text.technology_name)
     return spans.bound(listed, lambda xs: spans.bound(F.when(F.size(xs) > 0, xs).otherwise(named), lambda ys: text.ordered_distinct(ys, F.lower)))

@@ -115,3 +115,20 @@ def test_dates_are_not_phones(spark):
 
 def test_tidied(spark):
     assert values(spark, ["<URL1> <URL2> x ,y 10.5\n\n\n\nz"], spans.tidied(F.col("x"))) == ["<URL1> x, y 10. 5\n\nz\n"]
+
+
+def shown(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_timeline_tries_each_pattern_once(spark):
+    from resumelake.operators import timeline
+
+    d = spark.createDataFrame([(1, "x", ["x"])], "doc_id long, text string, lines array<string>")
+    assert shown(d.select(timeline.technologies_of(F.col("lines")).alias("t"))).count("eingesetzte") <= 2  # a test, a replacement
+    lines = shown(d.select(timeline.lines_of(F.col("text"), "2024-01").alias("t")))
+    assert lines.count("heute") <= 2 and lines.count("since|seit|ab") <= 5
+    text_ = "\n".join(["---Page 3---", "[LEFT_COLUMN] 03/2019 - 04/2020", "Acme GmbH", "Bonn", "Technologien: Kafka,k8s ; SQL|", "[RIGHT_COLUMN] Kenntnisse", "·  ", "seit 05.2020", "Tech Stack", "Java / node", "", "Studium", "2001 - 2002", "x" * 30])
+    got = spark.createDataFrame([(1, text_)], "doc_id long, text string")
+    rows = [(r.start_date, r.end_date, r.header_lines, r.body_lines, r.technologies, r.source_pages) for r in timeline.timeline(got, "2024-01").orderBy("seq").collect()]
+    assert rows == [("2019-03", "2020-04", ["Acme GmbH"], ["Technologien: Kafka,k8s ; SQL|"], ["Kafka", "Kubernetes", "SQL"], [3])]
