@@ -46,22 +46,31 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def section_lines(x: Column) -> Column:
-    """array<struct<section, pos, line>> of a text: a fold in the row carries the heading on, nothing is shuffled."""
-    start = F.struct(F.lit("unknown").alias("key"), F.array().cast("array<struct<section:string,pos:int,line:string>>").alias("out"), F.lit(0).alias("pos"))
+    """array<struct<section, pos, line>> of a text: each heading's range of lines is cut out, linear in them; nothing is shuffled."""
 
-    def step(a: Column, raw: Column) -> Column:
-        h = F.lower(F.trim(F.regexp_extract(raw, HEADING, 1)))
-        key = F.coalesce(*[F.when(h.rlike(p), F.lit(k)) for p, k in KEYS], h)
-        put = F.concat(a["out"], F.array(F.struct(a["key"].alias("section"), a["pos"].alias("pos"), F.trim(raw).alias("line"))))
-        return F.struct(F.when(h != "", key).otherwise(a["key"]).alias("key"), F.when((h != "") | (F.trim(raw) == ""), a["out"]).otherwise(put).alias("out"), (a["pos"] + 1).alias("pos"))
+    def read(raw: Column, i: Column) -> Column:
+        return F.struct(F.trim(raw).alias("line"), i.alias("pos"), F.lower(F.trim(F.regexp_extract(raw, HEADING, 1))).alias("h"))
 
-    return F.aggregate(F.split(x, "\n"), start, step, lambda a: a["out"])
+    def headed(e: Column, i: Column) -> Column:
+        key = F.coalesce(*[F.when(e["h"].rlike(p), F.lit(k)) for p, k in KEYS], e["h"])
+        return F.when(e["h"] != "", F.struct(key.alias("key"), (i + 1).alias("at")))
+
+    def of(lines: Column) -> Column:
+        def part(heads: Column, h: Column, j: Column) -> Column:
+            end = F.coalesce(F.try_element_at(heads, j + 2)["at"] - 1, F.size(lines))
+            return F.transform(F.slice(lines, h["at"] + 1, end - h["at"]), lambda e: F.struct(h["key"].alias("section"), e["pos"].alias("pos"), e["line"].alias("line")))
+
+        first = F.array(F.struct(F.lit("unknown").alias("key"), F.lit(0).alias("at")))
+        heads = F.concat(first, F.filter(F.transform(lines, headed), lambda h: h.isNotNull()))
+        return text.bound(heads, lambda heads: F.flatten(F.transform(heads, lambda h, j: part(heads, h, j))))
+
+    return text.bound(F.filter(F.transform(F.split(x, "\n"), read), lambda e: e["line"] != ""), of)
 
 
 def skills(lines: Column) -> Column:
     """Tokens (2 to 60 characters) of the first 200 lines that hold two commas or semicolons, or name a skill."""
     some = F.filter(F.slice(lines, 1, 200), lambda s: (F.regexp_count(s, F.lit("[,;]")) >= 2) | s.rlike(SKILL))
-    tokens = F.flatten(F.transform(some, lambda s: F.transform(F.split(s, r"[,;|]"), text.norm_space)))
+    tokens = F.flatten(F.transform(some, lambda s: F.transform(F.split(F.translate(s, ";|", ",,"), ","), text.norm_space)))
     return text.ordered_distinct(F.filter(tokens, lambda t: F.length(t).between(2, 60)), F.lower)
 
 

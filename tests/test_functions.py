@@ -132,3 +132,12 @@ def test_timeline_tries_each_pattern_once(spark):
     got = spark.createDataFrame([(1, text_)], "doc_id long, text string")
     rows = [(r.start_date, r.end_date, r.header_lines, r.body_lines, r.technologies, r.source_pages) for r in timeline.timeline(got, "2024-01").orderBy("seq").collect()]
     assert rows == [("2019-03", "2020-04", ["Acme GmbH"], ["Technologien: Kafka,k8s ; SQL|"], ["Kafka", "Kubernetes", "SQL"], [3])]
+
+
+def test_sections_try_headings_once(spark):
+    from resumelake.operators import profile
+
+    d = spark.createDataFrame([(1, "a\n\n Skills \nJava; SQL\n\t\nSkills\nBildung:\n1990 - 1994"), (2, None), (3, ""), (4, "Skills")], "doc_id long, text string")
+    assert shown(d.select(profile.section_lines(F.col("text")).alias("t"))).count("kurzprofil") == 1
+    got = {r.doc_id: r.s and [tuple(x) for x in r.s] for r in d.select("doc_id", profile.section_lines(F.col("text")).alias("s")).collect()}
+    assert got == {1: [("unknown", 0, "a"), ("skills", 3, "Java; SQL"), ("skills", 4, "\t"), ("education", 7, "1990 - 1994")], 2: None, 3: [], 4: []}
